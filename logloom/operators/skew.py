@@ -13,7 +13,7 @@ def salted_lookup(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``rows`` to a table with one row per key.
+    """Join ``rows`` to a table with one or a few rows per key.
 
     Rows of one key are spread over ``salts`` partitions by ``spread_by``; the
     lookup side is repeated once per salt. Spark still broadcasts the lookup side

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logloom import schemas
 from logloom.functions import text as tx
 from logloom.operators.ordered import neighbours
 
@@ -16,6 +17,7 @@ MASKS = [
     ("NUM", r"\b\d+(?:\.\d+)?\b"),
 ]
 Masks = list[tuple[str, str]]
+CONTEXT_TYPE = schemas.CONTEXT
 
 
 def mask(line: Column, masks: Masks = MASKS) -> Column:

@@ -13,6 +13,8 @@ from logloom.operators.ordered import latest_marker
 SPACES = " \t\u000b\u000c\r\n"
 STAMP = r"^\s*(?:\[[^\]]*\]\s*)?"
 STATUSES = ["PASSED", "FAILED", "SKIPPED"]
+HEADER = "header"
+ERROR_LINE = r"^\s*(?:Error|Stacktrace):"
 
 GRAMMARS = {
     "test_case": STAMP + r"test\s+case\s+(\S.*?)\s*:\s*(passed|failed|skipped)\s*$",
@@ -33,20 +35,39 @@ def explode_logs(logs: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def test_lines(lines: DataFrame, grammars: tuple[str, ...] = ("test_case", "testcase")) -> DataFrame:
-    """Lines that report one test: (run_id, line_no, test_name, status)."""
+def scan_lines(
+    lines: DataFrame, grammars: tuple[str, ...] = ("test_case", "testcase")
+) -> DataFrame:
+    """What triage needs to know of the lines, from one pass over them.
+
+    Keeps the first line of each run and every line that may be a test, summary or error
+    line: (run_id, line_no, test_name, status, field, value, error). The rest of the
+    operators read this much smaller table, so store it or cut its lineage.
+    """
     line = F.col("line")
     # every status word ends in "ED": a cheap look before the patterns run
-    maybe = lines.where(F.upper(F.substring(F.rtrim(line, F.lit(SPACES)), -2, 2)) == "ED")
+    maybe_test = F.upper(F.substring(F.rtrim(line, F.lit(SPACES)), -2, 2)) == "ED"
+    header, field, error = line.rlike(SUMMARY_HEADER), line.rlike(SUMMARY_FIELD), line.rlike(ERROR_LINE)
+    kept = lines.where((F.col("line_no") == 0) | maybe_test | header | field | error)
     names = [F.regexp_extract(line, "(?i)" + GRAMMARS[g], 1) for g in grammars]
-    name = F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
-    status = F.upper(F.regexp_extract(line, r"(?i)(passed|failed|skipped)\s*$", 1))
-    return (
-        maybe.select("run_id", "line_no", name.alias("test_name"), status.alias("status"))
-        .where(F.col("test_name").isNotNull())
+    name = F.when(maybe_test, F.coalesce(*[F.nullif(n, F.lit("")) for n in names]))
+    words = F.regexp_replace(F.regexp_extract(line, SUMMARY_FIELD, 1), r"\s+", " ")
+    return kept.select(
+        "run_id",
+        "line_no",
+        name.alias("test_name"),
+        F.upper(F.regexp_extract(line, r"(?i)(passed|failed|skipped)\s*$", 1)).alias("status"),
+        F.when(header, F.lit(HEADER)).otherwise(F.nullif(F.lower(words), F.lit(""))).alias("field"),
+        F.regexp_extract(line, SUMMARY_FIELD, 2).try_cast("double").alias("value"),
+        F.when(error, line).alias("error"),
     )
 
 
+def tests_of(facts: DataFrame) -> DataFrame:
+    """Lines that report one test: (run_id, line_no, test_name, status)."""
+    return facts.where("test_name IS NOT NULL").select("run_id", "line_no", "test_name", "status")
+
+
 def per_test(tests: DataFrame) -> DataFrame:
     """One row per (run, test): the last status and the first line."""
     code = sum(
@@ -79,31 +100,22 @@ def test_counts(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def last_summary(lines: DataFrame) -> DataFrame:
+def last_summary(facts: DataFrame) -> DataFrame:
     """The last complete summary block of each run that has one."""
-    line = F.col("line")
-    header = line.rlike(SUMMARY_HEADER)
-    block_lines = lines.where(header | line.rlike(SUMMARY_FIELD)).select(
-        "run_id",
-        "line_no",
-        header.alias("is_header"),
-        F.lower(F.substring(F.regexp_replace(
-            F.regexp_extract(line, SUMMARY_FIELD, 1), r"\s+", " "), 1, 6)).alias("field"),
-        F.expr("try_cast(regexp_extract(line, r'" + SUMMARY_FIELD + "', 2) AS DOUBLE)").alias("value"),
-    )
-    placed = latest_marker(block_lines, F.col("is_header")).where("marker_no IS NOT NULL")
+    block_lines = facts.where("field IS NOT NULL").select("run_id", "line_no", "field", "value")
+    placed = latest_marker(block_lines, F.col("field") == HEADER).where("marker_no IS NOT NULL")
 
-    def first_value(word: str) -> Column:
-        here = F.col("field") == word
+    def first_value(name: str) -> Column:
+        here = F.col("field") == name
         return F.min_by(F.when(here, F.col("value")), F.when(here, F.col("line_no")))
 
     blocks = (
         placed.groupBy("run_id", "marker_no")
         .agg(
-            first_value("total ").alias("total"),
+            first_value("total test cases").alias("total"),
             first_value("passed").alias("passed"),
             first_value("failed").alias("failed"),
-            first_value("pass r").alias("rate"),
+            first_value("pass rate").alias("rate"),
         )
         .where("total IS NOT NULL AND passed IS NOT NULL AND failed IS NOT NULL")
     )
@@ -127,19 +139,22 @@ def stamp_seconds(line: Column) -> Column:
     )
 
 
-def verdict(lines: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+def run_times(lines: DataFrame) -> DataFrame:
+    """Seconds between the first and the last time stamp of each run."""
+    seconds = stamp_seconds(F.col("line"))
+    return lines.groupBy("run_id").agg((F.max(seconds) - F.min(seconds)).alias("elapsed_seconds"))
+
+
+def verdict(facts: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """One row per run: status, counts, pass rate and the rule that decided.
 
     A summary block decides when present, else the test lines, else UNKNOWN.
     """
     if outcomes is None:
-        outcomes = per_test(test_lines(lines))
-    seconds = stamp_seconds(F.col("line"))
-    runs = lines.groupBy("run_id").agg(
-        F.count("*").alias("n_lines"), (F.max(seconds) - F.min(seconds)).alias("elapsed_seconds")
-    )
+        outcomes = per_test(tests_of(facts))
+    runs = facts.where("line_no = 0").select("run_id")
     joined = runs.join(test_counts(outcomes), "run_id", "left").join(
-        last_summary(lines), "run_id", "left"
+        last_summary(facts), "run_id", "left"
     )
     by_summary = F.col("sum_total").isNotNull()
     by_tests = F.col("n_tests").isNotNull()
@@ -176,8 +191,6 @@ def verdict(lines: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
         failed.alias("failed"),
         F.coalesce(F.when(F.col("sum_rate") >= 0, F.col("sum_rate")), computed).alias("pass_rate"),
         F.concat_ws("; ", rule, note).alias("notes"),
-        "n_lines",
-        "elapsed_seconds",
     )
 
 
@@ -194,17 +207,20 @@ def failed_lists(failures: DataFrame) -> DataFrame:
     )
 
 
-def verdict_records(lines: DataFrame, grammars: tuple[str, ...] = ("test_case", "testcase")) -> DataFrame:
+def verdict_records(facts: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """The verdict with its failed-test list and per-test map."""
-    outcomes = per_test(test_lines(lines, grammars))
+    if outcomes is None:
+        outcomes = per_test(tests_of(facts))
     # one row per distinct test of the run, so the map has no repeated keys
     entries = F.sort_array(F.collect_list(F.struct("test_name", "status")))
-    maps = outcomes.groupBy("run_id").agg(F.map_from_entries(entries).alias("per_test"))
-    return (
-        verdict(lines, outcomes)
-        .join(failed_lists(failed_tests(outcomes)), "run_id", "left")
-        .join(maps, "run_id", "left")
+    failed = F.collect_list(
+        F.when(F.col("status") == "FAILED", F.struct("first_line", "test_name"))
+    )
+    lists = outcomes.groupBy("run_id").agg(
+        tx.none_if_empty(F.transform(F.sort_array(failed), lambda x: x["test_name"])).alias("failed_tests"),
+        F.map_from_entries(entries).alias("per_test"),
     )
+    return verdict(facts, outcomes).join(lists, "run_id", "left")
 
 
 def failed_with_fallback(records: DataFrame) -> DataFrame:
