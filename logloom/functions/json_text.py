@@ -9,13 +9,18 @@ BRACED = r"(?s)(\{.*\})"
 def strict_json(text: Column) -> Column:
     """VARIANT of a text that is one whole JSON value, else NULL.
 
-    try_parse_json alone ignores what follows the value, so the text must also
-    parse as the only element of an array and as the only field of an object.
+    try_parse_json alone ignores what follows the value. So the text is parsed as the
+    first element of an array that ends in a mark the text cannot contain, its own md5:
+    the text is one value exactly when the mark comes second and last.
     """
-    as_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("\n}")))
-    alone = as_array.isNotNull() & F.try_variant_get(as_array, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(as_field, "$.w", "variant"))
+
+    def alone(pair: Column) -> Column:
+        marked = F.try_variant_get(pair, "$[1]", "string") == F.md5(text)
+        ended = F.try_variant_get(pair, "$[2]", "variant").isNull()
+        return F.when(marked & ended, F.try_variant_get(pair, "$[0]", "variant"))
+
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit('\n,"'), F.md5(text), F.lit('"]')))
+    return F.get(F.transform(F.array(pair), alone), F.lit(0))
 
 
 def find_json(text: Column) -> Column:

@@ -14,10 +14,19 @@ def norm(v: Column) -> Column:
     )
 
 
+def _with_value(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once per row and not once per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """L2-normalised vector; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+
+    def scaled(w: Column) -> Column:
+        length = F.when(norm(w) == 0, 1.0).otherwise(norm(w))
+        return _with_value(length, lambda n: F.transform(w, lambda x: x.cast("double") / n))
+
+    return _with_value(v, scaled)
 
 
 def zero_vector(dim: int) -> Column:

@@ -158,4 +158,4 @@ def outcome_records(
     )
     if have or make_embedder is None:
         return records
-    return embed_texts(records, "document", make_embedder, dim)
+    return embed_texts(records, "document", make_embedder, dim, spread_by="id")

@@ -47,3 +47,26 @@ def review_message(approved) -> F.Column:
     return F.when(approved, "Human review approved. Proceeding to next steps.").otherwise(
         "Human review rejected or pending. Workflow paused/stopped."
     )
+
+
+def traffic_light(source, review_action) -> F.Column:
+    """green: from an expert; amber: suggested and approved or edited; red: not looked at yet."""
+    return (
+        F.when(source == "SME", "green")
+        .when(review_action.isin("approve", "edit"), "amber")
+        .otherwise("red")
+    )
+
+
+def promotable(reviewed: DataFrame, sme: DataFrame) -> DataFrame:
+    """Reviewed templates to append to the expert table: approved or edited, and not in it yet."""
+    from logloom.operators.templates import template_key
+
+    known = sme.select(template_key(F.col("template")).alias("key"))
+    return (
+        reviewed.where(F.col("review_action").isin("approve", "edit") & (F.col("source") != "SME"))
+        .withColumn("key", template_key(F.col("template")))
+        .join(known, "key", "left_anti")
+        .dropDuplicates(["key"])
+        .select("template", "severity", "causality", "summary", F.lit(None).cast("string").alias("resolution"))
+    )

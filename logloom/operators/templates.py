@@ -26,19 +26,37 @@ def mask(line: Column, masks: Masks = MASKS) -> Column:
     return line
 
 
-def values_of(line: Column, masks: Masks = MASKS) -> Column:
-    """MAP of <KIND>_<n> to the text each mask took out, in reading order per kind."""
+def with_variables(
+    df: DataFrame, line: str = "line", masks: Masks = MASKS, template: str = "template", variables: str = "variables"
+) -> DataFrame:
+    """Add the template and an array of (variable, value) the masks took out of the line.
 
-    def taken_by(kind: str, pattern: str) -> Column:
-        taken = F.regexp_extract_all(line, F.lit(pattern), 0)
-        names = F.transform(taken, lambda _, i: F.concat(F.lit(kind + "_"), (i + 1).cast("string")))
-        return F.map_from_arrays(names, taken)
+    Variables are <KIND>_<n>, counted per kind in reading order. Each mask works on the text the
+    masks before it have left, one column per mask, so no text is masked twice.
+    """
+    columns = df.columns
+    df = df.withColumn("_text0", F.col(line))
+    taken = []
+    for i, (kind, pattern) in enumerate(masks):
+        text = F.col(f"_text{i}")
+        df = df.withColumn(f"_taken{i}", F.regexp_extract_all(text, F.lit(pattern), 0)).withColumn(
+            f"_text{i + 1}", F.regexp_replace(text, pattern, f"<{kind}>")
+        )
+        taken.append(_named(F.col(f"_taken{i}"), kind))
+    return df.select(
+        *[c for c in columns if c not in (template, variables)],
+        F.col(f"_text{len(masks)}").alias(template),
+        F.concat(*taken).alias(variables),
+    )
 
-    maps = []
-    for kind, pattern in masks:
-        maps.append(taken_by(kind, pattern))
-        line = F.regexp_replace(line, pattern, f"<{kind}>")
-    return F.map_concat(*maps)
+
+def _named(taken: Column, kind: str) -> Column:
+    return F.transform(
+        taken,
+        lambda value, i: F.struct(
+            F.concat(F.lit(kind + "_"), (i + 1).cast("string")).alias("variable"), value.alias("value")
+        ),
+    )
 
 
 def template_key(template: Column) -> Column:
@@ -80,13 +98,11 @@ def extract_templates(lines: DataFrame, masks: Masks = MASKS, guidance: Masks =
 
 def template_values(lines: DataFrame, masks: Masks = MASKS, guidance: Masks = ()) -> DataFrame:
     """Every distinct value of every template variable with its count, as rows."""
-    rules = [*guidance, *masks]
+    masked = with_variables(
+        lines.where(~tx.is_blank(F.col("line"))).select("line"), masks=[*guidance, *masks]
+    )
     return (
-        lines.where(~tx.is_blank(F.col("line")))
-        .select(
-            mask(F.col("line"), rules).alias("template"),
-            F.explode(values_of(F.col("line"), rules)).alias("variable", "value"),
-        )
+        masked.select("template", F.inline("variables"))
         .groupBy("template", "variable", "value")
         .agg(F.count("*").alias("n"))
     )
@@ -157,8 +173,9 @@ def with_context(
         F.max(F.when(F.col("offset") == 0, F.col("line"))).alias("match"),
         side(F.col("offset") > 0).alias("after"),
     )
+    found = with_variables(found, "match", masks, template="_masked")
     return templates.join(found, "template").select(
         *[F.col(c) for c in templates.columns],
-        F.array(values_of(F.col("match"), masks)).alias("values"),
+        F.array(F.map_from_entries("variables")).alias("values"),
         F.struct("before", "match", "after").alias("context"),
     )

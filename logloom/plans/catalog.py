@@ -113,7 +113,8 @@ def s_json_extract(spark, d):
     for i, text in parts.items():
         reply = F.when(event % 8 == i, text).otherwise(reply)
     rows = table(configure(spark), d, "events").select("event_id", reply.alias("reply"))
-    found = js.find_json(F.col("reply"))
+    rows = rows.withColumn("found", js.find_json(F.col("reply")))
+    found = F.col("found")
     return rows.select(
         "event_id",
         js.json_string(found, "$.k").alias("k"),
@@ -213,7 +214,7 @@ def v_mean_pool(spark, d):
 def v_embed_index(spark, d):
     """Every document chunked, embedded, pooled and normalised: one row per vector place."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    embedded = em.embed_texts(docs, "text", em.hashing_embedder(DIM), DIM)
+    embedded = em.embed_texts(docs, "text", em.hashing_embedder(DIM), DIM, spread_by="doc_id")
     return embedded.select("doc_id", "n_chunks", F.posexplode("embedding").alias("pos", "x")).select(
         "doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("pos").cast("long").alias("pos"),
         (F.round(F.col("x").cast("double"), 5) + F.lit(0.0)).alias("x"),
@@ -430,7 +431,9 @@ def m_context(spark, d):
     _, failed = rp.passed_and_failed(cut_lineage(vd.verdict(facts, outcomes)))
     failures = vd.failed_tests(outcomes).join(failed.select("run_id"), "run_id", "left_semi")
     failed_logs = logs.join(failed.select("run_id"), "run_id", "left_semi")
-    embedded = em.embed_texts(failed_logs, "log_content", em.hashing_embedder(DIM), DIM)
+    embedded = em.embed_texts(
+        failed_logs, "log_content", em.hashing_embedder(DIM), DIM, spread_by="run_id"
+    )
     hits = history_hits(embedded, _past_issues(spark, d), HISTORY_HITS)
     tips, _ = _event_tips(spark, d)
     known = mem.tips_for_failures(failures, tips)

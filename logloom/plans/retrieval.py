@@ -12,7 +12,7 @@ def retrieve(
     queries: DataFrame, vectors: DataFrame, make_embedder: EmbedderFactory, dim: int, top_k: int = TOP_K
 ) -> DataFrame:
     """Hits of queries (query_id, query): rank, id, document, metadata, distance."""
-    embedded = embed_texts(queries, "query", make_embedder, dim)
+    embedded = embed_texts(queries, "query", make_embedder, dim, spread_by="query_id")
     hits = knn_join(
         embedded.select("query_id", F.col("embedding").alias("query_vec")),
         vectors.select(F.col("id").alias("vec_id"), F.col("embedding").alias("vec")),

@@ -58,7 +58,7 @@ def triage_logs(
     """
     blank = tx.is_blank(F.col("log_content"))
     rejected = logs.where(blank).select("run_id")
-    kept = cut_lineage(embed_texts(logs.where(~blank), "log_content", make_embedder, dim))
+    kept = cut_lineage(embed_texts(logs.where(~blank), "log_content", make_embedder, dim, spread_by="run_id"))
     lines = vd.explode_logs(kept)
     facts = cut_lineage(vd.scan_lines(lines))
     outcomes = vd.per_test(vd.tests_of(facts))

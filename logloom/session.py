@@ -1,6 +1,7 @@
 """Session settings and lineage cuts."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,20 +14,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_scratch: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``; local sessions may make their own."""
+    global _local_scratch
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    if _local_scratch is None:
+        _local_scratch = tempfile.mkdtemp(prefix="logloom-")
+    return _local_scratch
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table into the shared folder and go on from that table.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local
-    session without one gets a scratch folder; a cluster session without one keeps
-    its lineage, which costs recomputation but never correctness.
+    Later steps read only the columns they need, know the table's size, and survive the
+    loss of executors. A cluster session that names no folder keeps the lineage: that costs
+    recomputation but gives the same result.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared:
-            sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-checkpoint-"))
-        else:
-            return df
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,90 +9,52 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def event_log_lines(events: DataFrame) -> DataFrame:
-    """One run per user and day: (run_id, line_no, line, day).
+EVENT_LINES = """
+WITH stamped AS (
+  SELECT ts, event_id, user_id, event_type, substring(CAST(ts AS STRING), 1, 19) AS stamp FROM {events}),
+named AS (
+  SELECT *, concat('run_', user_id, '_', replace(substring(stamp, 1, 10), '-', '')) AS run_id,
+    concat('test_', event_type, '_', event_id % 7) AS test, user_id % 17 <> 0 AS tested,
+    CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_id % 11 = 0 THEN 'SKIPPED' ELSE 'PASSED' END AS status
+  FROM stamped),
+worded AS (
+  SELECT *, CASE WHEN NOT tested THEN concat('[', stamp, '] INFO heartbeat ', event_id)
+      WHEN user_id % 2 = 0 THEN concat('[', stamp, '] TESTCASE: ', test, ' ', status)
+      ELSE concat('Test case ', test, ': ', status) END AS main
+  FROM named),
+body AS (
+  SELECT run_id, 0 AS blk, ts, event_id, posexplode(array(
+      main,
+      CASE WHEN tested AND status = 'FAILED' THEN concat('Error: code ', event_id % 5, ' value ', event_id) END,
+      CASE WHEN tested AND event_id % 5 = 0 THEN 'Output validation PASSED' END,
+      CASE WHEN tested AND event_id % 13 = 0 THEN main END)) AS (k, line)
+  FROM worded),
+totals AS (
+  SELECT run_id, max(ts) AS ts, max(event_id) AS event_id, count(*) AS n,
+    count_if(status = 'PASSED') AS p, count_if(status = 'FAILED') AS f
+  FROM named WHERE user_id % 3 = 0 AND tested GROUP BY run_id),
+endings AS (
+  SELECT run_id, 1 AS blk, ts, event_id, posexplode(array('TEST EXECUTION SUMMARY',
+      concat('Total test cases: ', n + 1), concat('Passed: ', n + 1), 'Failed: 0', 'Pass rate: 100.0')) AS (k, line)
+  FROM totals
+  UNION ALL
+  SELECT run_id, 2 AS blk, ts, event_id, posexplode(array('TEST EXECUTION SUMMARY',
+      concat('Total test cases: ', n), concat('Passed: ', p), concat('Failed: ', f))) AS (k, line)
+  FROM totals)
+SELECT *, blk * 1000000000L + unix_micros(CAST(ts AS TIMESTAMP)) DIV 60000000 AS slice
+FROM (SELECT * FROM body WHERE line IS NOT NULL UNION ALL SELECT * FROM endings)
+"""
 
-    Each event writes up to four lines; some runs end with summary blocks. The
-    lines of a run are numbered by minute slices, so no run needs one task.
-    """
-    stamp = F.substring(F.col("ts").cast("string"), 1, 19)
-    user, event = F.col("user_id"), F.col("event_id")
-    events = events.select(
-        F.concat(
-            F.lit("run_"), user.cast("string"), F.lit("_"),
-            F.replace(F.substring(F.col("ts").cast("string"), 1, 10), F.lit("-"), F.lit("")),
-        ).alias("run_id"),
-        "ts", "event_id", "user_id", "event_type",
-        F.when(F.col("event_type") == "error", "FAILED")
-        .when(event % 11 == 0, "SKIPPED")
-        .otherwise("PASSED")
-        .alias("status"),
-    )
-    tested = user % 17 != 0
-    name = F.concat(F.lit("test_"), F.col("event_type"), F.lit("_"), (event % 7).cast("string"))
-    main = (
-        F.when(~tested, F.concat(F.lit("["), stamp, F.lit("] INFO heartbeat "), event.cast("string")))
-        .when(
-            user % 2 == 0,
-            F.concat(F.lit("["), stamp, F.lit("] TESTCASE: "), name, F.lit(" "), F.col("status")),
-        )
-        .otherwise(F.concat(F.lit("Test case "), name, F.lit(": "), F.col("status")))
-    )
-    error = F.concat(
-        F.lit("Error: code "), (event % 5).cast("string"), F.lit(" value "), event.cast("string")
-    )
-    written = F.array(
-        F.struct(F.lit(0).alias("k"), main.alias("line")),
-        F.struct(F.lit(1).alias("k"), F.when(tested & (F.col("status") == "FAILED"), error).alias("line")),
-        F.struct(F.lit(2).alias("k"), F.when(tested & (event % 5 == 0), "Output validation PASSED").alias("line")),
-        F.struct(F.lit(3).alias("k"), F.when(tested & (event % 13 == 0), main).alias("line")),
-    )
-    body = (
-        events.select("run_id", F.lit(0).alias("blk"), "ts", "event_id", F.explode(written).alias("w"))
-        .select("run_id", "blk", "ts", "event_id", "w.k", "w.line")
-        .where("line IS NOT NULL")
-    )
-    totals = (
-        events.where((user % 3 == 0) & tested)
-        .groupBy("run_id")
-        .agg(
-            F.max("ts").alias("ts"),
-            F.max("event_id").alias("event_id"),
-            F.count("*").alias("n"),
-            F.count_if(F.col("status") == "PASSED").alias("p"),
-            F.count_if(F.col("status") == "FAILED").alias("f"),
-        )
-    )
 
-    def block(blk: int, *texts):
-        return [
-            F.struct(F.lit(blk).alias("blk"), F.lit(i).alias("k"), text.alias("line"))
-            for i, text in enumerate(texts)
-        ]
+def event_log_lines(events: DataFrame) -> DataFrame:
+    """One run per user and day: (run_id, line_no, line).
 
-    header = F.lit("TEST EXECUTION SUMMARY")
-    more = F.col("n") + 1
-    endings = F.array(
-        *block(
-            1, header,
-            F.format_string("Total test cases: %d", more), F.format_string("Passed: %d", more),
-            F.lit("Failed: 0"), F.lit("Pass rate: 100.0"),
-        ),
-        *block(
-            2, header,
-            F.format_string("Total test cases: %d", F.col("n")),
-            F.format_string("Passed: %d", F.col("p")), F.format_string("Failed: %d", F.col("f")),
-        ),
-    )
-    tails = totals.select("run_id", "ts", "event_id", F.explode(endings).alias("w")).select(
-        "run_id", "w.blk", "ts", "event_id", "w.k", "w.line"
-    )
-    lines = body.unionByName(tails).withColumn(
-        "slice", F.col("blk") * 10**9 + F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
-    )
-    numbered = number_lines(lines, "run_id", "slice", ["blk", "ts", "event_id", "k"])
-    return numbered.select(
-        "run_id", "line_no", "line", F.substring(F.col("ts").cast("string"), 1, 10).alias("day")
+    Each event writes up to four lines; some runs end with two summary blocks, the first
+    of them wrong. The lines of a run are numbered by minute slices, so no run needs one task.
+    """
+    lines = events.sparkSession.sql(EVENT_LINES, events=events)
+    return number_lines(lines, "run_id", "slice", ["blk", "ts", "event_id", "k"]).select(
+        "run_id", "line_no", "line"
     )
 
 
