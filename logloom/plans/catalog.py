@@ -18,7 +18,7 @@ from logloom.operators import (
 )
 from logloom.plans.triage import HISTORY_HITS, history_hits
 from logloom.session import configure, cut_lineage
-from logloom.sources.run_logs import document_logs, event_log_lines, table
+from logloom.sources.run_logs import document_logs, event_lines, event_log_lines, table
 
 DIM = 64
 
@@ -356,7 +356,12 @@ def k_augment(spark, d):
 # ---- memory ------------------------------------------------------------------
 
 
-def _reported(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _run_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times need no line numbers, so the lines are not numbered for them."""
+    return vd.run_times(event_lines(table(spark, d, "events")))
+
+
+def _reported(lines: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs with both reports, failed tests of failed runs, their explanations)."""
     facts = _facts(lines)
     outcomes = _outcomes(facts)
@@ -364,7 +369,7 @@ def _reported(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, failed = rp.passed_and_failed(verdicts)
     failures = vd.failed_tests(outcomes).join(failed.select("run_id"), "run_id", "left_semi")
     explained = cut_lineage(rp.test_explanations(failures, rp.error_details(facts, failures)))
-    runs = verdicts.join(rp.pass_reports(verdicts, vd.run_times(lines)), "run_id", "left").join(
+    runs = verdicts.join(rp.pass_reports(verdicts, times), "run_id", "left").join(
         rp.failure_reports(verdicts, explained), "run_id", "left"
     )
     return runs, explained.select("run_id", "test_name", "first_line"), explained
@@ -372,7 +377,7 @@ def _reported(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _event_tips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(latest tips written by the event runs, failed tests of those runs)."""
-    runs, failures, _ = _reported(_stored_lines(spark, d))
+    runs, failures, _ = _reported(_lines(spark, d), _run_times(spark, d))
     reported = runs.select(
         "run_id", "test_status",
         tx.chosen_report(F.col("failure_report"), F.col("summary_report")).alias("report"),
@@ -442,7 +447,8 @@ def m_context(spark, d):
 
 def m_commit(spark, d):
     logs = _logs(spark, d).drop("doc_id")
-    runs, _, _ = _reported(vd.explode_logs(logs))
+    lines = vd.explode_logs(logs)
+    runs, _, _ = _reported(lines, vd.run_times(lines))
     records = mem.outcome_records(runs.join(logs, "run_id"), "log_templates")
     return records.select(
         "id", "template", "severity", "summary", "causality",
@@ -484,30 +490,29 @@ def m_infer(spark, d):
 
 
 def r_pass(spark, d):
-    lines = _stored_lines(spark, d)
-    return rp.pass_reports(vd.verdict(_facts(lines)), vd.run_times(lines))
+    return rp.pass_reports(vd.verdict(_facts(_lines(spark, d))), _run_times(spark, d))
 
 
 def r_failure(spark, d):
-    runs, _, _ = _reported(_stored_lines(spark, d))
+    runs, _, _ = _reported(_lines(spark, d), _run_times(spark, d))
     _, failed = rp.passed_and_failed(runs)
     return failed.select("run_id", "failure_report")
 
 
 def r_tickets(spark, d):
-    runs, _, explained = _reported(_stored_lines(spark, d))
+    runs, _, explained = _reported(_lines(spark, d), _run_times(spark, d))
     return rp.ticket_lists(runs, rp.plan_tickets(explained))
 
 
 def r_ticket_rows(spark, d):
-    _, _, explained = _reported(_stored_lines(spark, d))
+    _, _, explained = _reported(_lines(spark, d), _run_times(spark, d))
     return rp.plan_tickets(explained).drop("first_line")
 
 
 def r_report(spark, d):
     logs = _logs(spark, d).drop("doc_id")
     lines = vd.explode_logs(logs)
-    runs, failures, _ = _reported(lines)
+    runs, failures, _ = _reported(lines, vd.run_times(lines))
     complete = (
         runs.join(logs, "run_id")
         .join(vd.failed_lists(failures), "run_id", "left")
@@ -518,7 +523,7 @@ def r_report(spark, d):
 
 def r_routes(spark, d):
     """Which path each run takes, and whether tickets are planned for it."""
-    runs, _, explained = _reported(_stored_lines(spark, d))
+    runs, _, explained = _reported(_lines(spark, d), _run_times(spark, d))
     tickets = rp.plan_tickets(explained)
     planned, unplanned = rp.with_and_without_tickets(runs, tickets)
     passed = F.when(F.col("test_status") == "passed", "pass_analysis").otherwise("failure_analysis")

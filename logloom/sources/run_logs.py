@@ -46,13 +46,17 @@ FROM (SELECT * FROM body WHERE line IS NOT NULL UNION ALL SELECT * FROM endings)
 """
 
 
-def event_log_lines(events: DataFrame) -> DataFrame:
-    """One run per user and day: (run_id, line_no, line).
+def event_lines(events: DataFrame) -> DataFrame:
+    """One run per user and day, with unnumbered lines: (run_id, line) and the columns that order them.
 
-    Each event writes up to four lines; some runs end with two summary blocks, the first
-    of them wrong. The lines of a run are numbered by minute slices, so no run needs one task.
+    Each event writes up to four lines; some runs end with two summary blocks, the first of them wrong.
     """
-    lines = events.sparkSession.sql(EVENT_LINES, events=events)
+    return events.sparkSession.sql(EVENT_LINES, events=events)
+
+
+def event_log_lines(events: DataFrame) -> DataFrame:
+    """(run_id, line_no, line). Lines are numbered by minute slices, so no run needs one task."""
+    lines = event_lines(events)
     return number_lines(lines, "run_id", "slice", ["blk", "ts", "event_id", "k"]).select(
         "run_id", "line_no", "line"
     )
