@@ -4,6 +4,10 @@ from pyspark.sql import Column, functions as F
 
 FENCED = r"(?s)```json\s*(.*?)\s*```"
 BRACED = r"(?s)(\{.*\})"
+# Failed parses are slow, so prose is turned away by its first and last character.
+LOOKS_LIKE_JSON = (
+    r"(?s)^[ \t\r\n]*(?:\{.*\}|\[.*\]|\".*\"|-?[0-9].*|true|false|null)[ \t\r\n]*$"
+)
 
 
 def strict_json(text: Column) -> Column:
@@ -20,7 +24,7 @@ def strict_json(text: Column) -> Column:
         return F.when(marked & ended, F.try_variant_get(pair, "$[0]", "variant"))
 
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit('\n,"'), F.md5(text), F.lit('"]')))
-    return F.get(F.transform(F.array(pair), alone), F.lit(0))
+    return F.when(text.rlike(LOOKS_LIKE_JSON), F.get(F.transform(F.array(pair), alone), F.lit(0)))
 
 
 def find_json(text: Column) -> Column:

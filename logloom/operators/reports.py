@@ -6,6 +6,7 @@ from logloom.functions import text as tx
 from logloom.operators import verdict as vd
 from logloom.operators.enrich import CAUSALITY_RULES, first_match
 from logloom.operators.ordered import latest_marker
+from logloom.operators.skew import salted_lookup
 from logloom.operators.templates import mask
 
 # Fixed value: the state of a new ticket.
@@ -56,27 +57,43 @@ def error_details(facts: DataFrame, failures: DataFrame) -> DataFrame:
     failed_lines = vd.tests_of(facts).where("status = 'FAILED'").select(
         "run_id", F.col("line_no").alias("marker_no"), "test_name"
     )
-    return (
-        counted.join(failed_lines, ["run_id", "marker_no"])
-        .groupBy("run_id", "test_name", "message")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("at").alias("first_line"),
-            F.min_by("example", "at").alias("example"),
-        )
-        .join(failures.select("run_id", "test_name"), ["run_id", "test_name"], "left_semi")
+    found = salted_lookup(counted, failed_lines, ["run_id", "marker_no"], F.col("message"))
+    per_test = found.groupBy("run_id", "test_name", "message").agg(
+        F.sum("n").alias("n"),
+        F.min("at").alias("first_line"),
+        F.min_by("example", "at").alias("example"),
     )
+    failed_tests = failures.select("run_id", "test_name")
+    return salted_lookup(per_test, failed_tests, ["run_id", "test_name"], F.col("message"), "left_semi")
 
 
 def test_explanations(failures: DataFrame, details: DataFrame) -> DataFrame:
-    """(run_id, test_name, first_line, explanation): the distinct errors of each failed test."""
+    """(run_id, test_name, first_line, explanation) of each failed test.
+
+    The text has a fixed size: how many error lines of how many kinds, the first and the last
+    kind, and the likely causes with their counts. The kinds themselves stay in ``details``.
+    """
     cause = first_match(F.col("message"), CAUSALITY_RULES, "Application")
-    shown = F.concat(
-        F.col("example"), F.lit(" (x"), F.col("n").cast("string"), F.lit(", likely cause: "), cause, F.lit(")")
+    totals = (
+        details.withColumn("cause", cause)
+        .groupBy("run_id", "test_name", "cause")
+        .agg(
+            F.sum("n").alias("n"),
+            F.count("*").alias("kinds"),
+            F.min(F.struct("first_line", "example")).alias("first"),
+            F.max(F.struct("first_line", "example")).alias("last"),
+        )
     )
-    ordered = F.sort_array(F.collect_list(F.struct("first_line", shown.alias("text"))))
-    per_test = details.groupBy("run_id", "test_name").agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "; ").alias("errors")
+    counts = F.transform(
+        F.sort_array(F.collect_list(F.struct("cause", "n"))),
+        lambda c: F.concat(c["cause"], F.lit(" x"), c["n"].cast("string")),
+    )
+    per_test = totals.groupBy("run_id", "test_name").agg(
+        F.concat(
+            F.sum("n").cast("string"), F.lit(" error lines of "), F.sum("kinds").cast("string"),
+            F.lit(" kinds; first: "), F.min("first")["example"], F.lit("; last: "), F.max("last")["example"],
+            F.lit("; likely causes: "), F.array_join(counts, ", "),
+        ).alias("errors")
     )
     return failures.join(per_test, ["run_id", "test_name"], "left").select(
         "run_id", "test_name", "first_line",

@@ -8,7 +8,7 @@ SALTS = 16
 def salted_lookup(
     rows: DataFrame,
     lookup: DataFrame,
-    key: str,
+    key: str | list[str],
     spread_by: Column,
     how: str = "inner",
     salts: int = SALTS,
@@ -21,4 +21,5 @@ def salted_lookup(
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

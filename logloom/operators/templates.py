@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom import schemas
 from logloom.functions import text as tx
 from logloom.operators.ordered import neighbours
+from logloom.operators.skew import salted_lookup
 
 # Applied in this order; a later mask sees the placeholders of the earlier ones.
 MASKS = [
@@ -14,7 +15,7 @@ MASKS = [
     ("HEX", r"\b0[xX][0-9a-fA-F]+\b"),
     ("PATH", r"(?:/[A-Za-z0-9_.-]+){2,}"),
     ("STR", r"\"[^\"<>]*\""),
-    ("NUM", r"\b\d+(?:\.\d+)?\b"),
+    ("NUM", r"\b\d+(?:\.\d+)?(?:ns|us|ms|s|m|h|B|KB|MB|GB)?\b"),
 ]
 Masks = list[tuple[str, str]]
 CONTEXT_TYPE = schemas.CONTEXT
@@ -129,7 +130,7 @@ def merge_wildcards(templates: DataFrame, max_distinct: int = 3) -> DataFrame:
         .groupBy(*group).agg((F.count("*") > max_distinct).alias("wild"))
     )
     merged = (
-        tokens.join(wide, group)
+        salted_lookup(tokens, wide, group, F.col("template"))
         .withColumn("token", F.when(F.col("wild"), "<*>").otherwise(F.col("token")))
         .groupBy("template")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("parts"))

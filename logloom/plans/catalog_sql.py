@@ -152,11 +152,18 @@ errors AS (
     arg_min(e.line, e.line_no) AS example
   FROM marked e JOIN tests t ON t.run_id = e.run_id AND t.line_no = e.m AND t.status = 'FAILED'
   WHERE e.line IS NOT NULL GROUP BY 1, 2, 3),
+causes AS (
+  SELECT run_id, test_name, {_rules("message", CAUSALITY_RULES, "Application")} AS cause, sum(n) AS n
+  FROM errors GROUP BY 1, 2, 3),
+cause_texts AS (
+  SELECT run_id, test_name, string_agg(cause || ' x' || n, ', ' ORDER BY cause) AS causes FROM causes GROUP BY 1, 2),
+error_texts AS (
+  SELECT run_id, test_name, sum(n) || ' error lines of ' || count(*) || ' kinds; first: ' || arg_min(example, first_line)
+    || '; last: ' || arg_max(example, first_line) AS errors FROM errors GROUP BY 1, 2),
 explained AS (
-  SELECT f.run_id, f.test_name, f.first_line, coalesce(string_agg(
-      example || ' (x' || n || ', likely cause: ' || {_rules("message", CAUSALITY_RULES, "Application")} || ')',
-      '; ' ORDER BY e.first_line), 'no error lines') AS explanation
-  FROM failures f LEFT JOIN errors e ON e.run_id = f.run_id AND e.test_name = f.test_name GROUP BY 1, 2, 3),
+  SELECT f.run_id, f.test_name, f.first_line, coalesce(errors || '; likely causes: ' || causes, 'no error lines') AS explanation
+  FROM failures f LEFT JOIN error_texts e ON e.run_id = f.run_id AND e.test_name = f.test_name
+  LEFT JOIN cause_texts c ON c.run_id = f.run_id AND c.test_name = f.test_name),
 listed AS (
   SELECT run_id, string_agg('- ' || test_name || ': ' || explanation, chr(10) ORDER BY first_line, test_name) AS listed
   FROM explained GROUP BY run_id),

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from logloom import schemas
+from logloom.session import cut_lineage
 
 DEFAULT_COLLECTION = "log_templates"
 
@@ -25,10 +26,16 @@ def open_collection(spark: SparkSession, path: str, name: str = DEFAULT_COLLECTI
 
 
 def append_vectors(records: DataFrame, path: str) -> None:
-    """Append records whose id is not stored yet, so a repeated run adds nothing."""
+    """Append records whose id is not stored yet, so a repeated run adds nothing.
+
+    The stored ids are matched against the new ones, not the other way round: a small batch
+    is then broadcast by Spark, and the table's ids are read without a shuffle.
+    """
     names = [field.name for field in schemas.VECTORS]
+    batch = cut_lineage(records.select(*names).dropDuplicates(["id"]))
     stored = open_table(records.sparkSession, path, schemas.VECTORS).select("id")
-    fresh = records.select(*names).dropDuplicates(["id"]).join(stored, "id", "left_anti")
+    known = stored.join(batch.select("id"), "id", "left_semi")
+    fresh = batch.join(known, "id", "left_anti")
     fresh.select(*names).write.mode("append").partitionBy("collection", "record_kind").parquet(path)
 
 

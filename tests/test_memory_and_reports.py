@@ -67,12 +67,11 @@ def test_error_details_and_tickets(spark):
     failures = vd.failed_tests(outcomes)
     details = rp.error_details(facts, failures)
     assert {(r.test_name, r.message, r.n) for r in details.collect()} == {
-        ("login", "Error: Connection timeout after 30s", 1), ("login", "Error: Connection timeout after 31s", 1),
-        ("login", "Stacktrace: a.py:<NUM>", 1),
+        ("login", "Error: Connection timeout after <NUM>", 2), ("login", "Stacktrace: a.py:<NUM>", 1),
     }
     explained = rp.test_explanations(failures, details)
     reports = {r.run_id: r.failure_report for r in rp.failure_reports(verdicts, explained).collect()}
-    assert set(reports) == {"f", "u"} and "None identified" in reports["u"] and "likely cause: Network" in reports["f"]
+    assert set(reports) == {"f", "u"} and "None identified" in reports["u"] and "likely causes: Application x1, Network x2" in reports["f"]
     passed = rp.pass_reports(verdicts, vd.run_times(lines)).collect()
     assert [r.run_id for r in passed] == ["p"] and "Execution time: 65 s" in passed[0].summary_report
     tickets = rp.plan_tickets(explained)
