@@ -250,7 +250,7 @@ def k_templates_pages(spark, d):
 
 
 def k_values(spark, d):
-    return tp.template_values(_lines(spark, d))
+    return tp.template_values(event_lines(table(configure(spark), d, "events")))
 
 
 def k_merge(spark, d):
