@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+# Where a reply may hold its JSON.
 FENCED = r"(?s)```json\s*(.*?)\s*```"
 BRACED = r"(?s)(\{.*\})"
 # Failed parses are slow, so prose is turned away by its first and last character.

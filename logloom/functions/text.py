@@ -10,7 +10,7 @@ SUMMARY_PREFIX = 200
 CAUSALITY_PREFIX = 500
 TICKET_BUCKETS = 10000
 
-# (?d) keeps "." from stopping at \r, (?U) lets \s match every Unicode space.
+# Fixed value: the failed-test pattern. (?d) keeps "." from stopping at \r, (?U) lets \s match every Unicode space.
 FAILED_TESTCASE = r"(?d)(?U)TESTCASE:\s*(.*?)\s*FAILED"
 
 

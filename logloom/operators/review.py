@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 
 EDITABLE = ["severity", "causality", "summary"]
 
+# The messages after review.
+APPROVED = "Human review approved. Proceeding to next steps."
+NOT_APPROVED = "Human review rejected or pending. Workflow paused/stopped."
+
 
 def split_decisions(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable decisions, rejected ones). "category" is another name for causality."""
@@ -44,9 +48,7 @@ def apply_review(templates: DataFrame, decisions: DataFrame, on_reject: str = "d
 
 
 def review_message(approved) -> F.Column:
-    return F.when(approved, "Human review approved. Proceeding to next steps.").otherwise(
-        "Human review rejected or pending. Workflow paused/stopped."
-    )
+    return F.when(approved, F.lit(APPROVED)).otherwise(F.lit(NOT_APPROVED))
 
 
 def traffic_light(source, review_action) -> F.Column:

@@ -8,6 +8,11 @@ from logloom.functions import text as tx
 from logloom.operators.ordered import number_lines
 
 
+# The messages about the expert table.
+NO_SME = "No SME reference data provided."
+SME_LOADED = "Successfully loaded SME reference data from {}."
+
+
 def pasted_logs(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """Logs typed in by hand: one (run_id, log_text) per run."""
     return spark.createDataFrame(rows, "run_id string, log_text string")
@@ -63,13 +68,13 @@ def read_sme(spark: SparkSession, path: str | None, file_format: str = "csv") ->
     """The expert table and a message; a missing or unreadable path gives an empty table."""
     empty = spark.createDataFrame([], schemas.SME)
     if not path:
-        return empty, "No SME reference data provided."
+        return empty, NO_SME
     reader = spark.read.schema(schemas.SME)
     if file_format == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     try:
-        return reader.format(file_format).load(path), f"Successfully loaded SME reference data from {path}."
+        return reader.format(file_format).load(path), SME_LOADED.format(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return empty, "No SME reference data provided."
+            return empty, NO_SME
         return empty, f"Error loading SME table: {error.getCondition()}"

@@ -154,3 +154,9 @@ def test_build_store_and_retrieve(spark, tmp_path):
     hits = retrieval.retrieve(queries, stored, hashing_embedder(32), 32, top_k=3).orderBy("rank").collect()
     assert len(hits) == 3 and hits[0].document.startswith("user <STR> logged in")
     assert hits[0].metadata.severity == "WARN" and hits[0].distance <= hits[1].distance
+
+
+def test_review_message(spark):
+    rows = spark.createDataFrame([(True,), (False,), (None,)], "ok boolean")
+    got = [r[0] for r in rows.select(rv.review_message(F.col("ok"))).collect()]
+    assert got == [rv.APPROVED, rv.NOT_APPROVED, rv.NOT_APPROVED]
