@@ -301,7 +301,7 @@ def _pending(spark: SparkSession, d: str) -> DataFrame:
 def k_enrich(spark, d):
     return _pending(spark, d).select(
         "template", "severity", "causality", "summary", "source", "resolution",
-        F.col("context.match").alias("match"), F.size("values").cast("long").alias("n_values"),
+        F.col("context.match").alias("match"), F.size("values").alias("n_values"),
     )
 
 
@@ -483,7 +483,7 @@ def m_infer(spark, d):
         F.floor(F.col("doc_id") / 3).alias("batch"), "doc_id", "text"
     )
     replies = inf.batch_infer(docs, "text", make_stub, first_wait=0.0, batch_key="batch")
-    return replies.select("doc_id", "response", "error", F.col("attempts").cast("long").alias("attempts"))
+    return replies.select("doc_id", "response", "error", "attempts")
 
 
 # ---- reports -----------------------------------------------------------------
