@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import packing, token_files
+from logloom.llm import ngram_join, packing, token_files
 from logloom.session import cut_lineage, shared_folder
 
 
@@ -35,7 +35,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: four-word shingles, Jaccard 0.85 or more."""
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_join.component_ids(ngram_join.near_duplicates(docs, k=4, similarity=(85, 100)))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
