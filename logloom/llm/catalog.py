@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import ngram_join, packing, token_files
+from logloom.llm import decontaminate, ngram_join, packing, token_files
 from logloom.session import cut_lineage, shared_folder
 
 
@@ -24,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it covers by half or more."""
+    return decontaminate.document_coverage(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as read back from the token files."""
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -43,6 +48,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
