@@ -5,8 +5,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import decontaminate, ngram_join, packing, token_files
-from logloom.session import cut_lineage, shared_folder
+from logloom.llm import decontaminate, language, ngram_join, packing, token_files
+from logloom.llm.samples import remainder
+from logloom.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(ngram_join.near_duplicates(docs, k=4, similarity=(85, 100)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_language_id": op8_language_id,
 }

@@ -18,6 +18,9 @@ NOT_BLANK[[32, 9, 10, 11, 12, 13]] = False
 #: digits, letters and all bytes of characters beyond ASCII
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
+#: letters and all bytes of characters beyond ASCII
+LETTERS = ALPHANUMERIC.copy()
+LETTERS[48:58] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -91,21 +94,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each word with A-Z in lower case."""
-    power, inverse = _grown(len(data) + 1)
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``span_hashes`` takes the hash of any span, with A-Z in lower case."""
+    power, _ = _grown(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_VALUE[_LOWER[data]] * power[: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, inverse = _grown(len(total))
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def hashed(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the slice's first text, word hashes, first word per text with one entry more)."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word with A-Z in lower case."""
+    return span_hashes(running_hash(data), start, end)
+
+
+def parts(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of whole texts: (index of the first text, bytes, word starts, word ends, first word per text and one more)."""
     data, offsets = text_bytes(column)
     for lo, hi in slices(offsets):
         part = data[offsets[lo] : offsets[hi]]
-        start, end, first = spans(part, offsets[lo : hi + 1] - offsets[lo], kind)
+        yield lo, part, *spans(part, offsets[lo : hi + 1] - offsets[lo], kind)
+
+
+def hashed(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the slice's first text, word hashes, first word per text with one entry more)."""
+    for lo, part, start, end, first in parts(column, kind):
         yield lo, word_hashes(part, start, end), first
 
 
