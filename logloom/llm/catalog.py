@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import decontaminate, language, ngram_join, packing, token_files
+from logloom.llm import decontaminate, language, ngram_join, packing, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.session import shared_folder
 
@@ -47,6 +47,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(ngram_join.near_duplicates(docs, k=4, similarity=(85, 100)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document with the nearest examples as evidence."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -59,5 +67,6 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
 }
