@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm import hash_arrays, words
+from logloom.llm.hash_arrays import text_key
 from logloom.session import cut_lineage, shared_folder
 
 LEAST_WORDS = 5
@@ -76,11 +77,6 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST_WORDS) -> list[t
         s = max(least, s // 2)
 
 
-def text_key(column: str = "text"):
-    """64-bit key of a text; a null text has the key of an empty one."""
-    return F.xxhash64(F.coalesce(column, F.lit("")))
-
-
 def _grams(table: DataFrame, least: int) -> DataFrame:
     """(key, n_words, grams) of every text."""
 
@@ -157,7 +153,8 @@ def tiled_pairs(
         _grams(benchmark, least).dropDuplicates(["key"]).where(F.size("grams") > 0)
         .select(F.col("key").alias("item"), "n_words", F.explode("grams").alias("gram"))
     )
-    seeds = hash_arrays.hash_set(grams.select(F.col("gram").alias("key")), folder, 4)
+    bits = hash_arrays.bucket_bits(hash_arrays.text_size(benchmark))
+    seeds = hash_arrays.hash_set(grams.select(F.col("gram").alias("key")), folder, bits)
     seeded = cut_lineage(_seeded(docs, seeds, least).dropDuplicates(["key"]))
     # a seed covers ``least`` words at most
     enough = F.count("*") * least >= F.lit(coverage) * F.first("n_words")
@@ -188,3 +185,11 @@ def document_coverage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that cover no item, all columns as they are."""
+    found = tiled_pairs(docs, benchmark, least, coverage).select("key")
+    folder = f"{shared_folder(docs.sparkSession)}/leaks-{uuid.uuid4().hex}"
+    bits = hash_arrays.bucket_bits(hash_arrays.text_size(docs))
+    return hash_arrays.without(docs, text_key(), hash_arrays.hash_set(found, folder, bits))

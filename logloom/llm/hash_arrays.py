@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.llm.token_files import open_store
 
@@ -26,6 +26,11 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
 
 
+def text_key(column: str = "text") -> Column:
+    """64-bit key of a text; a null text has the key of an empty one."""
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
 def bucket_bits(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """log2 of the number of buckets for so many bytes of text, 16 buckets at least."""
     return max(4, (max(1, size // bucket_bytes) - 1).bit_length())
@@ -163,3 +168,18 @@ def hash_set(keys: DataFrame, folder: str, bits: int) -> HashSetFiles:
 
     rows = bucketed.groupBy("bucket").applyInArrow(write, "bucket int, file string").collect()  # one row per bucket
     return HashSetFiles(folder, bits, {r.bucket: (r.file,) for r in rows})
+
+
+def without(rows: DataFrame, key: Column, dropped: HashSetFiles) -> DataFrame:
+    """The rows whose 64-bit ``key`` is not among the hashes; nothing is shuffled."""
+    name = "_key"
+    while name in rows.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+            kept = batch.filter(pa.array(~dropped.contains(keys)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return rows.withColumn(name, key).mapInArrow(run, rows.schema)

@@ -188,15 +188,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
     return fit([r.text for r in rows], [r.label for r in rows]) if rows else None
 
 
-def predict(docs: DataFrame, model: Field | None) -> DataFrame:
-    """``docs`` with lang_pred and score, the mean probability of that language over all words of the text.
+def predict(docs: DataFrame, model: Field | None, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred and score (names behind ``prefix``), the mean probability of that language over all words of the text.
 
     A text that is null or has no letter gets ``und`` and score 0, and so does every text without a model. Columns of these two
     names are replaced, all others are kept; nulls and repeated rows are predicted like any other.
     """
-    docs = docs.drop("lang_pred", "score")
-    source = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    text_at, names_out = docs.columns.index("text"), [*docs.columns, "lang_pred", "score"]
+    added = [f"{prefix}lang_pred", f"{prefix}score"]
+    docs = docs.drop(*added)
+    source = docs.withColumn(f"{prefix}_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    text_at, names_out = docs.columns.index("text"), [*docs.columns, *added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size per language
 
@@ -235,4 +236,4 @@ def predict(docs: DataFrame, model: Field | None) -> DataFrame:
                 names=names_out,
             )
 
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, `{added[0]}` string, `{added[1]}` double")

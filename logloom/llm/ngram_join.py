@@ -109,7 +109,7 @@ def _frequent(docs: DataFrame, k: int, folder: str, bits: int) -> hash_arrays.Ha
 
 
 def _prefixes(docs: DataFrame, k: int, rule: Rule, frequent: hash_arrays.HashSetFiles) -> DataFrame:
-    """doc_id, n_shingles, node (key of the set), prefix_group and, once per group and task, the prefix."""
+    """doc_id, key (of the text), n_shingles, node (key of the set), prefix_group and, once per group and task, the prefix."""
     shift = np.uint64(64 - COUNT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +137,16 @@ def _prefixes(docs: DataFrame, k: int, rule: Rule, frequent: hash_arrays.HashSet
                     given.add(group)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(part)), pa.array(sizes), pa.array(nodes, pa.int64()),
+                        batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(sizes), pa.array(nodes, pa.int64()),
                         pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "prefix_group", "prefix"],
+                    names=["doc_id", "key", "n_shingles", "node", "prefix_group", "prefix"],
                 )
                 at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, node bigint, prefix_group bigint, prefix array<bigint>"
+    return docs.select("doc_id", "text", hash_arrays.text_key().alias("key")).mapInArrow(
+        run, f"doc_id {kind}, key bigint, n_shingles bigint, node bigint, prefix_group bigint, prefix array<bigint>"
     )
 
 
@@ -220,12 +220,12 @@ def _node_pairs(a: Column, b: Column) -> list[Column]:
 def near_duplicates(
     docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """(doc_id, n_shingles, node, component) for every row of ``docs`` (doc_id, text).
+    """(doc_id, key, n_shingles, node, component) for every row of ``docs`` (doc_id, text).
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case; a set holds the distinct shingles of
     ``k`` words, or the whole sequence if it is shorter. Two sets link when their Jaccard similarity reaches
     ``similarity`` (numerator, denominator). ``component`` is the same number for all rows that links connect; rows of
-    equal sets share ``node`` and ``component``. A null text is an empty one: its ``node`` and ``component`` are null and
+    equal sets share ``node`` and ``component``; ``key`` is the ``text_key`` of the row. A null text is an empty one: its ``node`` and ``component`` are null and
     it links with nothing. Null and repeated doc_ids are rows like any other; further columns are left out.
     Sets are compared by 64-bit hashes of their shingles.
     """
@@ -253,7 +253,7 @@ def near_duplicates(
         member.distinct().join(alone, "g", "left_anti")
         .withColumn("lead", F.min("node").over(Window.partitionBy("g")))
     )
-    needed = hash_arrays.hash_set(members.select(F.col("node").alias("key")), folder, 4)
+    needed = hash_arrays.hash_set(members.select(F.col("node").alias("key")), folder, bits)
     sets = cut_lineage(_whole_sets(docs, k, needed))
 
     links = None
@@ -325,7 +325,7 @@ def near_duplicates(
     return (
         rows.join(roots.withColumnRenamed("root", "_root"), "node", "left")
         .select(
-            "doc_id", "n_shingles", F.nullif("node", F.lit(0)).alias("node"),
+            "doc_id", "key", "n_shingles", F.nullif("node", F.lit(0)).alias("node"),
             F.nullif(F.coalesce("_root", "node"), F.lit(0)).alias("component"),
         )
     )
@@ -338,3 +338,29 @@ def component_ids(joined: DataFrame) -> DataFrame:
         "doc_id", "n_shingles",
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
+
+    A null doc_id comes last, then the text's key decides. Of rows that repeat both doc_id and text one stays. Rows without words
+    all stay. All columns are returned as they are.
+    """
+    row = F.xxhash64("doc_id", "key")
+    joined = cut_lineage(near_duplicates(docs, k, similarity).select("doc_id", "key", "component").where("component IS NOT NULL"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    winners = joined.groupBy("component").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.key").alias("key"))
+    lost = joined.select(row.alias("key")).join(winners.select(row.alias("key")), "key", "left_anti")
+    folder = f"{shared_folder(docs.sparkSession)}/copies-{uuid.uuid4().hex}"
+    bits = hash_arrays.bucket_bits(hash_arrays.text_size(docs))
+    key = F.xxhash64("doc_id", hash_arrays.text_key())
+    kept = hash_arrays.without(docs, key, hash_arrays.hash_set(lost, folder, bits))
+    repeated = cut_lineage(joined.groupBy(row.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key").join(winners.select(row.alias("key")), "key", "left_semi"))
+    if repeated.isEmpty():
+        return kept
+    files = hash_arrays.hash_set(repeated, folder, bits)
+    single = hash_arrays.without(kept, key, files)
+    rest = kept.withColumn("_row", key).join(repeated.withColumnRenamed("key", "_row"), "_row", "left_semi")
+    return single.union(rest.dropDuplicates(["_row"]).select(*docs.columns))

@@ -172,14 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     return fit(text_sample(labelled, "toxic", per_label), class_rows)
 
 
-def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS) -> DataFrame:
-    """``docs`` with score (0 to 1), predicted (0 or 1) and evidence, the doc_ids of the nearest examples, nearest first.
+def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
+    """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (names behind ``prefix``), the doc_ids of the nearest examples, nearest first.
 
     A null text is an empty one and is scored too. Without examples the score is 0. Columns of these names are replaced,
     all others are kept; repeated rows and nulls elsewhere change nothing.
     """
-    docs = docs.drop("score", "predicted", "evidence")
-    text_at, names_out = docs.columns.index("text"), [*docs.columns, "score", "predicted", "evidence"]
+    added = [f"{prefix}{name}" for name in ("score", "predicted", "evidence")]
+    docs = docs.drop(*added)
+    text_at, names_out = docs.columns.index("text"), [*docs.columns, *added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * PER_LABEL x TERMS numbers
 
@@ -198,4 +199,4 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS) -> Dat
                 names=names_out,
             )
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int, evidence array<bigint>")
+    return docs.mapInArrow(run, f"{schema}, `{added[0]}` double, `{added[1]}` int, `{added[2]}` array<bigint>")
