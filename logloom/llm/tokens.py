@@ -11,47 +11,76 @@ import re
 import numpy as np
 
 CACHE_WORDS = 400_000
+#: marks the piece at the start of a text, which has no blank before it; no other piece starts with it
+FIRST = "\0"
 _IRREGULAR = re.compile(r"^\s|\s\s|\s$")
 
 
 class WordTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Strings of special tokens inside a text are ordinary text. The cache holds at most ``cache_words`` pieces and starts
-    anew beyond that; results do not depend on it.
+    Strings of special tokens inside a text are ordinary text. New pieces are encoded many at a time with a special
+    token between them, which no piece contains, and cut apart there. The cache holds two generations of at most about
+    ``cache_words`` pieces each, so that common ones stay; results do not depend on it.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._plain = Tokenizer.from_file(path)
+        self._plain.encode_special_tokens = True
+        self._special = Tokenizer.from_file(path)
+        self._mark_id, self._mark = max((i, t.content) for i, t in self._special.get_added_tokens_decoder().items())
+        self._marks = [t.content for t in self._special.get_added_tokens_decoder().values()]
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._limit = cache_words
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """The text in pieces; the blank before a piece is left out, and the first starts with ``FIRST`` instead."""
         if not text:
             return []
+        if FIRST in text:
+            return [FIRST + text]
         if _IRREGULAR.search(text):
             # blanks beside other white space stay where they are
-            return re.split(r"(?<=\S)(?= \S)", text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[:1] == "\n" else " " + p for p in rest]]
+            cut = re.split(r"(?<=\S)(?= \S)", text)
+            return [FIRST + cut[0], *[p[1:] for p in cut[1:]]]
+        return (FIRST + text).replace("\n", " \n").split(" ")
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        whole = [p[1:] if p[0] == FIRST else p if p[0] == "\n" else " " + p for p in pieces]
+        odd = [i for i, p in enumerate(whole) if any(m in p for m in self._marks)]
+        for i in odd:
+            ids = self._plain.encode(whole[i], add_special_tokens=False).ids
+            self._new[pieces[i]] = np.array(ids, "<u4").tobytes()
+            whole[i] = ""
+        joined = [self._mark.join(whole[i : i + 100]) for i in range(0, len(whole), 100)]
+        found: list[bytes] = []
+        for e in self._special.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, cut = ids.tobytes(), (np.flatnonzero(ids == self._mark_id) * 4).tolist()
+            found += [data[x:y] for x, y in zip([0, *[c + 4 for c in cut]], [*cut, len(data)])]
+        skip = set(odd)
+        for i, (piece, data) in enumerate(zip(pieces, found)):
+            if i not in skip:
+                self._new[piece] = data
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        known = self._known
-        missing = list({p for pieces in cut for p in pieces if p not in known})
-        if len(known) + len(missing) > self._limit:
-            known.clear()
-            missing = list({p for pieces in cut for p in pieces})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for piece, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        missing = set().union(*cut)
+        missing -= self._new.keys()
+        if len(self._new) + len(missing) > self._limit:
+            self._old, self._new = self._new, {}
+            missing = set().union(*cut)
+        kept = missing & self._old.keys()
+        self._new.update({p: self._old[p] for p in kept})
+        new = list(missing - kept)
+        for i in range(0, len(new), 20_000):
+            self._encode_new(new[i : i + 20_000])
+        get = self._new.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
