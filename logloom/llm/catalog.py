@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import decontaminate, language, ngram_join, packing, token_files, toxicity
+from logloom.llm import decontaminate, language, licenses, ngram_join, packing, site_tree, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.session import shared_folder
 
@@ -62,6 +62,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = site_tree.main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -69,4 +80,6 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_html_extraction": op10_html_extraction,
 }
