@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import decontaminate, language, licenses, ngram_join, packing, site_tree, token_files, toxicity
+from logloom.llm import decontaminate, language, licenses, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.session import shared_folder
 
@@ -41,6 +41,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ngram_model.train(docs.where(remainder(7) != 2).select("text"))
+    found = ngram_model.score(docs.select("doc_id", "text"), model).drop("text")
+    return found.withColumn("held_out", remainder(7) == 2).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: four-word shingles, Jaccard 0.85 or more."""
     docs = _table(spark, sf_dir, "documents")
@@ -77,6 +87,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_language_model": op4_language_model,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
