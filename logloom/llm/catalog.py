@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import decontaminate, language, licenses, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
+from logloom.llm import collision_search, decontaminate, language, licenses, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.session import shared_folder
 
@@ -51,6 +51,13 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return collision_search.search(vectors, queries)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: four-word shingles, Jaccard 0.85 or more."""
     docs = _table(spark, sf_dir, "documents")
@@ -88,6 +95,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_token_files": op3_token_files,
     "op4_language_model": op4_language_model,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
