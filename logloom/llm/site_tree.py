@@ -244,7 +244,7 @@ def _unimportant(pages: DataFrame, folder: str, bits: int) -> hash_arrays.HashSe
         total = F.sum("c")
         return counts.groupBy("key").agg(
             total.alias("m"), (F.sum("children") / total).alias("l"),
-            (1 - F.sum(F.col("c") * F.log("c")) / total / F.log(total)).alias(f"{value}_entropy"),
+            (1 - F.sum(F.col("c") * F.log("c")) / total / F.log(F.greatest(total, F.lit(2)))).alias(f"{value}_entropy"),
         )
 
     looks, contents = entropy("look"), entropy("content").drop("m", "l")
