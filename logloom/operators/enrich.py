@@ -42,17 +42,12 @@ def labels(template: Column) -> tuple[Column, Column, Column]:
 def enrich(templates: DataFrame, sme: DataFrame) -> DataFrame:
     """Templates with labels, and every expert row that no template matched.
 
-    ``templates`` has template, values and context. Both sides have one row per key, so the
-    full outer join has no skewed key; Spark picks the strategy from the measured sizes.
+    ``templates`` has template, values and context, one row per key. Each distinct expert row stays: a template
+    that several expert rows match appears once with each of them.
     """
     experts = (
-        sme.withColumn("key", template_key(F.col("template")))
-        .groupBy("key")
-        .agg(
-            F.min(
-                F.struct("template", "severity", "causality", "summary", "resolution")
-            ).alias("s")
-        )
+        sme.select("template", "severity", "causality", "summary", "resolution").distinct()
+        .select(template_key(F.col("template")).alias("key"), F.struct("*").alias("s"))
     )
     keyed = templates.withColumn("key", template_key(F.col("template")))
     severity, causality, summary = labels(F.col("template"))

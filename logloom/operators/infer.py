@@ -3,7 +3,7 @@
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Batch size, attempts and first wait of the augmentation step.
@@ -21,12 +21,15 @@ def batch_infer(
     first_wait: float = FIRST_WAIT,
     sleep: Callable[[float], None] = time.sleep,
     batch_key: str | None = None,
+    accept: Callable[[str], bool] | None = None,
 ) -> DataFrame:
     """Add ``response``, ``error`` and ``attempts`` to every row.
 
     A batch that still fails after ``max_attempts`` leaves its rows with an error; other
     batches go on. With ``batch_key`` a batch also ends where the key changes, which makes batches
-    independent of partitioning. The model is made once per task, on the executor.
+    independent of partitioning; rows without a key form batches of their own. A reply that ``accept`` refuses fails
+    its attempt, like an error of the model. The model is made once per task, on the executor, and rows
+    travel as Arrow batches, so ids and nulls stay as they are.
     """
     if batch_key is not None:
         others = [c for c in rows.columns if c != batch_key]
@@ -40,40 +43,61 @@ def batch_infer(
         ]
     )
 
-    def call(model, batch: pd.DataFrame) -> pd.DataFrame:
+    names = [*rows.columns, "response", "error", "attempts"]
+
+    def call(model, batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        prompts = batch[prompt].to_pylist()
+        replies, message = None, None
         for attempt in range(1, max_attempts + 1):
             try:
-                replies = list(model(batch[prompt].tolist()))
-                if len(replies) != len(batch):
-                    raise ValueError(f"{len(replies)} replies for {len(batch)} prompts")
-                return batch.assign(response=replies, error=None, attempts=attempt)
+                found = list(model(prompts))
+                if len(found) != len(prompts):
+                    raise ValueError(f"{len(found)} replies for {len(prompts)} prompts")
+                if accept is not None and not all(map(accept, found)):
+                    raise ValueError("a reply is not as asked for")
+                replies = pa.array(found, pa.string())
+                break
             except Exception as error:
                 message = str(error)
                 if attempt < max_attempts:
                     sleep(first_wait * 2 ** (attempt - 1))
-        return batch.assign(response=None, error=message, attempts=max_attempts)
+        n = len(prompts)
+        added = [
+            pa.nulls(n, pa.string()) if replies is None else replies,
+            pa.array([message if replies is None else None] * n, pa.string()),
+            pa.array([attempt] * n, pa.int32()),
+        ]
+        whole = batch.combine_chunks()
+        columns = [c.chunk(0) for c in whole.columns]
+        yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         rest = None
-        for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            batches = list(_batches(rest, batch_size, batch_key))
-            # the last one may go on in the next frame
-            for batch in batches[:-1]:
-                yield call(model, batch)
-            rest = batches[-1] if batches else None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            cuts = _cuts(rest, batch_size, batch_key)
+            # the last one may go on in the next batch
+            for start, end in cuts[:-1]:
+                yield from call(model, rest.slice(start, end - start))
+            rest = rest.slice(cuts[-1][0])
         if rest is not None:
-            yield call(model, rest)
+            yield from call(model, rest)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _batches(frame: pd.DataFrame, size: int, key: str | None) -> Iterator[pd.DataFrame]:
-    groups = [frame] if key is None else [g for _, g in frame.groupby(key, sort=False)]
-    for group in groups:
-        for start in range(0, len(group), size):
-            yield group.iloc[start : start + size]
+def _cuts(table: pa.Table, size: int, key: str | None) -> list[tuple[int, int]]:
+    """(start, end) of batches: a new one where the key changes, a null being a key of its own, or one is full."""
+    keys = [None] * table.num_rows if key is None else table[key].to_pylist()
+    starts = [0]
+    for i in range(1, table.num_rows):
+        if keys[i] != keys[i - 1] or i - starts[-1] == size:
+            starts.append(i)
+    return list(zip(starts, [*starts[1:], table.num_rows]))
 
 
 def split_failed(inferred: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,12 +16,15 @@ WHITE_SPACE = " \t\n\u000b\u000c\r"
 
 
 def new_tips(runs: DataFrame, failures: DataFrame) -> DataFrame:
-    """Tips a batch of runs writes: its report under each failed test, or under last_success.
+    """Tips a batch of runs writes: each failed test's own explanation, and a passed run's report as last_success.
 
-    ``runs`` has run_id, test_status, report and updated_at.
+    ``runs`` has run_id, test_status, report and updated_at, ``failures`` run_id, test_name and explanation. Reports hold
+    the tips of earlier runs, so they are not stored as tips again.
     """
     reported = runs.where("report IS NOT NULL")
-    per_test = reported.join(failures.select("run_id", F.col("test_name").alias("key")), "run_id")
+    per_test = reported.drop("report").join(
+        failures.select("run_id", F.col("test_name").alias("key"), F.col("explanation").alias("report")), "run_id"
+    )
     passed = (
         reported.where("test_status = 'passed'")
         .join(failures.select("run_id"), "run_id", "left_anti")

@@ -25,17 +25,23 @@ def apply_review(templates: DataFrame, decisions: DataFrame, on_reject: str = "d
     """Templates after review, with ``review_action``.
 
     ``decisions`` has template_id, action, field, value and decided_at; per template the latest
-    approve/reject and the latest edit of each field count, reduced before the join.
+    approve/reject and the latest edit of each field count, reduced before the join. An edit does not undo a rejection. Of
+    decisions made at the same time a rejection, and the larger value, counts.
     """
     usable, _ = split_decisions(decisions)
     when = F.col("decided_at")
 
     def latest_edit(name: str):
         here = (F.col("action") == "edit") & (F.col("field") == name)
-        return F.max_by(F.when(here, F.col("value")), F.when(here, when)).alias("new_" + name)
+        return F.max_by(F.when(here, F.col("value")), F.when(here, F.struct(when, F.col("value")))).alias("new_" + name)
+
+    decided = F.col("action").isin("approve", "reject")
 
     per_template = usable.groupBy("template_id").agg(
-        F.max_by("action", when).alias("last_action"), *[latest_edit(f) for f in EDITABLE]
+        F.coalesce(
+            F.max_by(F.when(decided, F.col("action")), F.when(decided, F.struct(when, F.col("action")))), F.lit("edit")
+        ).alias("last_action"),
+        *[latest_edit(f) for f in EDITABLE]
     )
     edited = templates.join(per_template, "template_id", "left").select(
         *[

@@ -288,7 +288,8 @@ def _sme(spark: SparkSession, d: str) -> DataFrame:
         F.lit("ERROR").alias("severity"), F.lit("Network").alias("causality"),
         F.concat("n_name", F.lit(" is down")).alias("summary"), F.lit("call the site").alias("resolution"),
     )
-    return seen.unionByName(nations)
+    again = seen.where(F.col("template").endswith("FAILED")).withColumn("resolution", F.lit("ask the owner"))
+    return seen.unionByName(again).unionByName(nations)
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +319,7 @@ def _decisions(pending: DataFrame) -> DataFrame:
 
     made = (
         F.when(h % 5 == 0, F.array(row("approve", None, None, "2024-01-01")))
-        .when(h % 5 == 1, F.array(row("approve", None, None, "2024-01-01"), row("reject", None, None, "2024-01-02")))
+        .when(h % 5 == 1, F.array(row("approve", None, None, "2024-01-01"), row("reject", None, None, "2024-01-02"), row("edit", "severity", "INFO", "2024-01-03")))
         .when(
             h % 5 == 2,
             F.array(
@@ -377,13 +378,13 @@ def _reported(lines: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def _event_tips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(latest tips written by the event runs, failed tests of those runs)."""
-    runs, failures, _ = _reported(_lines(spark, d), _run_times(spark, d))
+    runs, failures, explained = _reported(_lines(spark, d), _run_times(spark, d))
     reported = runs.select(
         "run_id", "test_status",
         tx.chosen_report(F.col("failure_report"), F.col("summary_report")).alias("report"),
         F.to_date(F.substring_index("run_id", "_", -1), "yyyyMMdd").cast("timestamp_ntz").alias("updated_at"),
     )
-    return mem.latest_tips(mem.new_tips(reported, failures)), failures
+    return mem.latest_tips(mem.new_tips(reported, explained)), failures
 
 
 def m_tips(spark, d):
@@ -523,12 +524,14 @@ def r_report(spark, d):
 
 def r_routes(spark, d):
     """Which path each run takes, and whether tickets are planned for it."""
-    runs, _, explained = _reported(_lines(spark, d), _run_times(spark, d))
-    tickets = rp.plan_tickets(explained)
-    planned, unplanned = rp.with_and_without_tickets(runs, tickets)
-    passed = F.when(F.col("test_status") == "passed", "pass_analysis").otherwise("failure_analysis")
-    return planned.select("run_id", passed.alias("path"), F.lit("tools").alias("next")).unionByName(
-        unplanned.select("run_id", passed.alias("path"), F.lit("end").alias("next"))
+    facts = _facts(_lines(spark, d))
+    outcomes = _outcomes(facts)
+    verdicts = vd.verdict(facts, outcomes)
+    passed = F.coalesce(F.col("test_status") == "passed", F.lit(False))
+    failing = vd.failed_tests(outcomes).select("run_id").distinct().withColumn("planned", F.lit(True))
+    return verdicts.join(failing, "run_id", "left").select(
+        "run_id", F.when(passed, "pass_analysis").otherwise("failure_analysis").alias("path"),
+        F.when(F.col("planned") & ~passed, "tools").otherwise("end").alias("next"),
     )
 
 

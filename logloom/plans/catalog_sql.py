@@ -184,7 +184,7 @@ tickets AS (
 """
 TIPS = """
 written AS (
-  SELECT f.test_name AS key, failure_report AS analysis, r.run_id FROM runs r JOIN failures f USING (run_id)
+  SELECT f.test_name AS key, f.explanation AS analysis, r.run_id FROM runs r JOIN explained f USING (run_id)
   UNION ALL SELECT 'last_success', summary_report, run_id FROM runs WHERE test_status = 'passed'),
 tips AS (
   SELECT 'global_tips' AS namespace, key, run_id, analysis FROM (
@@ -212,6 +212,8 @@ sme_rows AS (
   SELECT '[<when>]  TestCase: test_' || event_type || '_1 ' || s AS template, 'WARN' AS severity, 'System' AS causality,
     'known ' || event_type AS summary, 'rerun ' || event_type AS resolution
   FROM (SELECT DISTINCT event_type FROM events), unnest(['PASSED', 'FAILED']) u(s)
+  UNION ALL SELECT '[<when>]  TestCase: test_' || event_type || '_1 FAILED', 'WARN', 'System', 'known ' || event_type, 'ask the owner'
+  FROM (SELECT DISTINCT event_type FROM events)
   UNION ALL SELECT 'site ' || n_name || ' unreachable', 'ERROR', 'Network', n_name || ' is down', 'call the site' FROM nation),
 sme AS (SELECT {KEY} AS key, * FROM sme_rows),
 keys AS (SELECT {KEY} AS key, * FROM templates),

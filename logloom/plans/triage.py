@@ -22,6 +22,7 @@ class Triage:
     texts: DataFrame  # display texts per run
     tips: DataFrame  # to append to the tips table
     outcomes: DataFrame  # to append to the vector table
+    error_details: DataFrame  # one row per failed test and kind of error
     rejected: DataFrame  # blank logs
 
 
@@ -70,8 +71,8 @@ def triage_logs(
     hits = history_hits(kept.join(failed.select("run_id"), "run_id", "left_semi"), history)
     known = mem.tips_for_failures(failed_failures, mem.latest_tips(tips))
     context = mem.assemble_context(failed, hits, known, failed_failures)
-    explained = rp.test_explanations(failed_failures, rp.error_details(facts, failed_failures))
-    explained = cut_lineage(explained)
+    details = cut_lineage(rp.error_details(facts, failed_failures))
+    explained = cut_lineage(rp.test_explanations(failed_failures, details))
     failure = rp.failure_reports(verdicts, explained, context)
     runs = (
         verdicts.join(kept.drop("n_chunks", "embed_error"), "run_id")
@@ -95,7 +96,8 @@ def triage_logs(
         texts=rp.display_texts(runs).join(
             rp.ticket_lists(runs, rp.plan_tickets(explained)), "run_id"
         ),
-        tips=mem.new_tips(reported, failures),
+        tips=mem.new_tips(reported, explained),
+        error_details=details,
         outcomes=mem.outcome_records(runs, collection),
         rejected=rejected,
     )

@@ -17,14 +17,14 @@ def configure(spark: SparkSession) -> SparkSession:
 _local_scratch: str | None = None
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in ``spark.checkpoint.dir``; local sessions may make their own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only local sessions may do without and get their own."""
     global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        return None
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="logloom-")
     return _local_scratch
@@ -34,12 +34,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and go on from that table.
 
     Later steps read only the columns they need, know the table's size, and survive the
-    loss of executors. A cluster session that names no folder keeps the lineage: that costs
-    recomputation but gives the same result.
+    loss of executors.
     """
     folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/logloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

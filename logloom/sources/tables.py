@@ -10,6 +10,17 @@ from logloom.session import cut_lineage
 DEFAULT_COLLECTION = "log_templates"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path``."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, or an empty one if nothing was written yet."""
     try:

@@ -9,22 +9,26 @@ from logloom import schemas
 from logloom.operators.embed import EmbedderFactory
 from logloom.plans.triage import triage_logs
 from logloom.sources import tables
+from logloom.sources.files import run_name
+
+
+#: files of any age count as new when they appear
+EVER = "36500d"
 
 
 def log_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """(run_id, log_content, arrived) of each new file; a run delivered twice within a day counts once."""
+    """(run_id, log_content) of each file that appears in the folder, whatever its time stamp.
+
+    The stream's own record of file paths keeps a file from being read twice; run_id is the path
+    below the folder.
+    """
     return (
         spark.readStream.format("text")
         .option("wholetext", True)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", EVER)
         .load(folder)
-        .select(
-            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("run_id"),
-            F.col("value").alias("log_content"),
-            F.col("_metadata.file_modification_time").alias("arrived"),
-        )
-        .withWatermark("arrived", "1 day")
-        .dropDuplicatesWithinWatermark(["run_id"])
+        .select(run_name(folder), F.col("value").alias("log_content"))
     )
 
 
@@ -37,7 +41,11 @@ def triage_batch(store: str, make_embedder: EmbedderFactory, dim: int) -> Callab
         spark = batch.sparkSession
         history = tables.open_collection(spark, f"{store}/vectors")
         tips = tables.open_table(spark, f"{store}/tips", schemas.TIPS)
-        done = triage_logs(batch.select("run_id", "log_content"), history, tips, make_embedder, dim)
+        logs = batch.select("run_id", "log_content")
+        if tables.exists(spark, f"{store}/runs"):  # runs of other batches are not triaged again
+            known = spark.read.parquet(f"{store}/runs").where(F.col("batch_id") != batch_id).select("run_id")
+            logs = logs.join(known, "run_id", "left_anti")
+        done = triage_logs(logs, history, tips, make_embedder, dim)
         verdicts = done.runs.select(
             "run_id", "overall_status", "test_status", "total", "passed", "failed", "pass_rate", "notes",
             "summary_report", "failure_report",

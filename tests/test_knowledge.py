@@ -160,3 +160,32 @@ def test_review_message(spark):
     rows = spark.createDataFrame([(True,), (False,), (None,)], "ok boolean")
     got = [r[0] for r in rows.select(rv.review_message(F.col("ok"))).collect()]
     assert got == [rv.APPROVED, rv.NOT_APPROVED, rv.NOT_APPROVED]
+
+
+def test_an_edit_does_not_undo_a_rejection(spark):
+    templates = spark.createDataFrame(
+        [(f"t{i}", "x", "INFO", "System", "s", "AI Suggested") for i in range(3)],
+        "template_id string, template string, severity string, causality string, summary string, source string",
+    )
+    decisions = spark.createDataFrame(
+        [
+            ("t0", "reject", None, None, "2024-01-02"), ("t0", "edit", "severity", "WARN", "2024-01-03"),
+            ("t1", "approve", None, None, "2024-01-02"), ("t1", "reject", None, None, "2024-01-02"),
+            ("t2", "reject", None, None, "2024-01-01"), ("t2", "approve", None, None, "2024-01-02"),
+        ],
+        "template_id string, action string, field string, value string, decided_at string",
+    )
+    got = {r.template_id: r.review_action for r in rv.apply_review(templates, decisions, "keep").collect()}
+    assert got == {"t0": "reject", "t1": "reject", "t2": "approve"}
+    assert [r.template_id for r in rv.apply_review(templates, decisions).collect()] == ["t2"]
+
+
+def test_all_expert_rows_of_a_key_stay(spark):
+    sme = spark.createDataFrame(
+        [("x <N>", "WARN", "Auth", "one", None), ("x <M>", "WARN", "Auth", "two", None), ("x <M>", "WARN", "Auth", "two", None)], schemas.SME
+    )
+    templates = spark.createDataFrame([("x <NUM>",)], "template string").select(
+        "template", F.array().cast("array<map<string,string>>").alias("values"), F.lit(None).cast(tp.CONTEXT_TYPE).alias("context")
+    )
+    assert sorted(r.summary for r in en.enrich(templates, sme).collect()) == ["one", "two"]
+    assert sorted(r.template for r in en.enrich(templates.limit(0), sme).collect()) == ["x <M>", "x <N>"]

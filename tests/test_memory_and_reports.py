@@ -29,9 +29,11 @@ def test_new_tips(spark):
         [("f", "failed", "rep f", DAY), ("p", "passed", "rep p", DAY), ("u", "failed", "rep u", DAY), ("n", "failed", None, DAY)],
         "run_id string, test_status string, report string, updated_at timestamp_ntz",
     )
-    failures = spark.createDataFrame([("f", "t1"), ("f", "t2"), ("n", "t3")], "run_id string, test_name string")
+    failures = spark.createDataFrame(
+        [("f", "t1", "why 1"), ("f", "t2", "why 2"), ("n", "t3", "why 3")], "run_id string, test_name string, explanation string"
+    )
     got = {(r.key, r.analysis) for r in mem.new_tips(runs, failures).collect()}
-    assert got == {("t1", "rep f"), ("t2", "rep f"), ("last_success", "rep p")}
+    assert got == {("t1", "why 1"), ("t2", "why 2"), ("last_success", "rep p")}
 
 
 def test_messages(spark):
@@ -138,20 +140,58 @@ def test_batches_by_key_do_not_depend_on_partitions(spark):
     assert runs[0] == runs[1] and {r for _, r in runs[0]} == {"3", "1"}
 
 
+def test_batches_keep_null_keys_and_large_ids(spark):
+    make = lambda: lambda prompts: [str(len(prompts)) for _ in prompts]
+    rows = [(None, 2**53 + 1, "p"), (None, None, "p"), (None, 3, None), (None, 4, "p"), (7, 2**62 + 1, "p")]
+    got = infer.batch_infer(spark.createDataFrame(rows, "b int, i long, p string"), "p", make, batch_key="b").collect()
+    assert {(r.b, r.i, r.p) for r in got} == set(rows)
+    assert sorted(r.response for r in got) == ["1", "1", "3", "3", "3"]
+    assert infer.batch_infer(spark.createDataFrame([], "p string"), "p", make).count() == 0
+
+
+def test_refused_replies_are_asked_for_again(spark):
+    def make():
+        asked = []
+
+        def model(prompts):
+            asked.append(1)
+            return ["[1]" if len(asked) > 1 and "bad" not in p else "sorry" for p in prompts]
+
+        return model
+
+    df = spark.createDataFrame([("good",)], "p string").coalesce(1)
+    call = lambda rows: infer.batch_infer(
+        rows, "p", make, batch_size=1, first_wait=0, sleep=lambda s: None, accept=lambda reply: reply.startswith("[")
+    ).first()
+    assert (call(df).response, call(df).attempts, call(df).error) == ("[1]", 2, None)
+    failed = call(df.selectExpr("'bad' AS p"))
+    assert (failed.response, failed.attempts) == (None, 3) and "asked for" in failed.error
+
+
 def test_files(spark, tmp_path):
     folder = tmp_path / "logs"
-    folder.mkdir()
+    (folder / "in ner").mkdir(parents=True)
     (folder / "a.log").write_bytes(b"line\xff one\nTESTCASE: x FAILED\n")
-    (folder / "b.txt").write_text("   \n")
+    (folder / "a.txt").write_text("same stem")
+    (folder / "b.TXT").write_text("   \n")
+    (folder / "in ner" / "a.log").write_text("same name")
+    (folder / "plus+100%.log").write_text("odd name")
     (folder / "c.csv").write_text("ignored")
     uploaded = files.uploaded_logs(spark, str(folder))
-    pasted = files.pasted_logs(spark, [("a", "pasted"), ("d", "only pasted"), ("e", None)])
+    pasted = files.pasted_logs(spark, [("a.log", "pasted"), ("d", "only pasted"), ("e", None)])
     chosen = files.choose_input(pasted, uploaded)
     got = {r.run_id: r.log_content for r in chosen.collect()}
-    assert got == {"a": "line one\nTESTCASE: x FAILED\n", "b": "   \n", "d": "only pasted", "e": ""}
+    assert got == {
+        "a.log": "line one\nTESTCASE: x FAILED\n", "a.txt": "same stem", "b.TXT": "   \n", "plus+100%.log": "odd name",
+        "d": "only pasted", "e": "",
+    }
     kept, rejected = files.split_blank(chosen)
-    assert {r.run_id for r in kept.collect()} == {"a", "d"} and {r.run_id for r in rejected.collect()} == {"b", "e"}
-    assert files.read_whole_logs(spark, str(folder)).count() == 3
+    assert {r.run_id for r in rejected.collect()} == {"b.TXT", "e"} and kept.count() == 4
+    assert files.read_whole_logs(spark, str(folder)).count() == 5
+    nested = files.uploaded_logs(spark.newSession(), f"file:{folder}/in ner")
+    assert [r.run_id for r in nested.collect()] == ["a.log"]
+    every = spark.read.option("recursiveFileLookup", True).format("text").load(str(folder)).select(files.run_name(str(folder)))
+    assert {r.run_id for r in every.collect()} == {"a.log", "a.txt", "b.TXT", "c.csv", "plus+100%.log", "in ner/a.log"}
 
 
 def test_line_mode_reads_big_files_in_splits(spark, tmp_path):
@@ -174,6 +214,12 @@ def test_sme_file(spark, tmp_path):
     path.write_text("template,severity,causality,summary,resolution\na <NUM>,WARN,Auth,s,r\n")
     rows, message = files.read_sme(spark, str(path))
     assert rows.first().resolution == "r" and message.startswith("Successfully")
+    path.write_text("severity,Template,summary,causality,resolution,more\nWARN,a <NUM>,s,Auth,r,x\n")
+    row = files.read_sme(spark, str(path))[0].first()
+    assert (row.template, row.severity, row.causality, row.summary, row.resolution) == ("a <NUM>", "WARN", "Auth", "s", "r")
+    path.write_text("template,severity\na,WARN\n")
+    rows, message = files.read_sme(spark, str(path))
+    assert rows.count() == 0 and message == "Error loading SME table: no column causality, summary, resolution"
     for missing in (None, "", str(tmp_path / "none.csv")):
         rows, message = files.read_sme(spark, missing)
         assert rows.count() == 0 and message == "No SME reference data provided."
@@ -205,7 +251,7 @@ def test_triage_twice_uses_what_the_first_run_stored(spark, tmp_path):
     runs, _, _ = once([("f2", FAILING), ("f", FAILING)])
     for run in ("f", "f2"):
         assert "Past Issue: " + FAILING.strip() in runs[run].historical_context
-        assert "Tip for login: Status: SOME_FAILED" in runs[run].historical_context
+        assert "Tip for login: 3 error lines of " in runs[run].historical_context
         assert "History:" in runs[run].failure_report
     assert tables.open_collection(spark, store + "/v").count() == 3
     assert mem.latest_tips(tables.open_table(spark, store + "/t", schemas.TIPS)).count() == 2
@@ -218,3 +264,24 @@ def test_run_history(spark, tmp_path):
     tables.put_run_history(spark.createDataFrame(rows, schemas.RUN_HISTORY), path)
     latest = mem.latest_runs(tables.open_table(spark, path, schemas.RUN_HISTORY))
     assert {(r.thread_id, r.run_id) for r in latest.collect()} == {("th", "r2"), ("x", "r3")}
+
+
+def test_reports_of_the_same_log_do_not_grow(spark, tmp_path):
+    store = str(tmp_path)
+    make, dim = hashing_embedder(16), 16
+    log = "".join(f"TESTCASE: t{i} FAILED\nError: code {i}\n" for i in range(4))
+    sizes = []
+    for i in range(4):
+        logs = spark.createDataFrame([(f"r{i}", log)], "run_id string, log_content string")
+        stamp = F.lit(f"2024-06-0{i + 1}").cast("timestamp_ntz")
+        done = triage_logs(
+            logs, tables.open_collection(spark, store + "/v"), tables.open_table(spark, store + "/t", schemas.TIPS),
+            make, dim, updated_at=stamp,
+        )
+        report = done.runs.first().failure_report
+        tips = done.tips.collect()
+        assert done.error_details.count() == 4
+        tables.put_tips(done.tips, store + "/t")
+        tables.append_vectors(done.outcomes, store + "/v")
+        sizes.append((len(report), sum(len(t.analysis) for t in tips)))
+    assert sizes[2][1] == sizes[3][1] == sizes[0][1] and sizes[3][0] == sizes[2][0]
