@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logloom import schemas
 from logloom.functions import json_text as js, text as tx, vectors as vec
 from logloom.operators import (
     augment as ag,
@@ -16,7 +17,7 @@ from logloom.operators import (
     templates as tp,
     verdict as vd,
 )
-from logloom.plans.triage import HISTORY_HITS, history_hits
+from logloom.plans.triage import HISTORY_HITS, history_hits, triage_logs
 from logloom.session import configure, cut_lineage
 from logloom.sources.run_logs import document_logs, event_lines, event_log_lines, table
 
@@ -535,6 +536,37 @@ def r_routes(spark, d):
     )
 
 
+# ---- whole jobs --------------------------------------------------------------
+
+
+def _triaged(spark: SparkSession, d: str):
+    """The triage job over all document logs, with nothing stored before."""
+    logs = _logs(spark, d).select("run_id", "log_content")
+    stored = [spark.createDataFrame([], schema) for schema in (schemas.VECTORS, schemas.TIPS)]
+    return triage_logs(logs, *stored, em.hashing_embedder(DIM), DIM, updated_at=F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+def p_triage(spark, d):
+    return _triaged(spark, d).tickets.drop("first_line")
+
+
+def p_triage_tips(spark, d):
+    return _triaged(spark, d).tips.select("namespace", "key", "run_id", "analysis")
+
+
+def p_triage_errors(spark, d):
+    """Every kind of error line of every failed test."""
+    return _triaged(spark, d).error_details.select("run_id", "test_name", "message", "n", "first_line", "example")
+
+
+def r_error_details(spark, d):
+    facts = _facts(_lines(spark, d))
+    outcomes = _outcomes(facts)
+    _, failed = rp.passed_and_failed(cut_lineage(vd.verdict(facts, outcomes)))
+    failures = vd.failed_tests(outcomes).join(failed.select("run_id"), "run_id", "left_semi")
+    return rp.error_details(facts, failures).select("run_id", "test_name", "message", "n", "first_line", "example")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -543,6 +575,7 @@ QUERIES = {
         v_normalize, v_topk, v_topk_labelled, v_mean_pool, v_embed_index, v_retrieve,
         k_templates, k_templates_pages, k_values, k_merge, k_context, k_enrich, k_review, k_augment,
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
-        r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes,
+        r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,
+        p_triage, p_triage_tips, p_triage_errors,
     )
 }

@@ -512,3 +512,15 @@ def _m_context() -> str:
 
 
 ORACLE_SQL["m_context"] = _m_context()
+
+_ERRORS = """SELECT e.run_id, e.test_name, message, n, e.first_line, example
+  FROM errors e JOIN failures f ON f.run_id = e.run_id AND f.test_name = e.test_name"""
+_DOCUMENT_REPORTS = (DOCUMENT_LOGS, DOCUMENT_LINES, *REPORT_PARTS)
+ORACLE_SQL |= {
+    "r_error_details": _with(EVENT_LINES, *REPORT_PARTS) + _ERRORS,
+    "p_triage": _with(*_DOCUMENT_REPORTS, TICKETS) + "SELECT run_id, ticket_id, summary, description, testcase, status FROM tickets",
+    "p_triage_tips": _with(*_DOCUMENT_REPORTS)
+    + """SELECT 'global_tips' AS namespace, test_name AS key, run_id, explanation AS analysis FROM explained
+      UNION ALL SELECT 'global_tips', 'last_success', run_id, summary_report FROM runs WHERE test_status = 'passed'""",
+    "p_triage_errors": _with(*_DOCUMENT_REPORTS) + _ERRORS,
+}
