@@ -21,6 +21,13 @@ def _stars(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs")).union(edges.select("b", F.lit(0)))
+    node = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("n"))
+    return node.where("hangs > 1 OR hangs = 1 AND n > 1").isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from every node of ``links`` (a, b); roots too.
 
@@ -29,13 +36,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut_lineage(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    state = None
     for _ in range(rounds):
-        edges = cut_lineage(_stars(edges))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == state or now[0] == 0:
+        if _settled(edges):
             break
-        state = tuple(now)
+        edges = cut_lineage(_stars(edges))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -10,6 +10,7 @@ already linked. The last round takes every pair of a list that is not known to b
 components is lost.
 """
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,9 @@ FREQUENT = 4
 COUNTED_AT_ONCE = 4_000_000
 #: further pivot rounds as long as the last round would take more than so many pairs per list entry
 PAIRS_PER_ENTRY = 4
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 4
+#: lists of so many groups are paired without pivots
+SHORT_LIST = 24
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,11 @@ class Rule:
     def least_overlap(self, n: Column, m: Column) -> Column:
         return F.ceil((n + m) * self.share / float(self.over + self.share) - 1e-9)
 
+    def log_sizes(self) -> tuple[int, int]:
+        """How far the logarithms of two sets' sizes may lie apart, in millionths."""
+        reach = math.ceil(math.log(self.over / self.share) * 1_000_000) + 1
+        return -reach, reach
+
     def holds(self, common: int, n: int, m: int) -> bool:
         return self.over * common >= self.share * (n + m - common)
 
@@ -162,48 +170,62 @@ def _bounded(sets: Iterator[np.ndarray], limit: int = 1_000_000) -> Iterator[lis
         yield part
 
 
-def _whole_sets(docs: DataFrame, k: int, needed: hash_arrays.HashSetFiles) -> DataFrame:
-    """(node, shingles) of the sets that take part in any pair."""
+def _whole_sets(docs: DataFrame, k: int, needed: hash_arrays.HashSetFiles) -> hash_arrays.HashSetFiles:
+    """Files of the sets that take part in any pair: nodes, ends of their sets, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
             for part in _bounded(shingle_sets(batch.column(0), k)):
-                nodes = np.array([_key(s) for s in part], np.int64)
+                nodes = np.array([_key(s) for s in part], np.int64).view(np.uint64)
                 found = []
-                for i in np.flatnonzero(needed.contains(nodes.view(np.uint64))):
+                for i in np.flatnonzero(needed.contains(nodes)):
                     if int(nodes[i]) not in given:
                         found.append(i)
                         given.add(int(nodes[i]))
                 if len(given) > 200_000:
                     given.clear()
+                bucket = (nodes[found] >> np.uint64(64 - needed.bits)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[found]), pa.array([part[i].tobytes() for i in found], pa.binary())],
-                    names=["node", "shingles"],
+                    [pa.array(bucket), pa.array([nodes[i].tobytes() + part[i].tobytes() for i in found], pa.binary())],
+                    names=["bucket", "block"],
                 )
 
-    found = docs.select("text").mapInArrow(run, "node bigint, shingles binary")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    def write(bucket: int, blocks: list[bytes]) -> dict[str, list]:
+        sets = {int.from_bytes(b[:8], "little"): b[8:] for b in blocks}
+        nodes = sorted(sets)
+        ends = np.cumsum([len(sets[x]) // 8 for x in nodes], dtype=np.int64)
+        shingles = np.frombuffer(b"".join(sets[x] for x in nodes), np.uint64)
+        arrays = {"nodes": np.array(nodes, np.uint64), "ends": ends, "sets": shingles}
+        return {"bucket": pa.array([bucket], pa.int32()), "files": [[hash_arrays.write_array(needed.folder, n, x) for n, x in arrays.items()]]}
+
+    blocks = docs.select("text").mapInArrow(run, hash_arrays.BLOCK_SCHEMA)
+    rows = hash_arrays.merge_buckets(blocks, write, "bucket int, files array<string>").collect()  # one row per bucket
+    return hash_arrays.HashSetFiles(needed.folder, needed.bits, {r.bucket: tuple(r.files) for r in rows}, ("<u8", "<i8", "<u8"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+def _verify(pairs: DataFrame, sets: hash_arrays.HashSetFiles, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of nodes that link; their sets are read from the mapped files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            nodes = np.unique(np.concatenate([a, b]))
+            where: dict[int, tuple[np.ndarray, int, int]] = {}
+            for piece, (_, ends, shingles), at, there in sets.find(nodes):
+                assert there.all()
+                for node, i in zip(nodes[piece].tolist(), at.tolist()):
+                    where[node] = (shingles, int(ends[i - 1]) if i else 0, int(ends[i]))
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if rule.holds(common, len(x), len(y)):
+            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+                (s, lo, hi), (t, low, high) = where[x], where[y]
+                union = len(np.unique(np.concatenate([s[lo:hi], t[low:high]])))
+                n, m = hi - lo, high - low
+                if rule.holds(n + m - union, n, m):
                     kept.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(j).take(pa.array(kept, pa.int64())) for j in (0, 1)], names=["a", "b"]
-            )
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _fits(rule: Rule, left: str, right: str) -> Column:
@@ -217,6 +239,71 @@ def _node_pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _apart() -> Column:
+    """Whether two list entries have members that are not known to be connected."""
+    uniform = (F.col("p.low") == F.col("p.high")) & (F.col("q.low") == F.col("q.high"))
+    return ~(uniform & (F.col("p.low") == F.col("q.low")))
+
+
+def _short_pairs(short: DataFrame, rule: Rule) -> DataFrame:
+    met = short.alias("p").join(short.alias("q"), "token").where((F.col("p.g") < F.col("q.g")) & _fits(rule, "p", "q"))
+    return met.select(*_node_pairs(F.col("p.lead"), F.col("q.lead")))
+
+
+def _pivot_pairs(lists: DataFrame, inside: DataFrame, rule: Rule) -> DataFrame:
+    """Each group of a list with the list's pivot, and each member of an unconnected group with one of its own.
+
+    The pivot is a group outside the list's largest component that has the shingle at the smallest place: the document that its
+    near copies were made from has few shingles of its own before it.
+    """
+    by_token = Window.partitionBy("token")
+    outside = F.col("main").isNull() | (F.col("low") != F.col("high")) | (F.col("low") != F.col("main"))
+    main = _main_component(lists).select("token", F.when(F.col("c") > 1, F.col("main")).alias("main"))
+    pivot = (
+        lists.join(main, "token").withColumn("_order", F.when(outside, F.struct("place", "g")))
+        .withColumn("_least", F.min("_order").over(by_token)).where("_order = _least")
+    )
+    met = pivot.alias("p").join(lists.alias("q"), "token").where(
+        (F.col("p.g") != F.col("q.g")) & _apart() & _fits(rule, "p", "q")
+    )
+    first = Window.partitionBy("g").orderBy(F.xxhash64("node", "root"), "node")
+    own = inside.withColumn("other", F.first("node").over(first)).withColumn("other_root", F.first("root").over(first))
+    return met.select(*_node_pairs(F.col("p.lead"), F.col("q.lead"))).union(
+        own.where("node <> other AND root <> other_root").select(*_node_pairs(F.col("node"), F.col("other")))
+    )
+
+
+def _main_component(lists: DataFrame) -> DataFrame:
+    """Per token the component of most uniform groups, its number of groups and that of all."""
+    uniform = F.col("low") == F.col("high")
+    sizes = lists.groupBy("token", "low").agg(F.count(F.when(uniform, 1)).alias("c"), F.count("*").alias("n"))
+    return sizes.groupBy("token").agg(F.max(F.struct("c", "low")).alias("main"), F.sum("n").alias("n")).select(
+        "token", F.col("main.low").alias("main"), F.col("main.c").alias("c"), "n"
+    )
+
+
+def _work(lists: DataFrame, inside: DataFrame) -> tuple[int, int]:
+    """(pairs that the last round would look at, entries)"""
+    main = _main_component(lists).agg(F.sum((F.col("n") - F.col("c")) * F.col("n")), F.sum("n")).first()
+    own = inside.groupBy("g").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+    return (main[0] or 0) + (own[0] or 0), (main[1] or 0) + (own[1] or 0)
+
+
+def _all_pairs(lists: DataFrame, inside: DataFrame, state: DataFrame, rule: Rule) -> DataFrame:
+    """Every pair of members that share a list or a group and are not known to be connected."""
+    others = lists.join(_main_component(lists).select("token", "main"), "token").where("low <> high OR low <> main")
+    met = others.alias("p").join(lists.alias("q"), "token").where(
+        (F.col("p.g") != F.col("q.g")) & _apart() & _fits(rule, "p", "q")
+    )
+    groups = met.select(F.col("p.g").alias("g"), F.col("q.g").alias("h")).distinct()
+    second = state.select(F.col("g").alias("h"), F.col("node").alias("node2"), F.col("root").alias("root2"))
+    across = groups.join(state, "g").join(second, "h").where("root <> root2")
+    own = inside.alias("one").join(inside.alias("two"), "g").where("one.node < two.node AND one.root <> two.root")
+    return across.select(*_node_pairs(F.col("node"), F.col("node2"))).union(
+        own.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
@@ -238,12 +325,15 @@ def near_duplicates(
     entries = rows.where("prefix IS NOT NULL").select(
         F.posexplode("prefix").alias("place", "token"), F.col("prefix_group").alias("g"), F.col("n_shingles").alias("n")
     )
+    # an entry stays if its list has another group of a fitting size
     by_token = Window.partitionBy("token")
+    by_size = by_token.orderBy("log_n").rangeBetween(*rule.log_sizes())
     lists = cut_lineage(
-        entries.withColumn("_low", F.min("g").over(by_token)).withColumn("_high", F.max("g").over(by_token))
+        entries.select("token", "g", "n", "place", (F.log("n") * 1_000_000).cast("bigint").alias("log_n"))
+        .withColumn("_low", F.min("g").over(by_size)).withColumn("_high", F.max("g").over(by_size))
         .where("_low <> _high")
         .select("token", "g", F.col("n").cast("int").alias("n"), (F.col("place") + 1).alias("place"))
-        .distinct()
+        .distinct().withColumn("c", F.count("*").over(by_token).cast("int"))
     )
     listed = lists.select("g").distinct()
     member = rows.where("prefix_group <> 0").select(F.col("prefix_group").alias("g"), "node")
@@ -252,75 +342,48 @@ def near_duplicates(
     members = cut_lineage(
         member.distinct().join(alone, "g", "left_anti")
         .withColumn("lead", F.min("node").over(Window.partitionBy("g")))
+        .withColumn("several", F.max("node").over(Window.partitionBy("g")) != F.col("lead"))
     )
     needed = hash_arrays.hash_set(members.select(F.col("node").alias("key")), folder, bits)
-    sets = cut_lineage(_whole_sets(docs, k, needed))
-
-    links = None
-    state = members.withColumn("root", F.col("node"))
+    sets = _whole_sets(docs, k, needed)
+
+    # short lists of groups with one member are paired at once, the others step by step
+    leads = members.where("node = lead").select("g", "lead", "several")
+    lists = lists.join(leads, "g").withColumn("open", F.max("several").over(by_token) | (F.col("c") > SHORT_LIST))
+    lists = cut_lineage(lists.select("token", "g", "n", "place", "lead", "open"))
+    short = lists.where("NOT open")
+    links = _short_pairs(short, rule)
+    open_lists = lists.where("open").drop("open")
+    open_members = members.where("several").unionByName(
+        members.where("NOT several").join(open_lists.select("g").distinct(), "g", "left_semi")
+    )
+    state = cut_lineage(open_members.select("g", "node", "lead", F.col("node").alias("root")))
     for turn in range(PIVOT_ROUNDS + 1):
-        # one row per group: its lead, and whether all its members are connected
-        group = state.groupBy("g").agg(
-            F.min("lead").alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")
-        )
-        open_lists = lists.join(group, "g")
-        by_token = Window.partitionBy("token")
-        open_lists = cut_lineage(
-            open_lists.withColumn("_low", F.min("low").over(by_token)).withColumn("_high", F.max("high").over(by_token))
+        # one row per group: whether all its members are connected
+        group = state.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        current = cut_lineage(
+            open_lists.join(group, "g")
+            .withColumn("_low", F.min("low").over(by_token)).withColumn("_high", F.max("high").over(by_token))
             .where("_low <> _high").drop("_low", "_high")
         )
-        open_groups = state.join(group.where("low <> high").select("g"), "g", "left_semi")
+        inside = state.join(group.where("low <> high").select("g"), "g", "left_semi")
         final = turn == PIVOT_ROUNDS
         if turn:
-            sizes = open_lists.groupBy("token", "low").agg(F.count("*").alias("c"), F.max(F.col("low") != F.col("high")).alias("mixed"))
-            main = sizes.groupBy("token").agg(
-                F.max(F.when(~F.col("mixed"), F.struct("c", "low"))).alias("main"), F.sum("c").alias("all")
-            ).select("token", F.col("main.low").alias("main"), F.coalesce("main.c", F.lit(0)).alias("c"), "all")
-            load = main.agg(F.sum((F.col("all") - F.col("c")) * F.col("all")), F.sum("all")).first()
-            inside = open_groups.groupBy("g").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
-            pairs, size = (load[0] or 0) + (inside[0] or 0), (load[1] or 0) + (inside[1] or 0)
-            if not pairs:
+            work, size = _work(current, inside)
+            if not work:
                 break
-            final = final or pairs <= PAIRS_PER_ENTRY * size or turn == PIVOT_ROUNDS
-        if final:
-            other = open_lists.join(main.select("token", "main"), "token").where("main IS NULL OR low <> high OR low <> main")
-            met = other.alias("p").join(open_lists.alias("q"), "token").where(
-                (F.col("p.g") != F.col("q.g"))
-                & ((F.col("p.low") != F.col("p.high")) | (F.col("q.low") != F.col("q.high")) | (F.col("p.low") != F.col("q.low")))
-                & _fits(rule, "p", "q")
-            )
-            group_pairs = met.select(F.col("p.g").alias("g"), F.col("q.g").alias("h")).distinct()
-            one, two = state.alias("one"), state.alias("two")
-            across = group_pairs.join(one, "g").join(
-                state.select(F.col("g").alias("h"), F.col("node").alias("node2"), F.col("root").alias("root2")), "h"
-            ).where("root <> root2").select(*_node_pairs(F.col("node"), F.col("node2")))
-            within = open_groups.alias("one").join(open_groups.alias("two"), "g").where(
-                "one.node < two.node AND one.root <> two.root"
-            ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-        else:
-            order = F.xxhash64("g", F.lit(turn))
-            chosen = open_lists.withColumn("_order", order).withColumn("_least", F.min("_order").over(by_token))
-            pivot = chosen.where("_order = _least").select("token", "g", "n", "place", "lead", "low", "high")
-            met = pivot.alias("p").join(open_lists.alias("q"), "token").where(
-                (F.col("p.lead") != F.col("q.lead"))
-                & ((F.col("p.low") != F.col("p.high")) | (F.col("q.low") != F.col("q.high")) | (F.col("p.low") != F.col("q.low")))
-                & _fits(rule, "p", "q")
-            )
-            across = met.select(*_node_pairs(F.col("p.lead"), F.col("q.lead")))
-            leads = Window.partitionBy("g").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            within = (
-                open_groups.withColumn("other", F.first("node").over(leads))
-                .withColumn("other_root", F.first("root").over(leads))
-                .where("node <> other AND root <> other_root").select(*_node_pairs(F.col("node"), F.col("other")))
-            )
-        pairs = across.union(within).distinct()
-        found = cut_lineage(_verify(pairs, sets, rule))
-        links = found if links is None else links.union(found)
+            # pivots that find nothing more leave the rest to the last round
+            final = final or work <= PAIRS_PER_ENTRY * size or (turn > 1 and found.isEmpty())
+        pairs = _all_pairs(current, inside, state, rule) if final else _pivot_pairs(current, inside, rule)
+        if not turn:
+            pairs = pairs.union(links)
+        found = cut_lineage(_verify(pairs.distinct(), sets, rule))
+        links = found if not turn else links.union(found)
         roots = components(links)
         if final:
             break
         state = cut_lineage(
-            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_members.select("g", "node", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         )
     return (
         rows.join(roots.withColumnRenamed("root", "_root"), "node", "left")
@@ -362,5 +425,5 @@ def one_of_each(
         return kept
     files = hash_arrays.hash_set(repeated, folder, bits)
     single = hash_arrays.without(kept, key, files)
-    rest = kept.withColumn("_row", key).join(repeated.withColumnRenamed("key", "_row"), "_row", "left_semi")
-    return single.union(rest.dropDuplicates(["_row"]).select(*docs.columns))
+    rest = kept.select(F.struct("*").alias("row"), key.alias("key")).join(repeated, "key", "left_semi")
+    return single.union(rest.dropDuplicates(["key"]).select("row.*"))
