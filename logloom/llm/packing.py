@@ -137,37 +137,38 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = (places[:, 0] << 40) + places[:, 1]
     groups = 1 + max(histogram.values(), default=0) // RANK_GROUP
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("_group")
-    numbered = pieces.select(
-        "*", group, F.row_number().over(Window.partitionBy("length", group).orderBy("doc_id", "piece")).alias("_n")
+    # the piece travels as one column, so that its columns may have any names
+    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("group")
+    narrow = pieces.select(F.struct("*").alias("row"), "length", group, "doc_id", "piece")
+    numbered = narrow.select(
+        "row", "length", "group",
+        F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece")).alias("n"),
     )
-    before = (
-        pieces.groupBy("length", group).agg(F.count("*").alias("_in_group"))
-        .select(
-            "length", "_group",
-            (F.sum("_in_group").over(Window.partitionBy("length").orderBy("_group")) - F.col("_in_group")).alias("_before"),
-        )
+    before = narrow.groupBy("length", "group").agg(F.count("*").alias("c")).select(
+        "length", "group", (F.sum("c").over(Window.partitionBy("length").orderBy("group")) - F.col("c")).alias("before")
+    )
+    source = numbered.join(before, ["length", "group"]).select(
+        "row", F.col("length").cast("bigint").alias("length"), (F.col("n") - 1 + F.col("before")).alias("rank")
     )
-    ranked = numbered.join(before, ["length", "_group"]).withColumn("_rank", F.col("_n") - 1 + F.col("_before"))
-    source = ranked.select(*pieces.columns, "_rank")
     schema = T.StructType(
-        [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+        [
+            T.StructField("row", pieces.schema), T.StructField("sequence_id", T.LongType()),
+            T.StructField("offset", T.LongType()),
+        ]
     )
-    length_at = pieces.columns.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column(length_at).to_numpy().astype(np.int64)
-            rank = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
+            length, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             # the last entry of this length that starts at or before the rank
             at = np.searchsorted(keys, (length << 40) + rank, "right") - 1
             _, start, k, base, offset = places[at].T
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1], pa.array(base + (rank - start) // k),
+                    batch.column(0), pa.array(base + (rank - start) // k),
                     pa.array(offset + (rank - start) % k * length),
                 ],
                 names=schema.names,
             )
 
-    return source.mapInArrow(place, schema)
+    return source.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
