@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm import words
-from logloom.llm.samples import remainder, text_sample
+from logloom.llm.samples import narrow, remainder, text_sample
 
 NGRAMS = (2, 3, 4, 5)
 TABLE_BITS = 17
@@ -184,7 +184,8 @@ def model_pairs(model: Field, scores: np.ndarray, marginals: np.ndarray, rows: i
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
     """Fit on at most ``per_language`` texts of each non-null lang, none of them held out (crc32 of doc_id mod 4 is 2)."""
     usable = docs.where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = text_sample(usable.select("doc_id", "text", "lang"), "lang", per_language)
+    labelled = narrow(usable.select("doc_id", "text", F.col("lang").alias("label")))
+    rows = text_sample(usable, labelled, per_language)
     return fit([r.text for r in rows], [r.label for r in rows]) if rows else None
 
 
@@ -196,7 +197,10 @@ def predict(docs: DataFrame, model: Field | None, prefix: str = "") -> DataFrame
     """
     added = [f"{prefix}lang_pred", f"{prefix}score"]
     docs = docs.drop(*added)
-    source = docs.withColumn(f"{prefix}_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letters_name = "_letters"
+    while letters_name in docs.columns:
+        letters_name += "_"
+    source = docs.withColumn(letters_name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     text_at, names_out = docs.columns.index("text"), [*docs.columns, *added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size per language

@@ -11,16 +11,19 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
-def text_sample(docs: DataFrame, label: str, per_class: int, max_bytes: int = SAMPLED_BYTES) -> list:
+def narrow(docs: DataFrame, max_bytes: int = SAMPLED_BYTES) -> DataFrame:
+    """(doc_id, key) of the rows that may be sampled, with all columns but text; ``key`` is the text's hash."""
+    short = docs.where(F.octet_length("text") <= max_bytes)
+    return short.withColumn("key", F.xxhash64("text")).drop("text")
+
+
+def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
     """Up to ``per_class`` rows (doc_id, text, label) of each label, with distinct texts, picked by the texts' hash.
 
-    ``docs`` has doc_id, text and the label, none of them null where a row may be picked. At most
-    ``per_class`` times the number of labels rows of ``max_bytes`` reach the driver.
+    ``labelled`` is (doc_id, key, label) of rows of ``docs``, none of them null. Texts join only once the rows are picked: at most
+    ``per_class`` rows for each label, which also is what reaches the driver.
     """
-    narrow = docs.where(F.octet_length("text") <= max_bytes).select(
-        "doc_id", F.xxhash64("text").alias("key"), F.col(label).alias("label")
-    )
-    first = narrow.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
+    first = labelled.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
     picked = (
         first.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("key")))
         .where(F.col("_n") <= per_class).drop("_n")

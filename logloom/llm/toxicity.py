@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm import words
-from logloom.llm.samples import remainder, text_sample
+from logloom.llm.samples import narrow, remainder, text_sample
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 TERMS = 1024
 PER_LABEL = 1500
 NEIGHBOURS = 15
 BLOCK = 64
+CHANCE = 0.05
 LEAST_TEXTS = 3  # a term must stand in so many examples
 
 
@@ -113,11 +114,11 @@ def fit(rows: list, class_rows: dict[int, int]) -> Examples | None:
     expected = texts * n_toxic / n
     spread = texts * (1 - texts / n) * (n_toxic / n) * (1 - n_toxic / n) * n / max(1, n - 1)
     strength = np.where(texts >= LEAST_TEXTS, (toxic_texts - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    # so strong that chance would hardly bring it about in any of the terms looked at
+    least = 2 * np.log(max(2, (texts >= LEAST_TEXTS).sum()) / CHANCE)
     chosen = np.lexsort((terms, -strength))[:TERMS]
-    chosen = chosen[strength[chosen] > 6.6]
-    if not len(chosen):
-        chosen = np.lexsort((terms, -strength))[:1]
-    if not len(terms):
+    chosen = chosen[strength[chosen] > least]
+    if not len(chosen):  # a term that no text has: only lengths remain, and all texts are alike
         terms, texts, chosen = np.zeros(1, np.uint64), np.ones(1, np.int64), np.zeros(1, np.int64)
     chosen = chosen[np.argsort(terms[chosen])]
     idf = np.append(1 + np.log((1 + n) / (1 + texts[chosen])), 1.0)
@@ -163,13 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     Null labels and null texts are left out; where labels of one document differ, toxic counts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
-        (F.max("toxic") > 0).cast("int").alias("toxic")
+        (F.max("toxic") > 0).cast("int").alias("label")
     )
-    ids = docs.where((remainder(5) != 0) & F.col("text").isNotNull()).select("doc_id", "text")
-    narrow = ids.select("doc_id").join(known, "doc_id")
-    class_rows = {r.toxic: r.n for r in narrow.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    labelled = ids.join(known, "doc_id")
-    return fit(text_sample(labelled, "toxic", per_label), class_rows)
+    usable = docs.where((remainder(5) != 0) & F.col("text").isNotNull()).select("doc_id", "text")
+    class_rows = {
+        r.label: r.n for r in usable.select("doc_id").join(known, "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()
+    }  # two rows
+    return fit(text_sample(usable, narrow(usable).join(known, "doc_id"), per_label), class_rows)
 
 
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
