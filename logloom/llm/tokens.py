@@ -5,14 +5,19 @@ characters, so a text is cut there and every distinct piece is encoded once per
 white space are cut less often, never wrongly.
 """
 
+import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 550_000
 #: marks the piece at the start of a text, which has no blank before it; no other piece starts with it
 FIRST = "\0"
+#: marks that never join with a letter before them (an apostrophe may)
+PUNCTUATION = ".,;:!?#$%&*|)]}>\"/+=@^~-_"
+_SPACE = re.compile(r"\s")
 _IRREGULAR = re.compile(r"^\s|\s\s|\s$")
 
 
@@ -20,19 +25,26 @@ class WordTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     Strings of special tokens inside a text are ordinary text. New pieces are encoded many at a time with a special
-    token between them, which no piece contains, and cut apart there. The cache holds two generations of at most about
-    ``cache_words`` pieces each, so that common ones stay; results do not depend on it.
+    token between them, which no piece contains, and cut apart there. Marks behind a letter are tokens of their own, so a word
+    is encoded once with and without them; for a tokenizer that lower-cases, so are its capital forms. The cache
+    holds two generations of at most about ``cache_words`` pieces each, so that common ones stay; results do not depend on it.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self._plain = Tokenizer.from_file(path)
         self._plain.encode_special_tokens = True
-        self._special = Tokenizer.from_file(path)
-        self._mark_id, self._mark = max((i, t.content) for i, t in self._special.get_added_tokens_decoder().items())
-        self._marks = [t.content for t in self._special.get_added_tokens_decoder().values()]
+        self._joined = Tokenizer.from_file(path)
+        tokens = self._joined.get_added_tokens_decoder()
+        self._mark_id, self._mark = max((i, t.content) for i, t in tokens.items())
+        self._marks = [t.content for t in tokens.values()]
+        kinds = [x["type"] for x in (json.loads(self._plain.to_str())["normalizer"] or {}).get("normalizers", [])]
+        #: the pieces are normalized here, and white space makes no tokens
+        self._lower = kinds == ["NFC", "Replace", "Lowercase"]
+        if self._lower:
+            self._joined.normalizer = normalizers.Sequence([])
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._limit = cache_words
@@ -50,23 +62,49 @@ class WordTokenizer:
             return [FIRST + cut[0], *[p[1:] for p in cut[1:]]]
         return (FIRST + text).replace("\n", " \n").split(" ")
 
-    def _encode_new(self, pieces: list[str]) -> None:
-        whole = [p[1:] if p[0] == FIRST else p if p[0] == "\n" else " " + p for p in pieces]
-        odd = [i for i, p in enumerate(whole) if any(m in p for m in self._marks)]
-        for i in odd:
-            ids = self._plain.encode(whole[i], add_special_tokens=False).ids
-            self._new[pieces[i]] = np.array(ids, "<u4").tobytes()
-            whole[i] = ""
+    def _whole(self, piece: str) -> str:
+        """The text of a piece with its blank."""
+        return piece[1:] if piece[:1] == FIRST else piece if piece[:1] == "\n" else " " + piece
+
+    def _normal(self, piece: str) -> str | None:
+        """The normalized piece for a tokenizer that lower-cases; None if it must be encoded as it stands."""
+        found = unicodedata.normalize("NFC", piece[1:] if piece[:1] in (FIRST, "\n") else piece)
+        low = found.lower()
+        odd = not low or FIRST in low or "\u03a3" in found or _SPACE.search(low) or not unicodedata.is_normalized("NFC", low)
+        return None if odd else low
+
+    def _encode_joined(self, pieces: list[str]) -> None:
+        whole = pieces if self._lower else [self._whole(p) for p in pieces]
         joined = [self._mark.join(whole[i : i + 100]) for i in range(0, len(whole), 100)]
         found: list[bytes] = []
-        for e in self._special.encode_batch_fast(joined, add_special_tokens=False):
+        for e in self._joined.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             data, cut = ids.tobytes(), (np.flatnonzero(ids == self._mark_id) * 4).tolist()
             found += [data[x:y] for x, y in zip([0, *[c + 4 for c in cut]], [*cut, len(data)])]
-        skip = set(odd)
-        for i, (piece, data) in enumerate(zip(pieces, found)):
-            if i not in skip:
-                self._new[piece] = data
+        self._new.update(zip(pieces, found))
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        parts: dict[str, tuple[str, ...]] = {}
+        for piece in pieces:
+            key = self._normal(piece) if self._lower else piece
+            if key is None or any(m in piece for m in self._marks):
+                ids = self._plain.encode(self._whole(piece), add_special_tokens=False).ids
+                self._new[piece] = np.array(ids, "<u4").tobytes()
+                continue
+            stem = key.rstrip(PUNCTUATION)
+            if stem and stem is not key and stem[-1].isalpha() and len(stem) < len(key):
+                tail = key[len(stem) :]
+                parts[piece] = (stem, tail if self._lower else FIRST + tail)
+            else:
+                parts[piece] = (key,)
+        wanted = {x for p in parts.values() for x in p}
+        wanted -= self._new.keys()
+        kept = wanted & self._old.keys()
+        self._new.update({p: self._old[p] for p in kept})
+        self._encode_joined(list(wanted - kept))
+        for piece, of in parts.items():
+            if of != (piece,):
+                self._new[piece] = b"".join([self._new[x] for x in of])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
