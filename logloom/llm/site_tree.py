@@ -2,9 +2,9 @@
 
 The DOM trees of all pages of a host are merged: nodes with the same path of tags, classes and ids are one node of the site's
 tree. Its importance joins two entropies over the host's pages, that of the presentation (sequences of child elements) and
-that of the content (texts below it): what looks and reads the same everywhere is part of the template. Branches of low
-importance are removed from every page, with the element kinds that never hold an article; what is left of the
-page's article, or of the whole page if none is marked, is its text.
+that of the content (texts below it): what looks and reads the same everywhere is part of the template. Copies of a page count
+once. A branch is removed from every page if its node and all nodes below it in the site's tree are of low importance, with the
+element kinds that never hold an article; what is left of the page's article, or of the whole page if none is marked, is its text.
 """
 
 import html
@@ -63,6 +63,7 @@ class Page:
         self.tag, self.parent, self.path = ["#root"], [-1], [0]
         self.template, self.styled, self.main = [False], [False], [0]
         self.blocks: list[tuple[int, str]] = []
+        self._mixed: set[int] | None = None
         self._parse(markup)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
@@ -165,12 +166,18 @@ class Page:
             node = self.parent[node]
 
     def statistics(self) -> Iterator[tuple[int, int, int, int]]:
-        """(path, hash of the child elements' styles, hash of the text below, number of children) of every node."""
+        """(path, hash of the child elements' styles, hash of the text below, number of children) of every node.
+
+        Text beside child elements is a leaf of its own.
+        """
         n = len(self.tag)
         below = [xxhash.xxh64() for _ in range(n)]
         for node, text in self.blocks:
             for k in self.chain(node):
                 below[k].update(text)
+        beside: dict[int, xxhash.xxh64] = {}
+        for node, text in self.blocks:
+            beside.setdefault(self.holder(node), xxhash.xxh64()).update(text)
         children: list[list[int]] = [[] for _ in range(n)]
         for k in range(1, n):
             if self.tag[k] not in INLINE:
@@ -180,6 +187,33 @@ class Page:
         for k in range(1, n):
             if self.tag[k] not in INLINE:
                 yield self.path[k], xxhash.xxh64_intdigest(repr(children[k])), below[k].intdigest(), len(children[k])
+                if children[k] and k in beside:
+                    yield _beside(self.path[k]), 0, beside[k].intdigest(), 0
+
+    def holder(self, node: int) -> int:
+        """The nearest element around a text that is not an inline one."""
+        while node > 0 and self.tag[node] in INLINE:
+            node = self.parent[node]
+        return node
+
+    def holds_important(self, low: set[int] | frozenset[int]) -> set[int]:
+        """Paths of ``low`` that have a node of this page below them that is not low."""
+        n = len(self.tag)
+        kept = [self.tag[k] not in INLINE and self.path[k] not in low for k in range(n)]
+        for node in {self.holder(node) for node, _ in self.blocks}:
+            if node in self.mixed() and _beside(self.path[node]) not in low:
+                kept[node] = True
+        for k in range(n - 1, 0, -1):
+            if kept[k]:
+                kept[self.parent[k]] = True
+        return {self.path[k] for k in range(1, n) if kept[k] and self.path[k] in low}
+
+    def mixed(self) -> set[int]:
+        """Nodes with child elements and text beside them."""
+        if self._mixed is None:
+            parents = {self.parent[k] for k in range(1, len(self.tag)) if self.tag[k] not in INLINE}
+            self._mixed = parents & {self.holder(node) for node, _ in self.blocks}
+        return self._mixed
 
     def text(self, low: set[int] | frozenset[int]) -> str:
         """The article's blocks without branches of the template and of low importance (a set of paths)."""
@@ -207,43 +241,100 @@ class Page:
         if roots:
             outer = [k for k in roots if not any(j in roots for j in self.chain(self.parent[k]))]
             kept = max(outer, key=lambda k: (size[k], -k))
+        # text beside the elements of a branch that stays
+        idle = set()
+        for k in self.mixed():
+            inside = any(self.main[j] for j in self.chain(k))
+            if _beside(self.path[k]) in low and (not inside or (self.styled[k] and not self.main[k] and not holds_main[k])):
+                idle.add(k)
         return "\n".join(
-            t for node, t in self.blocks if not removed[node] and (kept is None or kept in self.chain(node))
+            t for node, t in self.blocks
+            if not removed[node] and self.holder(node) not in idle and (kept is None or kept in self.chain(node))
         )
 
     def _tags_below(self, node: int) -> set[str]:
         return {self.tag[k] for k in range(node + 1, len(self.tag)) if node in self.chain(k)}
 
 
+def _beside(path: int) -> int:
+    """Path of the text beside the child elements of a node."""
+    return xxhash.xxh64_intdigest("#text", path)
+
+
 def host_of(url: str | None) -> str:
     """Lower-case host of a URL; everything without one counts as one host."""
     match = re.match(r"\s*[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
     return match[1].rpartition("@")[2].lower() if match else ""
 
 
+def _digest(url: str | None, markup: str | None) -> int:
+    return xxhash.xxh64_intdigest(markup or "", xxhash.xxh64_intdigest(host_of(url)))
+
+
+def _copies(pages: DataFrame, folder: str, bits: int) -> hash_arrays.HashSetFiles:
+    """Pages (hash of host and html) that occur more than once, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_digest(u, m) for u, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], names=["key"])
+
+    found = pages.select("url", "html").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        keys, counts = hash_arrays.sum_by_key(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()], pa.int32()), "keys": [hash_arrays.write_array(folder, "copies", keys)],
+            "counts": [hash_arrays.write_array(folder, "copy-counts", counts)],
+        })
+
+    bucketed = found.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket"), "key", "n")
+    rows = bucketed.groupBy("bucket").applyInArrow(write, "bucket int, keys string, counts string").collect()  # one row per bucket
+    return hash_arrays.HashSetFiles(folder, bits, {r.bucket: (r.keys, r.counts) for r in rows}, ("<u8", "<i8"))
+
+
 def _unimportant(pages: DataFrame, folder: str, bits: int) -> hash_arrays.HashSetFiles:
     """Nodes (hash of host and path) of low composite importance."""
+    copies = _copies(pages, folder, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
-            for url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            weight, first = [], []
+            urls, markups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            digests = np.array([_digest(u, m) for u, m in zip(urls, markups)], np.uint64)
+            order, share = np.argsort(digests), np.ones(len(digests))
+            for part, arrays, at, there in copies.find(digests[order]):
+                share[order[part]] = np.where(there, 1 / arrays[1][at], 1.0)
+            for url, markup, own in zip(urls, markups, share.tolist()):
                 seed = xxhash.xxh64_intdigest(host_of(url))
-                rows += [(p ^ seed, c, t, n) for p, c, t, n in Page(markup or "").statistics()]
+                seen = set()
+                for p, c, t, n in Page(markup or "").statistics():
+                    rows.append((p ^ seed, c, t, n))
+                    weight.append(own)
+                    first.append(0.0 if p in seen else own)
+                    seen.add(p)
             table = np.array(rows, np.uint64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(table[:, i].view(np.int64) if i < 3 else table[:, 3].astype(np.int64)) for i in range(4)],
-                names=["key", "look", "content", "children"],
+                [*(pa.array(table[:, i].view(np.int64) if i < 3 else table[:, 3].astype(np.int64)) for i in range(4)),
+                 pa.array(weight, pa.float64()), pa.array(first, pa.float64())],
+                names=["key", "look", "content", "children", "weight", "first"],
             )
 
-    nodes = pages.select("url", "html").mapInArrow(run, "key bigint, look bigint, content bigint, children bigint")
+    # the copies of a page weigh as much as one page
+    nodes = pages.select("url", "html").mapInArrow(
+        run, "key bigint, look bigint, content bigint, children bigint, weight double, first double"
+    )
 
     def entropy(value: str) -> DataFrame:
         """Entropy of the values over a node's occurrences, to the base of their number: 0 all alike, 1 all different."""
-        counts = nodes.groupBy("key", value).agg(F.count("*").alias("c"), F.sum("children").alias("children"))
+        counts = nodes.groupBy("key", value).agg(
+            F.round(F.sum("weight")).alias("c"), F.round(F.sum(F.col("children") * F.col("weight"))).alias("children"),
+            F.round(F.sum("first"), 6).alias("pages"),
+        )
         total = F.sum("c")
         return counts.groupBy("key").agg(
-            total.alias("m"), (F.sum("children") / total).alias("l"),
+            F.round(F.sum("pages")).alias("m"), (F.sum("children") / total).alias("l"),
             (1 - F.sum(F.col("c") * F.log("c")) / total / F.log(F.greatest(total, F.lit(2)))).alias(f"{value}_entropy"),
         )
 
@@ -254,18 +345,42 @@ def _unimportant(pages: DataFrame, folder: str, bits: int) -> hash_arrays.HashSe
     return hash_arrays.hash_set(low.select("key"), folder, bits)
 
 
+def _low_paths(page: Page, url: str | None, *sets: hash_arrays.HashSetFiles) -> list[set[int]]:
+    """The page's paths, also of texts beside elements, that are in each of the sets."""
+    paths = [*page.path, *(_beside(page.path[k]) for k in page.mixed())]
+    keys = np.array(paths, np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(host_of(url)))
+    return [{p for p, f in zip(paths, s.contains(keys)) if f} for s in sets]
+
+
+def _above_important(pages: DataFrame, low: hash_arrays.HashSetFiles, folder: str, bits: int) -> hash_arrays.HashSetFiles:
+    """Nodes of low importance with a node below them, on any page, that is not of low importance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[int] = set()
+            for url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                page = Page(markup or "")
+                seed = xxhash.xxh64_intdigest(host_of(url))
+                found |= {p ^ seed for p in page.holds_important(_low_paths(page, url, low)[0])}
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), np.uint64).view(np.int64))], names=["key"])
+
+    return hash_arrays.hash_set(pages.select("url", "html").mapInArrow(run, "key bigint"), folder, bits)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with text, the main text of the page.
 
     Blocks stand in page order with one newline between them; inside a block all white space is one space and character
     references are decoded. A null html is an empty page and gives an empty text; a null url belongs to a host of its own kind.
-    A column text is replaced, all others are kept; repeated rows count as pages of their own. Hosts of fewer than
-    ``LEAST_PAGES`` pages have no statistics: only the kinds of elements decide.
+    A column text is replaced, all others are kept; pages of equal host and html count as one. Nodes on fewer than
+    ``LEAST_PAGES`` different pages have no statistics: only the kinds of elements decide.
     """
     pages = pages.drop("text")
     folder = f"{shared_folder(pages.sparkSession)}/sites-{uuid.uuid4().hex}"
     size = pages.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
-    low = _unimportant(pages, folder, hash_arrays.bucket_bits(size))
+    bits = hash_arrays.bucket_bits(size)
+    low = _unimportant(pages, folder, bits)
+    above = _above_important(pages, low, folder, bits)
     url_at, html_at, names_out = pages.columns.index("url"), pages.columns.index("html"), [*pages.columns, "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
 
@@ -274,10 +389,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for url, markup in zip(batch.column(url_at).to_pylist(), batch.column(html_at).to_pylist()):
                 page = Page(markup or "")
-                seed = xxhash.xxh64_intdigest(host_of(url))
-                paths = np.array(page.path, np.uint64)
-                found = low.contains(paths ^ np.uint64(seed))
-                texts.append(page.text({p for p, f in zip(page.path, found) if f}))
+                unimportant, holding = _low_paths(page, url, low, above)
+                texts.append(page.text(unimportant - holding))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names_out)
 
     return pages.mapInArrow(run, f"{schema}, text string")

@@ -208,6 +208,34 @@ def test_template_branches_of_a_site_without_article_marks(spark):
     assert site_tree.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_fixed_frame_around_different_texts_stays(spark):
+    rng = random.Random(16)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))
+    tags = ["h1", "p", "h2", "p", "h3", "p", "ul", "p", "h4", "p", "h5", "p", "pre", "p"]
+    pages, expected = [], []
+    for i in range(6):
+        texts = [line() for _ in tags]
+        pages.append((f"http://fixed/{i}", "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, texts)) + "<div class='low'>Same</div></body>"))
+        expected.append("\n".join(texts))
+    # text beside fixed elements
+    for i in range(6):
+        text = line()
+        pages.append((f"http://beside/{i}", f"<body>{text}" + "".join(f"<{t}></{t}>" for t in tags) + "</body>"))
+        expected.append(text)
+    assert page_text(spark, pages) == expected
+
+
+def test_copies_of_a_page_do_not_empty_a_host(spark):
+    rng = random.Random(17)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))
+    frame = "<body><div class='a'><h1>{}</h1></div><p>{}</p><ul><li>{}</ul><div class='low'>Same</div></body>"
+    texts = [[line() for _ in range(3)] for _ in range(40)]
+    pages = [(f"http://copies/{i}", frame.format(*texts[min(i, 39)])) for i in range(100)]
+    expected = ["\n".join(texts[min(i, 39)]) for i in range(100)]
+    equal = [("http://equal/x", "<body><p>One text</p><p>One text</p></body>")] * 4
+    assert page_text(spark, pages + equal) == expected + ["One text\nOne text"] * 4
+
+
 def test_page_of_many_open_tags_is_read_in_time(spark):
     text = page_text(spark, [("http://a/", "<article><p>" + "<b" * 5000 + " x='" * 2000 + "<p>end")])
     assert len(text) == 1
