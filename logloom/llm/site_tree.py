@@ -24,11 +24,14 @@ GAMMA = 0.9
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 4
 # fixed values: HTML elements by kind
-RAW = frozenset("script style noscript template iframe object svg math head".split())
+RAW = frozenset("script style noscript template iframe svg head annotation annotation-xml".split())
+FOREIGN = frozenset("svg annotation annotation-xml".split())  # a slash at the end of their start tag closes them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr object "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced maction msub "
+    "msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
@@ -51,11 +54,32 @@ TEMPLATE_WORDS = frozenset(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.S
 )
+_ENCLOSED = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)|(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\b[^>]*>|\Z)"
+    r"|(/?)(noscript|template|iframe|svg|annotation-xml|annotation)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S | re.I
+)
+_HEAD_END = re.compile(r"</head\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _enclosed(markup: str) -> dict[int, int]:
+    """Start of every RAW element that may hold its like, and the end of its own end tag; those without one are left out."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for match in _ENCLOSED.finditer(markup):
+        if match[2] is None:
+            continue
+        own = opened.setdefault(match[2].lower(), [])
+        if not match[1]:
+            if not (match[2].lower() in FOREIGN and match[3].endswith("/")):
+                own.append(match.start())
+        elif own:
+            ends[own.pop()] = match.end()
+    return ends
+
+
 class Page:
     """The tree of one page: parallel lists by node, and the blocks of text in page order."""
 
@@ -93,6 +117,7 @@ class Page:
     def _parse(self, markup: str) -> None:
         stack, text, at = [0], [], 0
         block = 0
+        enclosed: dict[int, int] | None = None
 
         def flush() -> None:
             if text:
@@ -130,11 +155,19 @@ class Page:
                 close((name,), None)
                 continue
             if name in RAW:
-                flush()
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(markup, position)
-                if end is None and name == "head":
-                    continue  # a head that is never closed: go on inside it
-                at = position = end.end() if end else len(markup)
+                if not name.startswith("annotation"):
+                    flush()
+                if name in FOREIGN and match[3].endswith("/"):
+                    continue
+                if name in ("script", "style"):
+                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(markup, position)
+                    at = position = end.end() if end else len(markup)
+                elif name == "head":
+                    end = _HEAD_END.search(markup, position)
+                    at = position = end.end() if end else position
+                else:
+                    enclosed = _enclosed(markup) if enclosed is None else enclosed
+                    at = position = enclosed.get(match.start(), position)  # without an end only the tag goes
                 continue
             if name == "br":
                 text.append(" ")

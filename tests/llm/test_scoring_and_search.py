@@ -208,6 +208,18 @@ def test_template_branches_of_a_site_without_article_marks(spark):
     assert site_tree.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("inside, expected", [
+    ("one <svg class='i' /> two", "one\ntwo"), ("one <svg><svg><text>no</text></svg>no</svg> two", "one\ntwo"),
+    ("one <svg> two", "one\ntwo"), ("one <template/> two", "one\ntwo"), ("one <object data='x'/> two", "one two"),
+    ("one <template>no<template>no</template>no</template> two", "one\ntwo"), ("one <iframe src='x'> two", "one\ntwo"),
+    ("one <object data='x'><object>two</object> three</object> four", "one two three four"), ("one <math/> two", "one two"),
+    ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>no</annotation></math> holds", "so x=1 holds"),
+    ("one <script>no", "one"), ("one <script>'<svg>'</script><svg>no</svg> two", "one\ntwo"),
+])
+def test_elements_that_are_skipped_end_where_they_close(inside, expected):
+    assert site_tree.Page(f"<body><article><p>{inside}</p></article></body>").text(frozenset()) == expected
+
+
 def test_fixed_frame_around_different_texts_stays(spark):
     rng = random.Random(16)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))
