@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Terms are words and their first letters; those that tell the labels of the examples apart are kept, and all other words count
-together as one term, so a text's length matters. The examples form an inverted index in blocks with the largest
-weight per term and block: a text visits the blocks in the order of their bounds and stops when no block can hold a nearer
+Terms are all words of the examples and their first letters, weighted by their document frequencies over all documents and by how
+well they tell the labels of the examples apart. The examples form an inverted index of sparse postings with the largest
+weight per term and block: a text visits the blocks in the order of their bounds and leaves out those that hold no nearer
 example, so its neighbours by cosine are exact. Their votes, weighted by nearness, are calibrated on the examples themselves,
 each scored without itself.
 """
@@ -18,12 +18,12 @@ from logloom.llm import words
 from logloom.llm.samples import narrow, remainder, text_sample
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
-TERMS = 1024
 PER_LABEL = 1500
 NEIGHBOURS = 15
 BLOCK = 64
 CHANCE = 0.05
-LEAST_TEXTS = 3  # a term must stand in so many examples
+LEAST_WEIGHT = 0.05  # of a term that does not tell the labels apart
+VISITED_FIRST = 4  # blocks
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -39,53 +39,99 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield lo, np.concatenate(owner), np.concatenate(found), np.diff(first)
 
 
+def _places(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes are terms, their places among the sorted terms)."""
+    if not len(terms):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    kept = np.flatnonzero(terms[at] == hashes)
+    return kept, at[kept]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of the ranges one after the other, the range of each)."""
+    size = end - start
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) + np.repeat(start - np.cumsum(size) + size, size), own
+
+
 @dataclass
 class Examples:
-    terms: np.ndarray  # sorted hashes of the kept terms
-    idf: np.ndarray  # per term; the last is that of all other words
+    terms: np.ndarray  # sorted hashes of all terms of the examples
+    weight: np.ndarray  # per term
     ids: np.ndarray
     toxic: np.ndarray  # labels in the order of the index
     class_weight: np.ndarray  # per label: rows of the training part for each example
-    blocks: np.ndarray  # block x term x place
-    bounds: np.ndarray  # term x block
+    # postings by term and place; cells by term and block, each with its first posting and its largest weight
+    post_place: np.ndarray
+    post_weight: np.ndarray
+    cell_first: np.ndarray  # one more than cells
+    cell_block: np.ndarray
+    cell_bound: np.ndarray
+    term_first: np.ndarray  # first cell per term and one more
     curve: tuple[float, float]
 
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    @property
+    def blocks(self) -> np.ndarray:
+        """The index as a dense array, block x term x place; for small examples."""
+        dense = np.zeros((self.n_blocks, len(self.terms), BLOCK), np.float32)
+        cell = np.repeat(np.arange(len(self.cell_block)), np.diff(self.cell_first))
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.term_first))
+        dense[self.post_place // BLOCK, term[cell], self.post_place % BLOCK] = self.post_weight
+        return dense
+
+    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Postings of the examples' vectors, in their order."""
+        place = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate(x) for x in zip(*vectors))
+        order = np.lexsort((place, term))
+        place, term, weight = place[order], term[order], weight[order]
+        block = place // BLOCK
+        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        self.post_place, self.post_weight = place.astype(np.int32), weight
+        self.cell_first, self.cell_block = np.append(first, len(term)).astype(np.int32), block[first].astype(np.int32)
+        self.cell_bound = np.maximum.reduceat(weight, first) if len(first) else np.empty(0, np.float32)
+        self.term_first = np.searchsorted(term[first], np.arange(len(self.terms) + 1)).astype(np.int32)
+
     def vectors(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
         """Per slice the unit vectors of its texts as (terms, weights)."""
         for lo, owner, hashes, n_words in _terms(column):
-            at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-            kept = np.flatnonzero(self.terms[at] == hashes)
-            cell, count = np.unique(owner[kept] * len(self.terms) + at[kept], return_counts=True)
-            doc, term = np.divmod(cell, len(self.terms))
-            weight = np.log1p(count) * self.idf[term]
+            kept, at = _places(self.terms, hashes)
+            cell, count = np.unique(owner[kept] * len(self.terms) + at, return_counts=True)
+            doc, term = np.divmod(cell, max(1, len(self.terms)))
+            weight = np.log1p(count) * self.weight[term]
+            norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(n_words)))
+            weight = (weight / norm[doc]).astype(np.float32)
             first = np.searchsorted(doc, np.arange(len(n_words) + 1))
-            rest = np.log1p(n_words) * self.idf[-1]
-            found = []
-            for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                t, w = np.append(term[a:b], len(self.terms)), np.append(weight[a:b], rest[i])
-                norm = np.sqrt(w @ w)
-                found.append((t, (w / norm if norm else w).astype(np.float32)))
-            yield lo, found
+            yield lo, [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first; ties go to the earlier place."""
-        bound = weights @ self.bounds[terms]
-        places, cosines, least = np.empty(0, np.int64), np.empty(0, np.float32), -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] + 1e-6 < least:
-                break
-            near = weights @ self.blocks[b][terms]
-            places = np.append(places, b * BLOCK + np.arange(BLOCK))
-            cosines = np.append(cosines, near)
-            real = places < len(self.ids)
-            places, cosines = places[real], cosines[real]
-            if len(places) > k:
-                order = np.lexsort((places, -cosines))[:k]
-                places, cosines = places[order], cosines[order]
-            if len(places) == k:
-                least = cosines.min()
-        order = np.lexsort((places, -cosines))
-        return places[order], cosines[order]
+        cells, own = _ranges(self.term_first[terms], self.term_first[terms + 1])
+        block, weight = self.cell_block[cells], weights[own]
+        bound = np.bincount(block, weights=weight * self.cell_bound[cells], minlength=self.n_blocks)
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: VISITED_FIRST + k // BLOCK]] = True
+        cosine = self._cosines(cells, weight, first[block])
+        held = np.flatnonzero(np.repeat(first, BLOCK)[: len(self.ids)])
+        least = np.partition(cosine[held], len(held) - k)[len(held) - k] if len(held) >= k else -1.0
+        more = ~first & (bound + 1e-6 >= least)
+        if more.any():
+            cosine += self._cosines(cells, weight, more[block])
+            held = np.flatnonzero(np.repeat(first | more, BLOCK)[: len(self.ids)])
+        order = held[np.lexsort((held, -cosine[held]))[:k]]
+        return order, cosine[order]
+
+    def _cosines(self, cells: np.ndarray, weight: np.ndarray, visited: np.ndarray) -> np.ndarray:
+        """Sums of products over the visited cells, per place."""
+        cells, weight = cells[visited], weight[visited]
+        posts, own = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
+        return np.bincount(self.post_place[posts], weights=weight[own] * self.post_weight[posts], minlength=len(self.ids)).astype(np.float32)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the toxic label among neighbours, weighted by nearness and by what each example stands for."""
@@ -98,43 +144,69 @@ class Examples:
         return float(1 / (1 + np.exp(-(slope * np.log((vote + 0.01) / (1.01 - vote)) + shift))))
 
 
-def fit(rows: list, class_rows: dict[int, int]) -> Examples | None:
-    """An index over rows (doc_id, text, label); ``class_rows`` has the training rows of each label."""
+def example_terms(rows: list) -> np.ndarray:
+    """Sorted hashes of all terms of rows (doc_id, text, label)."""
+    found = [np.unique(h) for _, _, h, _ in _terms(pa.array([r.text for r in rows], pa.string()))]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rows of ``docs`` that hold each of the sorted terms, number of rows)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(terms)  # terms of a bounded number of examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shipped.value
+        total, rows = np.zeros(len(wanted), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for _, owner, hashes, _ in _terms(batch.column(0)):
+                kept, at = _places(wanted, hashes)
+                total += np.bincount(np.unique(owner[kept] * len(wanted) + at) % max(1, len(wanted)), minlength=len(wanted))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], rows))], names=["term", "n"]
+        )
+
+    counts = docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    own = counts[counts.term >= 0]
+    frequency = np.zeros(len(terms), np.int64)
+    frequency[own.term.to_numpy()] = own.n.to_numpy()
+    return frequency, int(counts.n[counts.term < 0].sum())
+
+
+def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np.ndarray, n_docs: int) -> Examples | None:
+    """An index over rows (doc_id, text, label) with all their terms (sorted) and these' frequencies in ``n_docs`` documents.
+
+    ``class_rows`` has the training rows of each label.
+    """
     if not rows:
         return None
     column = pa.array([r.text for r in rows], pa.string())
     label = np.array([r.label for r in rows])
-    seen = [(lo, np.unique(np.stack([h, o.astype(np.uint64)]), axis=1)) for lo, o, h, _ in _terms(column)]
-    hashes = np.concatenate([x[0] for _, x in seen])
-    owner = np.concatenate([x[1].astype(np.int64) + lo for lo, x in seen])
-    terms, kind, texts = np.unique(hashes, return_inverse=True, return_counts=True)
-    toxic_texts = np.bincount(kind, weights=label[owner], minlength=len(terms))
     n, n_toxic = len(rows), label.sum()
+    texts, toxic_texts = np.zeros(len(terms)), np.zeros(len(terms))
+    for lo, owner, hashes, _ in _terms(column):
+        doc, term = np.divmod(np.unique(owner * len(terms) + np.searchsorted(terms, hashes)), max(1, len(terms)))
+        texts += np.bincount(term, minlength=len(terms))
+        toxic_texts += np.bincount(term, weights=label[doc + lo], minlength=len(terms))
     # chi-squared of term and label
     expected = texts * n_toxic / n
     spread = texts * (1 - texts / n) * (n_toxic / n) * (1 - n_toxic / n) * n / max(1, n - 1)
-    strength = np.where(texts >= LEAST_TEXTS, (toxic_texts - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    # so strong that chance would hardly bring it about in any of the terms looked at
-    least = 2 * np.log(max(2, (texts >= LEAST_TEXTS).sum()) / CHANCE)
-    chosen = np.lexsort((terms, -strength))[:TERMS]
-    chosen = chosen[strength[chosen] > least]
-    if not len(chosen):  # a term that no text has: only lengths remain, and all texts are alike
-        terms, texts, chosen = np.zeros(1, np.uint64), np.ones(1, np.int64), np.zeros(1, np.int64)
-    chosen = chosen[np.argsort(terms[chosen])]
-    idf = np.append(1 + np.log((1 + n) / (1 + texts[chosen])), 1.0)
+    strength = np.where(spread > 0, (toxic_texts - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    # a term has its full weight if chance would hardly bring its strength about in any of the terms
+    full = 2 * np.log(max(2, len(terms)) / CHANCE)
+    idf = 1 + np.log((1 + n_docs) / (1 + frequency))
     weight = np.array([class_rows.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)])
     empty = np.empty(0)
-    model = Examples(terms[chosen], idf, empty, empty, weight, empty, empty, (1.0, 0.0))
+    model = Examples(
+        terms, idf * np.clip(strength / full, LEAST_WEIGHT, 1), empty, empty, weight, *[empty] * 6, (1.0, 0.0)
+    )
     vectors = [v for _, part in model.vectors(column) for v in part]
     # similar examples side by side make tight blocks
-    order = sorted(range(n), key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]), len(vectors[i][0]), i))
+    order = sorted(range(n), key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, len(vectors[i][0]), i))
     model.ids = np.array([rows[i].doc_id if rows[i].doc_id is not None else -1 for i in order])
     model.toxic = label[order]
-    n_blocks = -(-n // BLOCK)
-    model.blocks = np.zeros((n_blocks, len(chosen) + 1, BLOCK), np.float32)
-    for place, i in enumerate(order):
-        model.blocks[place // BLOCK, vectors[i][0], place % BLOCK] = vectors[i][1]
-    model.bounds = np.ascontiguousarray(model.blocks.max(axis=2).T)
+    model.index([vectors[i] for i in order])
     votes = []
     for place, i in enumerate(order):
         places, cosines = model.nearest(*vectors[i], NEIGHBOURS + 1)
@@ -170,7 +242,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     class_rows = {
         r.label: r.n for r in usable.select("doc_id").join(known, "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()
     }  # two rows
-    return fit(text_sample(usable, narrow(usable).join(known, "doc_id"), per_label), class_rows)
+    rows = text_sample(usable, narrow(usable).join(known, "doc_id"), per_label)
+    if not rows:
+        return None
+    terms = example_terms(rows)
+    return fit(rows, class_rows, terms, *document_frequencies(docs, terms))
 
 
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
@@ -183,7 +259,7 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix
     docs = docs.drop(*added)
     text_at, names_out = docs.columns.index("text"), [*docs.columns, *added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * PER_LABEL x TERMS numbers
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # postings of at most 2 * PER_LABEL bounded texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value

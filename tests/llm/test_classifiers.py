@@ -114,6 +114,21 @@ def test_neighbours_by_blocks_are_exact(docs, examples):
             assert abs(np.sqrt(weights @ weights) - 1) < 1e-4 or not weights.any()
 
 
+def test_rare_terms_of_examples_find_them(spark):
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in range(1, 41)}
+    docs = spark.createDataFrame([*texts.items(), (500, "w1x3 of no example"), (501, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in texts], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    used = {int(i) for i in model.ids}
+    asked = spark.createDataFrame([(i, f"some w{i}x7 here w{i}x9") for i in sorted(used)], "doc_id bigint, text string")
+    assert {r.doc_id: r.evidence[0] for r in toxicity.predict(asked, model).collect()} == {i: i for i in used}
+    terms = toxicity.example_terms(docs.where("doc_id = 1").collect())
+    frequency, n = toxicity.document_frequencies(docs.repartition(3), terms)
+    (_, _, hashes, _), *_ = toxicity._terms(pa.array(["w1x3", "w1x4"]))
+    by = dict(zip(terms.tolist(), frequency.tolist()))
+    assert n == 42 and by[int(hashes[0])] == 2 and by[int(hashes[1])] == 1
+
+
 def test_unusual_texts_are_scored(spark, examples):
     table = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, score int")
     rows = toxicity.predict(table.withColumnRenamed("score", "x"), examples).collect()
