@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.llm import words
 from logloom.session import cut_lineage
@@ -43,7 +43,16 @@ NOTICES = (
     ),
 )
 NEIGHBOURS = 2  # diagonals this near to each other are merged
-COVERAGE = 0.8  # of a notice; one that names a version must be covered whole
+COVERAGE = 0.8  # of a notice, and one pair may always be missing
+# fixed values: word pairs of short notices that hold the licence's name and version; one of each group must stand in the text.
+# The pairs inside a name with relatives (LGPL, CC BY-NC-SA) stand alone: a word between them names another licence.
+NEEDED = {
+    "licensed under the apache license version 2 0": (("the apache", "apache license"), ("2 0",)),
+    "released under the mit license": (("the mit", "mit license"),),
+    "licensed under cc by nc 4 0": (("cc by",), ("by nc",), ("nc 4",), ("4 0",)),
+    "licensed under the gnu general public license version 3": (("gnu general",), ("version 3",)),
+    "licensed under the gnu general public license version 2": (("gnu general",), ("version 2",)),
+}
 
 
 def _pairs(phrase: str) -> np.ndarray:
@@ -51,19 +60,30 @@ def _pairs(phrase: str) -> np.ndarray:
     return words.gram_hashes(hashes, PAIR)
 
 
-def _templates() -> list[tuple[int, str, bool, bool, int, int, int]]:
-    """(template, label, is a phrase, names a version, pairs, gram, place) for all word pairs of all templates."""
+def _templates() -> list[tuple[int, str, bool, int, int, int]]:
+    """(template, label, is a phrase, pairs, gram, place) for all word pairs of all templates."""
     return [
-        (t, label, t < len(PHRASES), phrase[-1].isdigit(), len(grams), int(g), place)
+        (t, label, t < len(PHRASES), len(grams), int(g), place)
         for t, (phrase, label) in enumerate(PHRASES + NOTICES)
         for grams in [_pairs(phrase).view(np.int64)]
         for place, g in enumerate(grams)
     ]
 
 
+def _named() -> Column:
+    """Whether the voted places of a template hold the licence's name and version."""
+    held = F.lit(True)
+    for t, (phrase, _) in enumerate(PHRASES + NOTICES):
+        pairs = list(zip(phrase.split(), phrase.split()[1:]))
+        for group in NEEDED.get(phrase, ()):
+            places = F.array(*(F.lit(pairs.index(tuple(pair.split()))) for pair in group))
+            held = held & ((F.col("template") != t) | F.arrays_overlap("voted", places))
+    return held
+
+
 def _hits(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_words, grams, places): the word pairs of every text that stand in a template."""
-    wanted = np.unique(np.array([t[5] for t in _templates()], np.int64).view(np.uint64))
+    wanted = np.unique(np.array([t[4] for t in _templates()], np.int64).view(np.uint64))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +116,13 @@ def _spans(hits: DataFrame) -> DataFrame:
     """(row, label, phrase, start, end, coverage) of every verified span."""
     spark = hits.sparkSession
     templates = spark.createDataFrame(
-        _templates(), "template int, label string, phrase boolean, versioned boolean, pairs int, gram bigint, at int"
+        _templates(), "template int, label string, phrase boolean, pairs int, gram bigint, at int"
     )
     votes = (
         hits.select("row", F.explode(F.arrays_zip("grams", "places")).alias("hit"))
         .select("row", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("place"))
         .join(F.broadcast(templates), "gram")  # the word pairs of the fixed templates
-        .groupBy("row", "template", "label", "phrase", "versioned", "pairs", (F.col("place") - F.col("at")).alias("diagonal"))
+        .groupBy("row", "template", "label", "phrase", "pairs", (F.col("place") - F.col("at")).alias("diagonal"))
         .agg(F.collect_set("at").alias("voted"), F.min("place").alias("start"), (F.max("place") + PAIR).alias("end"))
     )
     phrases = votes.where(F.col("phrase") & (F.size("voted") == F.col("pairs")))
@@ -111,15 +131,15 @@ def _spans(hits: DataFrame) -> DataFrame:
         votes.where(~F.col("phrase"))
         .withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS).cast("int"), F.lit(1)))
         .withColumn("cluster", F.sum("_new").over(along))
-        .groupBy("row", "template", "label", "phrase", "versioned", "pairs", "cluster")
+        .groupBy("row", "template", "label", "phrase", "pairs", "cluster")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("voted"))).alias("voted"),
             F.min("start").alias("start"), F.max("end").alias("end"),
         )
     )
     coverage = (F.size("voted") / F.col("pairs")).alias("coverage")
-    needed = F.when(F.col("versioned"), F.col("pairs")).otherwise(COVERAGE * F.col("pairs"))
-    fitting = (F.size("voted") >= needed) & (F.col("end") - F.col("start") <= 1.3 * F.col("pairs") + 2)
+    needed = F.least(COVERAGE * F.col("pairs"), F.col("pairs") - F.lit(1.0))
+    fitting = (F.size("voted") >= needed) & _named() & (F.col("end") - F.col("start") <= 1.3 * F.col("pairs") + 2)
     columns = ["row", "label", "phrase", "start", "end", coverage]
     return phrases.select(*columns).union(merged.where(fitting).select(*columns))
 

@@ -162,6 +162,28 @@ def test_license_phrases_and_notices(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_one_word_put_into_a_notice(spark):
+    # before the first pair that neither holds a version nor a name with relatives
+    at = {"licensed under cc by nc 4 0": [1, 2], "licensed under the gnu general public license version 3": [1, 2, 3, 5, 6, 7]}
+    at["licensed under the gnu general public license version 2"] = at["licensed under the gnu general public license version 3"]
+    at["licensed under the apache license version 2 0"] = [1, 2, 3, 4, 5, 6]
+    texts = [
+        (" ".join([*w[:k], "fine", *w[k:]]), label)
+        for notice, label in licenses.NOTICES for w in [notice.split()] for k in at.get(notice, range(1, len(w)))
+    ]
+    texts += [("Licensed under the Apache Software License, Version 2.0", "apache-2.0")]
+    others = [
+        "licensed under the GNU Lesser General Public License version 3", "licensed under CC BY-NC-SA 4.0",
+        "licensed under the apache license version 2 1", "licensed under the GNU general public license version 4",
+        "released under the bsd license",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for t, _ in texts), *others])], "doc_id bigint, text string")
+    rows = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs).collect()}
+    assert [t for i, (t, label) in enumerate(texts) if label not in rows[i]] == []
+    named = {label for _, label in licenses.NOTICES}
+    assert [rows[len(texts) + i] & named for i in range(len(others))] == [set()] * len(others)
+
+
 ARTICLE = "<article><header><h1>Head &amp; line</h1></header><p><b>One<br>two.<p>Three\n  four<aside>no</aside></p>{}</article>"
 FRAME = (
     "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p><article>';</script></head><body class='has-sidebar'>"
