@@ -45,9 +45,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
+    """Every piece of every document with its token ids and its place in a sequence."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")))
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """The pipeline on planted cases, and all registered queries on the smallest data."""
 
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -82,6 +83,12 @@ def test_run_does_the_same_as_its_stages(spark, planted):
     assert {"sequence_id", "offset"} <= set(rows[0].asDict())
 
 
+def test_packed_sequences_hold_their_ids(spark, planted):
+    docs = spark.read.parquet(f"{planted[0]}/documents.parquet").where("doc_id < 40")
+    rows = corpus_pipeline.packed(spark, docs, planted[0]).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 def test_stages_on_an_empty_table(spark, planted, tmp_path):
     folder = planted[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
