@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: longer texts are not sampled (they are predicted like all others)
 SAMPLED_BYTES = 65_536
+#: log2 of the slices of the key range
+SLICE_BITS = 12
 
 
 def remainder(modulus: int) -> Column:
@@ -17,6 +19,15 @@ def narrow(docs: DataFrame, max_bytes: int = SAMPLED_BYTES) -> DataFrame:
     return short.withColumn("key", F.xxhash64("text")).drop("text")
 
 
+def smallest_keys(rows: DataFrame, per_class: int) -> DataFrame:
+    """The rows of each label with keys up to the slice of the key range that holds its ``per_class``-th smallest key."""
+    part = F.shiftright("key", 64 - SLICE_BITS)  # ascends with the key
+    counts = rows.groupBy("label", part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("label").orderBy("_part")) - F.col("_c")  # one row per slice
+    last = counts.withColumn("_before", before).where(F.col("_before") < per_class).groupBy("label").agg(F.max("_part").alias("_last"))
+    return rows.join(F.broadcast(last), "label").where(part <= F.col("_last")).drop("_last")  # one row per label
+
+
 def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
     """Up to ``per_class`` rows (doc_id, text, label) of each label, with distinct texts, picked by the texts' hash.
 
@@ -25,7 +36,7 @@ def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
     """
     first = labelled.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
     picked = (
-        first.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("key")))
+        smallest_keys(first, per_class).withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("key")))
         .where(F.col("_n") <= per_class).drop("_n")
     )
     # as many rows as the sample has

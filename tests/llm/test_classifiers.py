@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import language, toxicity
-from logloom.llm.samples import narrow, remainder, text_sample
+from logloom.llm.samples import narrow, remainder, smallest_keys, text_sample
 
 DATA = "/root/testdata/sf0.01"
 
@@ -148,3 +148,12 @@ def test_samples_are_bounded_and_distinct(spark):
     found = text_sample(docs, narrow(docs), 10)
     assert len(found) == 20 == len({(r.text, r.label) for r in found})
     assert found == text_sample(docs.repartition(7), narrow(docs), 10)
+
+
+def test_few_rows_besides_the_sample_meet_in_one_task(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3 == 0).cast("int").alias("label"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"))
+    for label, kept in ((0, 1500), (1, 1500)):
+        keys = sorted(r.key for r in rows.where(F.col("label") == label).collect())
+        found = sorted(r.key for r in smallest_keys(rows, kept).where(F.col("label") == label).collect())
+        assert found == keys[: len(found)] and kept <= len(found) < kept + 60
+    assert smallest_keys(rows, 100_000).count() == 60_000
