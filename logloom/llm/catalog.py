@@ -44,7 +44,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learnt from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
-    model = ngram_model.train(docs.where(remainder(7) != 2).select("text"))
+    model = ngram_model.train(docs.where(remainder(7) != 2).select("text"), order=3)
     found = ngram_model.score(docs.select("doc_id", "text"), model).drop("text")
     return found.withColumn("held_out", remainder(7) == 2).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"

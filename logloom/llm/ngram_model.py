@@ -1,11 +1,12 @@
-"""Interpolated modified Kneser-Ney model of word pairs, counted in Spark and mapped into memory for scoring.
+"""Interpolated modified Kneser-Ney model of word pairs or triples, counted in Spark and mapped into memory for scoring.
 
 Tasks count words and pairs in sorted blocks; one task per bucket merges them and writes sorted arrays to the shared folder.
 A word's place in the sorted hashes of the vocabulary is its number, a pair's key is made of two numbers. Pairs are
 dealt to buckets by both words, so that neither a very common first nor a very common second word fills one of them. Workers map
 the arrays and look up the distinct words and pairs of a slice of texts at once, in order.
 
-The model has order 2: pairs interpolated with continuation counts of single words, and these with a uniform share for unknown words.
+Order 2: pairs interpolated with continuation counts of single words, and these with a uniform share for unknown words. Order 3: a
+triple is a pair of the numbers of its two pairs, counted in the same way, interpolated with the continuation counts of pairs.
 """
 
 import uuid
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import hash_arrays, words
 from logloom.llm.hash_arrays import HashSetFiles, map_array, pack_planes, pack_sorted, unpack_planes, unpack_sorted, write_array
@@ -65,6 +66,9 @@ class Model:
     pair_discounts: tuple[float, ...] = (0.5, 1.0, 1.5)
     left_discounts: tuple[float, ...] = (0.5, 1.0, 1.5)
     left_counts: tuple[int, ...] = (0, 0, 0)  # words that follow 1, 2, and 3 or more different words
+    lower: "Model | None" = None  # words of this model are the pairs of the lower one
+    pair_starts: dict[int, int] = field(default_factory=dict)  # number of the first pair of each bucket
+    follow_files: dict[int, str] = field(default_factory=dict)  # contexts of the continuation counts of pairs
     _open: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -93,14 +97,28 @@ class Model:
             count[piece] = np.where(there, arrays[1][at], 0)
         return number[inverse], count[inverse]
 
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of pairs of word numbers; 0 where either is unknown or the pair was not seen."""
+    def sequence(self, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every token, number of the one before it)"""
+        if self.lower is None:
+            number = self.words(tokens)[0]
+        else:
+            second, first = self.lower.sequence(tokens, edges)
+            number = self.lower.pairs(first, second)[1]
+        return number, self.before(number, edges)
+
+    def before(self, number: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        before = np.r_[self.n_words, number[:-1]]
+        before[edges[:-1]] = self.n_words
+        return before
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, number) of pairs of word numbers; 0 and -1 where either is unknown or the pair was not seen."""
         known = np.flatnonzero((first >= 0) & (second >= 0))
         keys, inverse = np.unique(_pair_key(first[known], second[known]), return_inverse=True)
         bucket = self.part(keys >> np.uint64(32)) * np.uint64(self.side) + self.part(keys & np.uint64(0xFFFFFFFF))
         order = np.argsort(bucket, kind="stable")
         edges = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]), len(keys)] if len(keys) else [0]
-        count = np.zeros(len(keys), np.int64)
+        count, place = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
         for a, b in zip(edges[:-1], edges[1:]):
             files = self.pair_files.get(int(bucket[order[a]]))
             if files is None:
@@ -108,10 +126,21 @@ class Model:
             own = order[a:b]
             stored = self._map(files[0], "<u8")
             at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
-            count[own] = np.where(stored[at] == keys[own], self._map(files[1], files[2])[at], 0)
-        out = np.zeros(len(first), np.int64)
-        out[known] = count[inverse]
-        return out
+            there = stored[at] == keys[own]
+            count[own] = np.where(there, self._map(files[1], files[2])[at], 0)
+            place[own] = np.where(there, self.pair_starts.get(int(bucket[order[a]]), 0) + at, -1)
+        out, number = np.zeros(len(first), np.int64), np.full(len(first), -1)
+        out[known], number[known] = count[inverse], place[inverse]
+        return out, number
+
+    def first_words(self, lo: int, hi: int) -> np.ndarray:
+        """First words of the pairs with numbers from ``lo`` to ``hi``."""
+        found = [np.empty(0, np.uint64)]
+        for bucket, start in self.pair_starts.items():
+            if start < hi:
+                keys = map_array(self.folder, self.pair_files[bucket][0], "<u8")
+                found.append(np.asarray(keys[max(0, lo - start) : hi - start]) >> np.uint64(32))
+        return np.concatenate(found)
 
     def _ranged(self, files: dict[int, str], number: np.ndarray, width: int) -> np.ndarray:
         """Rows of dense arrays by word number; zeros for unknown numbers."""
@@ -129,21 +158,45 @@ class Model:
 
     def log10(self, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: (log10 of its probability, count, log10 of its base probability)."""
+        if self.lower is not None:
+            return self._log10_of_triples(tokens, edges)
         number, count = self.words(tokens)
-        before = np.r_[self.n_words, number[:-1]]
-        before[edges[:-1]] = self.n_words
-        base = np.log10((count + 1) / (self.n_tokens + self.n_words + 1))
+        before = self.before(number, edges)
+        single = self._single(number)
+        probability = _interpolated(
+            self.pairs(before, number)[0], self._ranged(self.context_files, before, 4), self.pair_discounts, single
+        )
+        return np.log10(probability), count, self._base(count)
+
+    def _base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1) / (self.n_tokens + self.n_words + 1))
+
+    def _single(self, number: np.ndarray) -> np.ndarray:
+        """Probability of words alone, by their continuation counts."""
         left = self._ranged(self.left_files, number, 1)[:, 0]
         share = 0.0
         if self.n_pairs:
             share = sum(d * n for d, n in zip(self.left_discounts, self.left_counts)) / self.n_pairs
-        single = _less(left, self.left_discounts) / max(1, self.n_pairs) + (share if self.n_pairs else 1.0) / (self.n_words + 1)
-        context = self._ranged(self.context_files, before, 4)
-        total = context[:, 0]
-        rest = context[:, 1:] @ np.array(self.pair_discounts)
-        paired = _less(self.pairs(before, number), self.pair_discounts)
-        probability = np.where(total > 0, (paired + rest * single) / np.maximum(total, 1), single)
-        return np.log10(probability), count, base
+        return _less(left, self.left_discounts) / max(1, self.n_pairs) + (share if self.n_pairs else 1.0) / (self.n_words + 1)
+
+    def _log10_of_triples(self, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = self.lower
+        number, count = low.words(tokens)
+        before = low.before(number, edges)
+        pair = low.pairs(before, number)[1]
+        pair_before = self.before(pair, edges)
+        left = self._ranged(self.left_files, pair, 1)[:, 0]
+        paired = _interpolated(left, low._ranged(self.follow_files, before, 4), self.left_discounts, low._single(number))
+        probability = _interpolated(
+            self.pairs(pair_before, pair)[0], self._ranged(self.context_files, pair_before, 4), self.pair_discounts, paired
+        )
+        return np.log10(probability), count, low._base(count)
+
+
+def _interpolated(count: np.ndarray, context: np.ndarray, d: tuple[float, ...], lower: np.ndarray) -> np.ndarray:
+    """Discounted shares of counts in their contexts (total, and items counted 1, 2 and 3 or more times)."""
+    total, rest = context[:, 0], context[:, 1:] @ np.array(d)
+    return np.where(total > 0, (_less(count, d) + rest * lower) / np.maximum(total, 1), lower)
 
 
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -211,9 +264,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for _, tokens, edges in _token_slices(batch.column(0)):
-                number, _ = model.words(tokens)
-                before = np.r_[model.n_words, number[:-1]]
-                before[edges[:-1]] = model.n_words
+                number, before = model.sequence(tokens, edges)
                 waiting.append(np.unique(_pair_key(before, number), return_counts=True))
                 n += len(waiting[-1][0])
                 if n >= COUNTED_AT_ONCE:
@@ -269,23 +320,69 @@ def _dense(counted: DataFrame, model: Model, kind: str, width: int) -> list:
     return hash_arrays.merge_buckets(blocks, merge, "part int, file string, sizes array<bigint>").collect()
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of all texts of ``docs`` (text); a null text is an empty one. No rows give a model without words."""
-    folder = f"{shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    bits = hash_arrays.bucket_bits(hash_arrays.text_size(docs))
-    model = _vocabulary(docs, folder, bits + bits % 2)
+def _with_pairs(docs: DataFrame, model: Model, contexts: bool = True) -> None:
+    """Count and set the pairs of ``model``, and its contexts if asked for."""
     counted = _count_pairs(docs, model)
     # one row per bucket
     buckets = counted.where("kind = 'pair'").select("part", "keys", "counts", "dtype", "sizes").collect()
+    buckets.sort(key=lambda r: r.part)
     model.pair_files = {r.part: (r.keys, r.counts, r.dtype) for r in buckets}
-    sums = [sum(r.sizes[k] for r in buckets) for k in range(5)]
-    model.pair_discounts, model.n_pairs = discounts(sums[:4]), sums[4]
-    model.context_files = {r.part: r.file for r in _dense(counted, model, "context", 4)}
+    for r in buckets:
+        model.pair_starts[r.part] = model.n_pairs
+        model.n_pairs += r.sizes[4]
+    model.pair_discounts = discounts([sum(r.sizes[k] for r in buckets) for k in range(4)])
+    if contexts:
+        model.context_files = {r.part: r.file for r in _dense(counted, model, "context", 4)}
     lefts = _dense(counted, model, "left", 1)
     model.left_files = {r.part: r.file for r in lefts}
     sums = [sum(r.sizes[k] for r in lefts) for k in range(5)]
     model.left_discounts, model.left_counts = discounts(sums[:4]), (sums[0], sums[1], sums[4])
-    return model
+
+
+def _follow(spark: SparkSession, model: Model) -> None:
+    """Set the contexts (by first word) of the continuation counts of the lower model's pairs."""
+    low = model.lower
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, file in zip(*(c.to_pylist() for c in batch.columns)):
+                left = np.asarray(map_array(model.folder, file, "<u4")).astype(np.uint64)
+                lo = model.part_start(part)
+                left = left[: max(0, low.n_pairs - lo)]  # the start of a text has a number too
+                first = low.first_words(lo, lo + len(left))
+                order = np.argsort(first, kind="stable")
+                first, left = first[order], left[order]
+                at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
+                for own in np.unique(low.part(first[at])) if len(at) else ():
+                    here = low.part(first[at]) == own
+                    sums = [np.add.reduceat(x.astype(np.uint64), at)[here] for x in (left, left == 1, left == 2, left >= 3)]
+                    block = pack_sorted(first[at][here]) + b"".join(map(pack_planes, sums))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(["follow"]), pa.array([int(own)], pa.int32()), pa.array([block], pa.binary())],
+                        names=["kind", "part", "block"],
+                    )
+
+    files = spark.createDataFrame(sorted(model.left_files.items()), "part int, file string")  # one row per bucket
+    blocks = files.repartition(max(1, len(model.left_files)), "part").mapInArrow(run, "kind string, part int, block binary")
+    model.follow_files = {r.part: r.file for r in _dense(blocks, low, "follow", 4)}
+
+
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """The model of order 2 or 3 of all texts of ``docs`` (text); a null text is an empty one. No rows give a model without words."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
+    folder = f"{shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+    bits = hash_arrays.bucket_bits(hash_arrays.text_size(docs))
+    model = _vocabulary(docs, folder, bits + bits % 2)
+    _with_pairs(docs, model, order == 2)
+    if order == 2:
+        return model
+    if model.n_pairs + 1 >= 1 << 32:
+        raise ValueError("more distinct pairs than 32-bit numbers")
+    triples = Model(folder, model.vocabulary, model.starts, model.n_pairs, model.n_tokens, 2 * model.side, lower=model)
+    _with_pairs(docs, triples)
+    _follow(docs.sparkSession, triples)
+    return triples
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -69,6 +69,48 @@ def test_scores_match_the_plain_model(spark, trained):
     assert ngram_model.score(docs.limit(0), model).count() == 0
 
 
+def plain_triples(texts):
+    """Probability of a word after two others, by the definition."""
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for t in texts]
+    triples = collections.Counter(p for t in tokens for p in zip([0, 0, *t], [0, *t], t))
+    pairs = collections.Counter((v, w) for _, v, w in triples)
+    single = collections.Counter(w for _, w in pairs)
+    words = {w for t in tokens for w in t}
+
+    def level(counts, lower):
+        d = ngram_model.discounts([sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)])
+        total, rest = collections.Counter(), collections.Counter()
+        for gram, n in counts.items():
+            total[gram[:-1]] += n
+            rest[gram[:-1]] += d[min(n, 3) - 1]
+
+        def probability(gram):
+            context, n = gram[:-1], counts.get(gram, 0)
+            if not total[context]:
+                return lower(gram[1:])
+            return ((n - d[min(n, 3) - 1] if n else 0) + rest[context] * lower(gram[1:])) / total[context]
+        return probability
+
+    return words, level(triples, level(pairs, level({(w,): n for w, n in single.items()}, lambda _: 1 / (len(words) + 1))))
+
+
+def test_triples_match_the_plain_model(spark):
+    rng = random.Random(5)
+    texts = [*TEXTS, *(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(30))]
+    words, probability = plain_triples(texts)
+    model = ngram_model.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order=3)
+    asked = [*texts, "unseen words", "the unseen cat sat", "a b unseen a b"]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    for r in ngram_model.score(docs, model).collect():
+        t = re.findall(r"[^\x20\x09-\x0D]+", (asked[r.doc_id] or "").translate(LOWER)) + [None]
+        expected = sum(math.log10(probability(g)) for g in zip([0, 0, *t], [0, *t], t))
+        assert math.isclose(r.score, expected, rel_tol=1e-9, abs_tol=1e-9)
+    for context in ((0, 0), ("a", "b"), ("the", "never")):
+        assert math.isclose(sum(probability((*context, w)) for w in [*words, "never"]), 1.0)
+    empty = ngram_model.train(docs.limit(0), order=3)
+    assert ngram_model.score(docs, empty).count() == len(asked)
+
+
 def test_planes_and_sorted_files(spark, tmp_path):
     rng = np.random.default_rng(2)
     for values in (np.empty(0, np.uint64), np.zeros(3, np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)):
