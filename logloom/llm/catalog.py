@@ -5,8 +5,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import collision_search, decontaminate, language, licenses, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
+from logloom.llm import collision_search, decontaminate, language, licenses, merkle, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
 from logloom.llm.samples import remainder
+from logloom.llm.words import ascii_lower
 from logloom.session import shared_folder
 
 
@@ -90,6 +91,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document's place in the manifest, and whether its text of today still has that proof."""
+    docs = _table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in names]
+    leaf = merkle.leaf_digest([F.col(c) for c in names])
+    found = merkle.manifest(
+        docs.select(
+            "doc_id", F.col("source").alias("group"), F.col("doc_id").alias("key"), leaf.alias("leaf"),
+            F.when(remainder(5) == 0, merkle.leaf_digest(tampered)).otherwise(leaf).alias("claimed"),
+        )
+    )
+    root = F.lit(found.root)
+    return merkle.proofs(found).select(
+        "doc_id", "leaf", "subroot", root.alias("root"), merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.fold(F.col("claimed"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == root)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -101,4 +121,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }

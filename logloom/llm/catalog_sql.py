@@ -27,3 +27,64 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id
 """,
 }
+
+# unsigned crc32 of the decimal doc_id, bit by bit
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _tree(name: str, nodes: str, levels: int = 6) -> str:
+    """Levels ``name``0, ``name``1 ... of trees over ``nodes`` (g, i, n, h); a node of a lower level knows its run (w) and place (p)."""
+    parts = [f"{name}0 AS ({nodes})"]
+    for k in range(levels):
+        parts.append(
+            f"{name}{k + 1} AS (SELECT g, i // 16 AS i, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h, "
+            f"list(h ORDER BY i) AS w FROM {name}{k} WHERE n > 1 GROUP BY g, i // 16, n)"
+        )
+    return ",\n".join(parts)
+
+
+def _proof(name: str, levels: int = 6) -> str:
+    """Runs above leaf (g, i) with its place in each, lowest first."""
+    joins = " ".join(
+        f"LEFT JOIN {name}{k} ON {name}{k}.g = {name}0.g AND {name}{k}.i = {name}0.i // {16 ** k}" for k in range(1, levels + 1)
+    )
+    runs = ", ".join(
+        f"CASE WHEN {name}{k}.w IS NOT NULL THEN {{'w': {name}{k}.w, 'p': {name}0.i // {16 ** (k - 1)} % 16 + 1}} END"
+        for k in range(1, levels + 1)
+    )
+    tops = ", ".join(f"CASE WHEN {name}{k}.n = 1 THEN {name}{k}.h END" for k in range(levels, -1, -1))
+    return f"SELECT {name}0.*, list_filter([{runs}], lambda x: x IS NOT NULL) AS runs, coalesce({tops}) AS top FROM {name}0 {joins}"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_CLAIMED = "sha256(" + " || ".join([*(_field(c) for c in ("doc_id", "source", "lang", "n_chars")), _field("lowered")]) + ")"
+_FOLD = """list_reduce(list_prepend({'h': claimed, 'w': NULL::VARCHAR[], 'p': 0::BIGINT},
+    list_transform(list_concat(s.runs, u.runs), lambda x: {'h': NULL::VARCHAR, 'w': x.w, 'p': x.p::BIGINT})),
+    lambda a, x: {'h': sha256(array_to_string(list_transform(x.w, lambda d, j: CASE WHEN j = x.p THEN a.h ELSE d END), '')),
+                  'w': NULL::VARCHAR[], 'p': 0::BIGINT})"""
+
+ORACLE_SQL["op12_merkle_manifest"] = f"""
+WITH lowered AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents
+), leaves AS (
+  SELECT doc_id, source, {_LEAF} AS leaf, CASE WHEN xor({_CRC}, 4294967295) % 5 = 0 THEN {_CLAIMED} ELSE {_LEAF} END AS claimed FROM lowered
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM leaves
+), {_tree("s", "SELECT * FROM placed")},
+source_proof AS ({_proof("s")}),
+subroots AS (SELECT g AS i, any_value(top) AS h FROM source_proof GROUP BY g),
+{_tree("u", "SELECT 0 AS g, i, count(*) OVER () AS n, h FROM subroots")},
+upper_proof AS ({_proof("u")}),
+proven AS (
+  SELECT s.doc_id, s.leaf, s.top AS subroot, u.top AS root, {_FOLD}.h AS folded_root,
+    sha256(array_to_string(flatten(list_transform(list_concat(s.runs, u.runs), lambda x: list_filter(x.w, lambda d, j: j <> x.p))), '')) AS proof_sha256
+  FROM source_proof s JOIN upper_proof u ON u.i = s.g
+)
+SELECT *, folded_root = root AS verified FROM proven
+"""

@@ -5,9 +5,11 @@ hashed at once, so no Python code runs per word. Two different words share a has
 """
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 SLICE_BYTES = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -136,3 +138,9 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * _BASE + words[i : i + n]
     return mix(out + np.uint64(k))
+
+
+def ascii_lower(text: Column) -> Column:
+    """Only A-Z in lower case; texts without other letters take the quicker way."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
