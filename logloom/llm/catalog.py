@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import collision_search, decontaminate, language, licenses, merkle, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
+from logloom.llm import collision_search, cover_tree, decontaminate, language, licenses, merkle, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.llm.words import ascii_lower
 from logloom.session import shared_folder
@@ -110,6 +110,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == root)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector: cosine 0.95 or more."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    found = cover_tree.near_duplicates(vectors, 0.95)
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -122,4 +129,5 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
