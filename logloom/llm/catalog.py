@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import collision_search, cover_tree, decontaminate, language, licenses, merkle, ngram_join, ngram_model, packing, site_tree, token_files, toxicity
+from logloom.llm import collision_search, cover_tree, decontaminate, language, licenses, merkle, ngram_join, ngram_model, packing, site_tree, spelling, token_files, toxicity
 from logloom.llm.samples import remainder
 from logloom.llm.words import ascii_lower
 from logloom.session import shared_folder
@@ -91,6 +91,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents, some with a letter left out, with its form and root."""
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run"))
+    found = found.withColumn("run", ascii_lower(F.col("run")))
+    digest = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    cut = spelling.without_letter(F.col("run"), (F.col("digest") % F.char_length("run")).cast("int"))
+    words = found.withColumn("digest", digest).select(F.when(F.col("digest") % 97 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document's place in the manifest, and whether its text of today still has that proof."""
     docs = _table(spark, sf_dir, "documents")
@@ -128,6 +138,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_spelling_variant_grouping": op11_spelling_variant_grouping,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }

@@ -105,3 +105,36 @@ SELECT vec_id, coalesce(c.n, 0) AS n_links, least(vec_id, coalesce(l.b, vec_id))
   vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
 FROM embeddings LEFT JOIN least_of l ON l.a = vec_id LEFT JOIN counts c ON c.a = vec_id
 """
+
+_RUN_BYTES = """flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x:
+    CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + ord(x)::BIGINT // 64, 128 + ord(x)::BIGINT % 64] END))"""
+_RUN_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_RUN_BYTES}),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLE_SQL["op11_spelling_variant_grouping"] = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+digested AS (SELECT *, {_RUN_CRC} AS h FROM counted),
+cut AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM digested
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+one_way AS (
+  SELECT x.word AS a, y.word AS b FROM shorter x JOIN shorter y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT y.word, w.word FROM shorter y JOIN words w ON w.word = y.rest
+), near AS (SELECT a, b FROM one_way UNION SELECT b, a FROM one_way),
+best AS (
+  SELECT a, count(*) AS n_near, arg_min(struct_pack(word := b, n := w.n), struct_pack(less := -w.n, word := b)) AS top
+  FROM near JOIN words w ON w.word = b GROUP BY a
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 2 * w.n THEN top.word END AS form,
+    CASE WHEN top.n >= 2 * w.n THEN top.n END AS form_n
+  FROM words w LEFT JOIN best ON best.a = w.word
+), followed AS (
+  SELECT word, word AS step, 0 AS steps FROM formed
+  UNION ALL SELECT f.word, g.form, steps + 1 FROM followed f JOIN formed g ON g.word = f.step WHERE g.form IS NOT NULL
+), ends AS (SELECT word, arg_max(step, steps) AS root FROM followed GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
