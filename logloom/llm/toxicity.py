@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Terms are all words of the examples and their first letters, weighted by their document frequencies over all documents and by how
-well they tell the labels of the examples apart. The examples form an inverted index of sparse postings with the largest
+Terms are all words of the examples and their first letters, weighted by their document frequencies over all documents and by whether
+they tell the labels of the examples apart: a term whose labels chance could explain counts with a small fixed share. The examples form an inverted index of sparse postings with the largest
 weight per term and block: a text visits the blocks in the order of their bounds and leaves out those that hold no nearer
-example, so its neighbours by cosine are exact. Their votes, weighted by nearness, are calibrated on the examples themselves,
-each scored without itself.
+example, so its neighbours by cosine are exact. Examples that tie for the last place share its vote, and a text without known terms gets the base rate. The votes, weighted by
+nearness, are calibrated on folds of the examples, each scored by the others with weights that have not seen its labels.
 """
 
 from collections.abc import Iterator
@@ -24,6 +24,10 @@ BLOCK = 64
 CHANCE = 0.05
 LEAST_WEIGHT = 0.05  # of a term that does not tell the labels apart
 VISITED_FIRST = 4  # blocks
+FOLDS = 5
+DEALS = 3
+LEAST_SLOPE = 0.1
+EQUAL = 1e-6  # cosines this near are a tie
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,6 +59,15 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(own)) + np.repeat(start - np.cumsum(size) + size, size), own
 
 
+def _unit_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, term_weight: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of ``n`` texts; the entries are in the order of the texts."""
+    weight = np.log1p(count) * term_weight[term]
+    norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=n))
+    weight = (weight / norm[doc]).astype(np.float32)
+    first = np.searchsorted(doc, np.arange(n + 1))
+    return [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
+
+
 @dataclass
 class Examples:
     terms: np.ndarray  # sorted hashes of all terms of the examples
@@ -104,14 +117,15 @@ class Examples:
             kept, at = _places(self.terms, hashes)
             cell, count = np.unique(owner[kept] * len(self.terms) + at, return_counts=True)
             doc, term = np.divmod(cell, max(1, len(self.terms)))
-            weight = np.log1p(count) * self.weight[term]
-            norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(n_words)))
-            weight = (weight / norm[doc]).astype(np.float32)
-            first = np.searchsorted(doc, np.arange(len(n_words) + 1))
-            yield lo, [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
+            yield lo, _unit_vectors(doc, term, count, self.weight, len(n_words))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples, nearest first; ties go to the earlier place."""
+        """(places, cosines) of the k nearest examples, nearest first; ties are in the order of a hash."""
+        places, cosines = self.with_ties(terms, weights, k)
+        return places[:k], cosines[:k]
+
+    def with_ties(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and all others that tie with the k-th."""
         cells, own = _ranges(self.term_first[terms], self.term_first[terms + 1])
         block, weight = self.cell_block[cells], weights[own]
         bound = np.bincount(block, weights=weight * self.cell_bound[cells], minlength=self.n_blocks)
@@ -124,7 +138,11 @@ class Examples:
         if more.any():
             cosine += self._cosines(cells, weight, more[block])
             held = np.flatnonzero(np.repeat(first | more, BLOCK)[: len(self.ids)])
-        order = held[np.lexsort((held, -cosine[held]))[:k]]
+        if len(held) > k:
+            kth = np.partition(cosine[held], len(held) - k)[len(held) - k]
+            held = held[cosine[held] >= kth - EQUAL]
+            cosine[held] = np.where(cosine[held] <= kth + EQUAL, kth, cosine[held])
+        order = held[np.lexsort((words.mix(self.ids[held].astype(np.uint64)), -cosine[held]))]
         return order, cosine[order]
 
     def _cosines(self, cells: np.ndarray, weight: np.ndarray, visited: np.ndarray) -> np.ndarray:
@@ -133,15 +151,23 @@ class Examples:
         posts, own = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
         return np.bincount(self.post_place[posts], weights=weight[own] * self.post_weight[posts], minlength=len(self.ids)).astype(np.float32)
 
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of the toxic label among neighbours, weighted by nearness and by what each example stands for."""
+    def vote(self, places: np.ndarray, cosines: np.ndarray, k: int) -> float:
+        """Share of the toxic label among the k nearest, weighted by nearness and by what each example stands for.
+
+        Examples that tie for the last places share their votes. Nothing in common with any example gives the base rate.
+        """
         label = self.toxic[places]
         weight = self.class_weight[label] / (1.02 - np.minimum(cosines.astype(np.float64), 1.0))
-        return float((weight * label).sum() / weight.sum()) if len(places) else 0.0
+        if len(places) > k:
+            tied = cosines == cosines[-1]
+            weight[tied] *= (k - (~tied).sum()) / tied.sum()
+        if not len(places) or cosines[0] <= EQUAL:
+            label, weight = self.toxic, self.class_weight[self.toxic]
+        return float((weight * label).sum() / weight.sum()) if len(label) else 0.0
 
     def score(self, vote: float) -> float:
         slope, shift = self.curve
-        return float(1 / (1 + np.exp(-(slope * np.log((vote + 0.01) / (1.01 - vote)) + shift))))
+        return float(1 / (1 + np.exp(-np.clip(slope * np.log((vote + 0.01) / (1.01 - vote)) + shift, -30, 30))))
 
 
 def example_terms(rows: list) -> np.ndarray:
@@ -181,53 +207,77 @@ def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np
     """
     if not rows:
         return None
-    column = pa.array([r.text for r in rows], pa.string())
-    label = np.array([r.label for r in rows])
-    n, n_toxic = len(rows), label.sum()
-    texts, toxic_texts = np.zeros(len(terms)), np.zeros(len(terms))
-    for lo, owner, hashes, _ in _terms(column):
-        doc, term = np.divmod(np.unique(owner * len(terms) + np.searchsorted(terms, hashes)), max(1, len(terms)))
-        texts += np.bincount(term, minlength=len(terms))
-        toxic_texts += np.bincount(term, weights=label[doc + lo], minlength=len(terms))
+    label, n = np.array([r.label for r in rows]), len(rows)
+    parts = []
+    for lo, owner, hashes, _ in _terms(pa.array([r.text for r in rows], pa.string())):
+        cell, count = np.unique((owner + lo) * len(terms) + np.searchsorted(terms, hashes), return_counts=True)
+        parts.append((*np.divmod(cell, max(1, len(terms))), count))
+    doc, term, count = (np.concatenate(x) for x in zip(*parts))
+    idf = 1 + np.log((1 + n_docs) / (1 + frequency))
+    class_weight = np.array([class_rows.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)])
+    ids = np.array([r.doc_id if r.doc_id is not None else -1 for r in rows])
+
+    def indexed(some: np.ndarray) -> tuple[Examples, list]:
+        """An index over some of the rows, whose labels alone weight the terms, and the vectors of all rows."""
+        weight = idf * _told_apart(doc, term, label, some, len(terms))
+        vectors = _unit_vectors(doc, term, count, weight, n)
+        # similar examples side by side make tight blocks
+        order = sorted(
+            np.flatnonzero(some).tolist(),
+            key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, len(vectors[i][0]), i),
+        )
+        model = Examples(terms, weight, ids[order], label[order], class_weight, *[np.empty(0)] * 6, (1.0, 0.0))
+        model.index([vectors[i] for i in order])
+        return model, vectors
+
+    model, _ = indexed(np.ones(n, bool))
+    votes, owner = [], []
+    for deal in range(DEALS):  # few examples stand near the border, so each is scored in several deals
+        fold = np.random.default_rng(deal).permutation(n) % FOLDS
+        for f in range(FOLDS):
+            if (fold == f).any() and (fold != f).any():
+                part, vectors = indexed(fold != f)
+                for i in np.flatnonzero(fold == f):
+                    votes.append(part.vote(*part.with_ties(*vectors[i], NEIGHBOURS), NEIGHBOURS))
+                    owner.append(i)
+    votes, owner = np.array(votes), label[np.array(owner, np.int64)]
+    model.curve = _calibrate(np.log((votes + 0.01) / (1.01 - votes)), owner, class_weight[owner])
+    return model
+
+
+def _told_apart(doc: np.ndarray, term: np.ndarray, label: np.ndarray, some: np.ndarray, n_terms: int) -> np.ndarray:
+    """1 for each term whose labels among some of the rows chance would hardly bring about in any term, LEAST_WEIGHT for all others.
+
+    This selects features, with a floor that keeps all terms in; it does not grade them, so words that stand in a few more rows of one label
+    by chance do not draw texts towards it.
+    """
+    inside = some[doc]
+    n, n_toxic = some.sum(), label[some].sum()
+    texts = np.bincount(term[inside], minlength=n_terms)
+    toxic_texts = np.bincount(term[inside], weights=label[doc[inside]], minlength=n_terms)
     # chi-squared of term and label
     expected = texts * n_toxic / n
     spread = texts * (1 - texts / n) * (n_toxic / n) * (1 - n_toxic / n) * n / max(1, n - 1)
     strength = np.where(spread > 0, (toxic_texts - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    # a term has its full weight if chance would hardly bring its strength about in any of the terms
-    full = 2 * np.log(max(2, len(terms)) / CHANCE)
-    idf = 1 + np.log((1 + n_docs) / (1 + frequency))
-    weight = np.array([class_rows.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)])
-    empty = np.empty(0)
-    model = Examples(
-        terms, idf * np.clip(strength / full, LEAST_WEIGHT, 1), empty, empty, weight, *[empty] * 6, (1.0, 0.0)
-    )
-    vectors = [v for _, part in model.vectors(column) for v in part]
-    # similar examples side by side make tight blocks
-    order = sorted(range(n), key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, len(vectors[i][0]), i))
-    model.ids = np.array([rows[i].doc_id if rows[i].doc_id is not None else -1 for i in order])
-    model.toxic = label[order]
-    model.index([vectors[i] for i in order])
-    votes = []
-    for place, i in enumerate(order):
-        places, cosines = model.nearest(*vectors[i], NEIGHBOURS + 1)
-        other = places != place
-        votes.append(model.vote(places[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]))
-    votes = np.array(votes)
-    model.curve = _calibrate(np.log((votes + 0.01) / (1.01 - votes)), model.toxic, weight[model.toxic])
-    return model
+    return np.where(strength >= 2 * np.log(max(2, n_terms) / CHANCE), 1.0, LEAST_WEIGHT)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression with a small pull towards the votes themselves (slope 1, shift 0)."""
     theta = np.array([1.0, 0.0])
+    if not len(x):
+        return 1.0, 0.0
     design = np.stack([x, np.ones_like(x)], axis=1)
     w = w / max(w.mean(), 1e-9)
-    for _ in range(30):
+    free = np.array([True, True])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         slope = design.T @ (w * (y - p)) - (theta - [1.0, 0.0])
         curve = (design * (w * p * (1 - p))[:, None]).T @ design + np.eye(2)
-        theta = theta + np.linalg.solve(curve, slope)
-    return max(0.1, float(theta[0])), float(theta[1])
+        theta[free] += np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+        if theta[0] < LEAST_SLOPE:  # votes that say nothing: only the shift is left to fit
+            theta[0], free[0] = LEAST_SLOPE, False
+    return float(theta[0]), float(theta[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Examples | None:
@@ -252,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (names behind ``prefix``), the doc_ids of the nearest examples, nearest first.
 
-    A null text is an empty one and is scored too. Without examples the score is 0. Columns of these names are replaced,
+    A null text is an empty one; it gets the base rate, as all texts without known terms. Ties for the last place share its vote. Without examples the score is 0. Columns of these names are replaced,
     all others are kept; repeated rows and nulls elsewhere change nothing.
     """
     added = [f"{prefix}{name}" for name in ("score", "predicted", "evidence")]
@@ -267,9 +317,9 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix
             score, evidence = [0.0] * batch.num_rows, [[]] * batch.num_rows
             for lo, vectors in index.vectors(batch.column(text_at)) if index else ():
                 for i, (terms, weights) in enumerate(vectors):
-                    places, cosines = index.nearest(terms, weights, k)
-                    score[lo + i] = index.score(index.vote(places, cosines))
-                    evidence[lo + i] = index.ids[places]
+                    places, cosines = index.with_ties(terms, weights, k)
+                    score[lo + i] = index.score(index.vote(places, cosines, k))
+                    evidence[lo + i] = index.ids[places[:k]]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()),
                  pa.array(evidence, pa.list_(pa.int64()))],

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from logloom.llm import language, toxicity
 from logloom.llm.samples import narrow, remainder, smallest_keys, text_sample
@@ -157,3 +157,18 @@ def test_few_rows_besides_the_sample_meet_in_one_task(spark):
         found = sorted(r.key for r in smallest_keys(rows, kept).where(F.col("label") == label).collect())
         assert found == keys[: len(found)] and kept <= len(found) < kept + 60
     assert smallest_keys(rows, 100_000).count() == 60_000
+
+
+@pytest.mark.parametrize("share", [30, 50, 70])
+def test_equal_evidence_gives_the_base_rate(share):
+    """Labels that no word tells apart: texts with the shared words, unknown words or none score about the share of toxic rows."""
+    rows = [Row(doc_id=i, text=f"same words here today x{i}", label=int(i % 10 < share // 10)) for i in range(400)]
+    terms = toxicity.example_terms(rows)
+    model = toxicity.fit(rows, {0: 1000 * (100 - share), 1: 1000 * share}, terms, np.full(len(terms), 5), 1000)
+    asked = ["same words here", "", "never heard", None]
+    scores = []
+    for _, vectors in model.vectors(pa.array(asked)):
+        for terms_of, weights in vectors:
+            places, cosines = model.with_ties(terms_of, weights, toxicity.NEIGHBOURS)
+            scores.append(model.score(model.vote(places, cosines, toxicity.NEIGHBOURS)))
+    assert scores == pytest.approx([share / 100] * 4, abs=0.08)

@@ -96,21 +96,27 @@ def test_stages_on_an_empty_table(spark, planted, tmp_path):
         assert stage(spark, docs, folder).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op11_spelling_variant_grouping"}))
 def test_registered_query(spark, name):
+    """Every row of the table, or every query, is in the result; words of op11 are compared with SQL."""
     rows = QUERIES[name](spark, DATA).collect()
-    table, key = {"op5_nearest_neighbours": ("embeddings", "query_id"), "op10_html_extraction": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+    places = {
+        "op5_nearest_neighbours": ("embeddings", "query_id"), "op10_html_extraction": ("pages", "page_id"),
+        "op13_embedding_near_dedup": ("embeddings", "vec_id"),
+    }
+    table, key = places.get(name, ("documents", "doc_id"))
     ids = {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").collect()}
     found = {r[key] for r in rows}
-    assert found == ({i for i in ids if i % 20 == 0} if table == "embeddings" else ids)
+    assert found == ({i for i in ids if i % 20 == 0} if key == "query_id" else ids)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_registered_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     rows = QUERIES[name](spark, DATA).select(*columns).collect()
-    assert sorted(map(tuple, rows)) == sorted(found.fetchall())
+    assert sorted(map(tuple, rows), key=repr) == sorted(found.fetchall(), key=repr)
     con.close()
