@@ -204,6 +204,22 @@ def v_topk_labelled(spark, d):
     )
 
 
+def v_topk_lines(spark, d):
+    """The five order lines most like the mean line of each part, over the cells of a pivot tree."""
+    lines = table(configure(spark), d, "lineitem").select(
+        "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("vec_id"),
+        F.array(
+            (F.col("l_quantity") - 25.5) / 15, (F.col("l_extendedprice") - 50000) / 30000,
+            (F.col("l_discount") - 0.05) / 0.03, (F.col("l_tax") - 0.04) / 0.03,
+        ).alias("vec"),
+    )
+    parts = em.mean_pool(lines, "l_partkey", "vec").select(F.col("l_partkey").alias("query_id"), F.col("mean_vector").alias("query_vec"))
+    hits = knn.knn_join(parts, lines.select("vec_id", "vec"), 5)
+    return hits.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "vec_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance")
+    )
+
+
 def v_mean_pool(spark, d):
     means = em.mean_pool(table(spark, d, "embeddings"), "label", "embedding")
     return means.select("label", "n_vectors", F.posexplode("mean_vector").alias("pos", "x")).select(
@@ -572,7 +588,7 @@ QUERIES = {
     for f in (
         t_verdict, t_verdict_documents, t_summary_block, t_failed_list, t_per_test, t_records,
         s_failed_regex, s_json_extract, s_chunks, s_truncate, s_blank_guard, s_ticket_ids,
-        v_normalize, v_topk, v_topk_labelled, v_mean_pool, v_embed_index, v_retrieve,
+        v_normalize, v_topk, v_topk_labelled, v_topk_lines, v_mean_pool, v_embed_index, v_retrieve,
         k_templates, k_templates_pages, k_values, k_merge, k_context, k_enrich, k_review, k_augment,
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
         r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,

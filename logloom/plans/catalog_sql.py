@@ -360,6 +360,17 @@ ORACLE_SQL = {
       SELECT query_id, label::BIGINT AS label, count(*) AS votes,
         row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS r
       FROM hits JOIN embeddings e ON e.vec_id = hits.vec_id GROUP BY query_id, label) WHERE r = 1""",
+    "v_topk_lines": """WITH lines AS (
+        SELECT l_partkey, l_orderkey * 8 + l_linenumber AS vec_id, (l_quantity - 25.5) / 15 AS a, (l_extendedprice - 50000) / 30000 AS b,
+          (l_discount - 0.05) / 0.03 AS c, (l_tax - 0.04) / 0.03 AS d FROM lineitem
+      ), unit AS (SELECT vec_id, a / n AS a, b / n AS b, c / n AS c, d / n AS d FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM lines) WHERE n > 0),
+      means AS (SELECT l_partkey AS query_id, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d FROM lines GROUP BY l_partkey),
+      asked AS (SELECT query_id, a / n AS a, b / n AS b, c / n AS c, d / n AS d FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM means) WHERE n > 0),
+      best AS (
+        SELECT query_id, arg_min(u.vec_id, (round(greatest(0, 1 - (q.a * u.a + q.b * u.b + q.c * u.c + q.d * u.d)), 9), u.vec_id), 5) AS ids,
+          min((round(greatest(0, 1 - (q.a * u.a + q.b * u.b + q.c * u.c + q.d * u.d)), 9), u.vec_id), 5) AS near
+        FROM asked q, unit u GROUP BY query_id)
+      SELECT query_id, r AS rank, ids[r] AS vec_id, round(near[r][1], 6) + 0.0::DOUBLE AS distance FROM best, unnest(range(1, 6)) x(r)""",
     "v_mean_pool": """SELECT label::BIGINT AS label, count(*) AS n_vectors, u.i AS pos,
       round(avg(embedding[u.i + 1]::DOUBLE), 6) + 0.0::DOUBLE AS x
       FROM embeddings, unnest(range(len(embedding))) u(i) GROUP BY label, u.i""",

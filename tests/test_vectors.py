@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def clustered(rng, n, start=0):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_rows": 20, "query_rows": 11, "max_pivots": 9}, {"block_rows": 50, "max_pivots": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 20, "query_rows": 11, "max_pivots": 9}, {"block_rows": 50, "max_pivots": 2}, {"block_rows": 50, "cell_rows": 3}])
 def test_knn_is_exact_with_copies_and_zero_vectors(spark, sizes):
     rng = random.Random(5)
     queries, vectors = clustered(rng, 60, 1000), clustered(rng, 240)
@@ -55,6 +56,34 @@ def test_knn_is_exact_with_copies_and_zero_vectors(spark, sizes):
     assert got == brute(queries, vectors, 4)
 
 
+@pytest.mark.parametrize("width", [2, 4, 24])
+def test_knn_over_many_cells_is_exact(spark, width):
+    rng = random.Random(width)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(width)]) for i in range(3000)]
+    q, v = frames(spark, [(i, x) for i, x in rows[::40]], rows)
+    got = {(r.query_id, r.vec_id, r["rank"]) for r in knn.knn_join(q, v, 5, block_rows=400, query_rows=20, cell_rows=4).collect()}
+    assert got == brute([(i, x) for i, x in rows[::40]], rows, 5)
+
+
+def test_work_of_a_query_does_not_grow_with_the_table(spark):
+    """Vectors looked at for each query, in tables of 4,000 and 64,000 rows."""
+    rng = np.random.default_rng(3)
+    looked = []
+    for n in (4_000, 64_000):
+        x = rng.standard_normal((n, 4)).astype(np.float32)
+        vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "vec": list(x)}))
+        tree = knn.pivot_tree(vectors, n // knn.CELL_ROWS)
+        knn.placed_vectors(vectors, tree)
+        assert len(tree.cells) == n // knn.CELL_ROWS and tree.count.sum() == n
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        q = unit[:200]
+        kth = np.sort(1 - q @ unit.T, axis=1)[:, 4]
+        home = sum(tree.count[c].sum() for c in tree.home_cells(q, 5))
+        opened = sum(tree.count[cells].sum() for _, cells in tree.open_cells(q, kth))
+        looked.append((home + opened) / len(q))
+    assert looked[1] < 1.5 * looked[0] and looked[1] < 1000
+
+
 def test_knn_with_fewer_vectors_than_k_and_with_none(spark):
     q, v = frames(spark, [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])])
     assert knn.knn_join(q, v, 5).count() == 2
