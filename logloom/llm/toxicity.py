@@ -61,9 +61,9 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _unit_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, term_weight: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(terms, weights) of ``n`` texts; the entries are in the order of the texts."""
-    weight = np.log1p(count) * term_weight[term]
-    norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=n))
-    weight = (weight / norm[doc]).astype(np.float32)
+    weight = (np.log1p(count, dtype=np.float32) * term_weight.astype(np.float32)[term]).astype(np.float32)
+    norm = np.sqrt(np.bincount(doc, weights=weight * weight, minlength=n)).astype(np.float32)
+    weight /= norm[doc]
     first = np.searchsorted(doc, np.arange(n + 1))
     return [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
 
@@ -99,10 +99,11 @@ class Examples:
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings of the examples' vectors, in their order."""
-        place = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         term, weight = (np.concatenate(x) for x in zip(*vectors))
-        order = np.lexsort((place, term))
+        order = np.argsort(term, kind="stable").astype(np.int32)  # places ascend already
         place, term, weight = place[order], term[order], weight[order]
+        del order
         block = place // BLOCK
         new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.empty(0, bool)
         first = np.flatnonzero(new)
@@ -211,8 +212,9 @@ def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np
     parts = []
     for lo, owner, hashes, _ in _terms(pa.array([r.text for r in rows], pa.string())):
         cell, count = np.unique((owner + lo) * len(terms) + np.searchsorted(terms, hashes), return_counts=True)
-        parts.append((*np.divmod(cell, max(1, len(terms))), count))
+        parts.append([x.astype(np.int32) for x in (*np.divmod(cell, max(1, len(terms))), count)])
     doc, term, count = (np.concatenate(x) for x in zip(*parts))
+    del parts
     idf = 1 + np.log((1 + n_docs) / (1 + frequency))
     class_weight = np.array([class_rows.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)])
     ids = np.array([r.doc_id if r.doc_id is not None else -1 for r in rows])
@@ -240,6 +242,7 @@ def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np
                 for i in np.flatnonzero(fold == f):
                     votes.append(part.vote(*part.with_ties(*vectors[i], NEIGHBOURS), NEIGHBOURS))
                     owner.append(i)
+                del part, vectors  # one index at a time
     votes, owner = np.array(votes), label[np.array(owner, np.int64)]
     model.curve = _calibrate(np.log((votes + 0.01) / (1.01 - votes)), owner, class_weight[owner])
     return model
