@@ -6,6 +6,7 @@ from logloom import schemas
 from logloom.functions import text as tx
 from logloom.operators.ordered import neighbours
 from logloom.operators.skew import salted_lookup
+from logloom.session import cut_lineage
 
 # Applied in this order; a later mask sees the placeholders of the earlier ones.
 MASKS = [
@@ -153,6 +154,101 @@ def merge_wildcards(templates: DataFrame, max_distinct: int = 3) -> DataFrame:
     )
 
 
+SIMILARITY = 0.6  # share of positions with one token from which lines are one template
+SUPPORT = 5  # lines that must share a token for a group of their own
+FREE_TEXT = 50  # unlike lines of one shape that are taken for free text
+ROUNDS = 4
+
+
+def _by_position(parts: DataFrame) -> DataFrame:
+    """(part, pos, token, n): members of a part with a token at a position; tokens by their hash."""
+    hashed = F.transform("tokens", lambda x: F.xxhash64(x))
+    return parts.select("part", F.posexplode(hashed).alias("pos", "token")).groupBy("part", "pos", "token").agg(F.count("*").alias("n"))
+
+
+def partition_members(
+    templates: DataFrame, similarity: float = SIMILARITY, support: int = SUPPORT, rounds: int = ROUNDS
+) -> DataFrame:
+    """(template, tokens, part): templates dealt to parts of like structure by iterative position partitioning.
+
+    Parts start as templates with equally many tokens. A part in which fewer than ``similarity`` of the positions have only
+    one token is split at the position with the fewest different tokens, among those where some token stands in ``support``
+    members; members with rarer tokens there stay together. All steps are counts per part, so order does not matter, and a part may be of any size.
+    """
+    tokens = F.split(F.btrim("template"), r"\s+")
+    state = templates.select("template", tokens.alias("tokens")).withColumn("part", F.xxhash64(F.size("tokens")))
+    state = cut_lineage(state.withColumn("open", F.lit(True)))
+    for _ in range(rounds):
+        counts = cut_lineage(_by_position(state.where("open")))
+        positions = counts.groupBy("part", "pos").agg(F.count("*").alias("different"), F.max("n").alias("top"))
+        usable = (F.col("different") > 1) & (F.col("top") >= support)
+        chosen = cut_lineage(
+            positions.groupBy("part")
+            .agg(
+                F.avg((F.col("different") == 1).cast("int")).alias("alike"),
+                F.min(F.when(usable, F.struct("different", "pos"))).alias("at"),
+            )
+            .where((F.col("alike") < similarity) & F.col("at").isNotNull())
+            .select("part", F.col("at.pos").alias("pos"))
+        )
+        if chosen.isEmpty():
+            break
+        frequent = counts.where(F.col("n") >= support).join(chosen, ["part", "pos"]).select("part", "token", F.col("token").alias("branch"))
+        split = state.where("open").join(chosen, "part").withColumn("token", F.xxhash64(F.get("tokens", F.col("pos"))))
+        split = split.join(frequent, ["part", "token"], "left").select(
+            "template", "tokens", F.xxhash64("part", "pos", F.coalesce(F.col("branch").cast("string"), F.lit("rest"))).alias("part"), F.lit(True).alias("open")
+        )
+        closed = state.join(chosen.select("part"), "part", "left_anti").select("template", "tokens", "part", F.lit(False).alias("open"))
+        state = cut_lineage(split.unionByName(closed))
+    return state.select("template", "tokens", "part")
+
+
+def similar_templates(
+    templates: DataFrame, similarity: float = SIMILARITY, support: int = SUPPORT, free_text: int = FREE_TEXT, rounds: int = ROUNDS
+) -> DataFrame:
+    """(template, merged, kind) for each distinct template: the wider template it belongs to.
+
+    ``similar``: its part is alike in at least ``similarity`` of the positions, the others become ``<*>``; neighbouring ``<*>`` are one.
+    ``free text``: its part is not alike but has at least ``free_text`` members, which are taken together likewise.
+    ``single``: neither, and the template stays as it is.
+    """
+    members = partition_members(templates.select("template"), similarity, support, rounds)
+    same = (F.col("different") == 1).alias("same")
+    parts = (
+        _by_position(members).groupBy("part", "pos").agg(F.count("*").alias("different"), F.sum("n").alias("members"))
+        .groupBy("part")
+        .agg(
+            F.max("members").alias("members"), F.avg((F.col("different") == 1).cast("int")).alias("alike"),
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", same))), lambda x: x["same"]).alias("same"),  # one entry per token of a line
+        )
+    )
+    kind = (
+        F.when(F.col("members") == 1, "single").when(F.col("alike") >= similarity, "similar")
+        .when(F.col("members") >= free_text, "free text").otherwise("single")
+    )
+    wide = F.zip_with("tokens", "same", lambda token, same: F.when(same, token).otherwise(F.lit("<*>")))
+    joined = members.join(parts, "part").select("template", wide.alias("wide"), kind.alias("kind"))
+    first = F.filter("wide", lambda x, i: (x != "<*>") | (i == 0) | (F.get("wide", i - 1) != "<*>"))
+    merged = F.when(F.col("kind") == "single", F.col("template")).otherwise(F.array_join(first, " "))
+    return joined.select("template", merged.alias("merged"), "kind")
+
+
+def merge_similar(templates: DataFrame, members: DataFrame) -> DataFrame:
+    """Templates merged by (template, merged, kind): counts add up, the first occurrence of all members stays."""
+    return (
+        templates.join(members, "template")
+        .groupBy("merged")
+        .agg(
+            F.min("kind").alias("kind"), F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_templates"),
+            F.min(F.struct("first_run", "first_line")).alias("first"),
+        )
+        .select(
+            template_id(F.col("merged")).alias("template_id"), F.col("merged").alias("template"), "kind", "n_lines", "n_templates",
+            F.col("first.first_run").alias("first_run"), F.col("first.first_line").alias("first_line"),
+        )
+    )
+
+
 def with_context(
     templates: DataFrame, lines: DataFrame, before: int = 2, after: int = 2, masks: Masks = MASKS
 ) -> DataFrame:

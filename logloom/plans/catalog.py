@@ -274,6 +274,24 @@ def k_merge(spark, d):
     return tp.merge_wildcards(cut_lineage(tp.extract_templates(_lines(spark, d))))
 
 
+def _document_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document as it stands."""
+    lines = F.posexplode(tx.lines_of(F.col("text"))).alias("line_no", "line")
+    docs = table(configure(spark), d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("run_id"), lines)
+    return docs.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def k_templates_documents(spark, d):
+    """Templates of free text: masked lines of like structure are one template, and so are many unlike lines of one shape."""
+    templates = cut_lineage(tp.extract_templates(_document_lines(spark, d)))
+    return tp.merge_similar(templates, tp.similar_templates(templates, free_text=5))
+
+
+def k_templates_similar(spark, d):
+    templates = cut_lineage(tp.extract_templates(_lines(spark, d)))
+    return tp.merge_similar(templates, tp.similar_templates(templates))
+
+
 def k_context(spark, d):
     lines = _stored_lines(spark, d)
     found = tp.with_context(cut_lineage(tp.extract_templates(lines)), lines)
@@ -589,7 +607,7 @@ QUERIES = {
         t_verdict, t_verdict_documents, t_summary_block, t_failed_list, t_per_test, t_records,
         s_failed_regex, s_json_extract, s_chunks, s_truncate, s_blank_guard, s_ticket_ids,
         v_normalize, v_topk, v_topk_labelled, v_topk_lines, v_mean_pool, v_embed_index, v_retrieve,
-        k_templates, k_templates_pages, k_values, k_merge, k_context, k_enrich, k_review, k_augment,
+        k_templates, k_templates_pages, k_templates_documents, k_templates_similar, k_values, k_merge, k_context, k_enrich, k_review, k_augment,
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
         r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,
         p_triage, p_triage_tips, p_triage_errors,

@@ -201,6 +201,52 @@ templates AS (
     (min({{'r': run_id, 'l': line_no}})).r AS first_run, (min({{'r': run_id, 'l': line_no}})).l AS first_line
   FROM masked GROUP BY template)
 """
+
+
+def _similar(free_text: int, similarity: float = 0.6, support: int = 5, rounds: int = 4) -> str:
+    """Rows ``likened`` (template, merged, kind) of the templates, by position partitioning."""
+    steps = [r"p0 AS (SELECT template, regexp_split_to_array(trim(template), '\s+') AS t, '' AS part, true AS open FROM templates)"]
+    steps.append("q0 AS (SELECT template, t, len(t)::VARCHAR AS part, open FROM p0)")
+    for i in range(rounds):
+        steps.append(
+            f"c{i} AS (SELECT part, pos, t[pos] AS tok, count(*) AS n FROM q{i}, unnest(range(1, len(t) + 1)) u(pos) WHERE open GROUP BY ALL)"
+        )
+        steps.append(
+            f"h{i} AS (SELECT part, (min(CASE WHEN d > 1 AND top >= {support} THEN {{'d': d, 'pos': pos}} END)).pos AS pos FROM "
+            f"(SELECT part, pos, count(*) AS d, max(n) AS top FROM c{i} GROUP BY ALL) GROUP BY part "
+            f"HAVING avg((d = 1)::INT) < {similarity} AND count(CASE WHEN d > 1 AND top >= {support} THEN 1 END) > 0)"
+        )
+        steps.append(
+            f"q{i + 1} AS (SELECT q.template, q.t, q.open AND h.part IS NOT NULL AS open, CASE WHEN h.part IS NULL THEN q.part "
+            f"ELSE q.part || '/' || h.pos || '=' || coalesce('t' || c.tok, '') END AS part FROM q{i} q LEFT JOIN h{i} h ON h.part = q.part AND q.open "
+            f"LEFT JOIN c{i} c ON c.part = q.part AND c.pos = h.pos AND c.tok = q.t[h.pos] AND c.n >= {support})"
+        )
+    steps.append(
+        f"parts AS (SELECT part, max(m) AS m, avg((d = 1)::INT) AS alike, list(d = 1 ORDER BY pos) AS same FROM "
+        f"(SELECT part, pos, count(DISTINCT t[pos]) AS d, count(*) AS m FROM q{rounds}, unnest(range(1, len(t) + 1)) u(pos) GROUP BY ALL) GROUP BY part)"
+    )
+    steps.append(
+        f"wide AS (SELECT template, list_transform(t, lambda x, i: CASE WHEN same[i] THEN x ELSE '<*>' END) AS w, CASE WHEN m = 1 THEN 'single' "
+        f"WHEN alike >= {similarity} THEN 'similar' WHEN m >= {free_text} THEN 'free text' ELSE 'single' END AS kind "
+        f"FROM q{rounds} JOIN parts USING (part))"
+    )
+    steps.append(
+        "likened AS (SELECT template, kind, CASE WHEN kind = 'single' THEN template ELSE array_to_string("
+        "list_filter(w, lambda x, i: x <> '<*>' OR i = 1 OR w[i - 1] <> '<*>'), ' ') END AS merged FROM wide)"
+    )
+    steps.append(
+        "merged AS (SELECT md5(merged) AS template_id, merged AS template, min(kind) AS kind, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_templates, "
+        "(min({'r': first_run, 'l': first_line})).r AS first_run, (min({'r': first_run, 'l': first_line})).l AS first_line "
+        "FROM templates JOIN likened USING (template) GROUP BY merged)"
+    )
+    return ",\n".join(steps)
+
+
+DOCUMENT_LINES = r"""
+lines AS (
+  SELECT 'doc_' || doc_id AS run_id, i - 1 AS line_no, l[i] AS line
+  FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents), unnest(range(1, len(l) + 1)) u(i))
+"""
 LABELLED = f"""
 labelled AS (
   SELECT template, {_rules("template", SEVERITY_RULES, "INFO")} AS severity,
@@ -389,6 +435,8 @@ ORACLE_SQL = {
         TEMPLATES,
     )
     + "SELECT * FROM templates",
+    "k_templates_documents": _with(DOCUMENT_LINES, TEMPLATES, _similar(5)) + "SELECT * FROM merged",
+    "k_templates_similar": _with(EVENT_LINES, TEMPLATES, _similar(50)) + "SELECT * FROM merged",
     "k_values": _with(EVENT_LINES)
     + ", " + ", ".join(
         ["s0 AS (SELECT line AS l0, * FROM lines WHERE regexp_matches(line, '\\S'))"]

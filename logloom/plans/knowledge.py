@@ -8,11 +8,13 @@ from logloom.session import cut_lineage
 
 
 def pending_templates(
-    lines: DataFrame, sme: DataFrame, guidance: tp.Masks = (), before: int = 2, after: int = 2
+    lines: DataFrame, sme: DataFrame, guidance: tp.Masks = (), before: int = 2, after: int = 2, free_text: int = tp.FREE_TEXT
 ) -> DataFrame:
-    """Job A: extract templates from lines, add values and context, enrich."""
+    """Job A: extract templates from lines, merge those of like structure, add values and context, enrich."""
     masks = [*guidance, *tp.MASKS]
     extracted = cut_lineage(tp.extract_templates(lines, tp.MASKS, guidance))
+    members = tp.similar_templates(extracted, free_text=free_text)
+    extracted = cut_lineage(tp.merge_similar(extracted, members))
     found = tp.with_context(extracted, lines, before, after, masks)
     enriched = en.enrich(found.select("template", "values", "context"), sme)
     return enriched.withColumn("template_id", tp.template_id(F.col("template")))

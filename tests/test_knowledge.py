@@ -189,3 +189,32 @@ def test_all_expert_rows_of_a_key_stay(spark):
     )
     assert sorted(r.summary for r in en.enrich(templates, sme).collect()) == ["one", "two"]
     assert sorted(r.template for r in en.enrich(templates.limit(0), sme).collect()) == ["x <M>", "x <N>"]
+
+
+def test_position_partitioning(spark):
+    """Groups of one shape become templates, unlike lines stay, masses of unlike lines of one shape are free text."""
+    words = [f"w{i}" for i in range(60)]
+    alike = [f"disk {w} of node n{i % 3} is full" for i, w in enumerate(words)]
+    moved = [f"task {w} moved to node n{i % 30} now" for i, w in enumerate(words)]
+    prose = [f"{a} {b} {c}" for a, b, c in zip(words, words[7:] + words[:7], words[13:] + words[:13])]
+    few = ["one of a kind", "none like this one here at all"]
+    df = lines(spark, [*alike, *moved, *prose, *few, few[0]])
+    templates = tp.extract_templates(df.repartition(5))
+    merged = tp.merge_similar(templates, tp.similar_templates(templates)).collect()
+    assert {(r.template, r.kind, r.n_lines, r.n_templates) for r in merged} == {
+        ("disk <*> of node <*> is full", "similar", 60, 60), ("task <*> moved to node <*> now", "similar", 60, 60),
+        ("<*>", "free text", 60, 60), (few[0], "single", 2, 1), (few[1], "single", 1, 1),
+    }
+    strict = tp.similar_templates(templates, similarity=0.9, free_text=1000)
+    assert {r.kind for r in strict.collect()} == {"single"}
+    first = {r.template: (r.first_run, r.first_line) for r in merged}
+    assert first["<*>"] == ("r1", 120) and first[few[0]] == ("r1", 180)
+    assert tp.similar_templates(templates.limit(0)).count() == 0
+
+
+def test_job_a_merges_templates_of_like_structure(spark):
+    df = lines(spark, [f"start worker{c} on host now" for c in "abcdefgh"] + LOG)
+    pending = {r.template: r for r in knowledge.pending_templates(df, spark.createDataFrame([], schemas.SME)).collect()}
+    merged = pending["start <*> on host now"]
+    assert merged.context.match == "start workera on host now" and merged.context.after == ["start workerb on host now", "start workerc on host now"]
+    assert "user <STR> logged in from <IP> at <TS>" in pending and len(pending) == 4
