@@ -242,7 +242,7 @@ def _similar(free_text: int, similarity: float = 0.6, support: int = 5, rounds:
     return ",\n".join(steps)
 
 
-DOCUMENT_LINES = r"""
+TEXT_LINES = r"""
 lines AS (
   SELECT 'doc_' || doc_id AS run_id, i - 1 AS line_no, l[i] AS line
   FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents), unnest(range(1, len(l) + 1)) u(i))
@@ -435,7 +435,7 @@ ORACLE_SQL = {
         TEMPLATES,
     )
     + "SELECT * FROM templates",
-    "k_templates_documents": _with(DOCUMENT_LINES, TEMPLATES, _similar(5)) + "SELECT * FROM merged",
+    "k_templates_documents": _with(TEXT_LINES, TEMPLATES, _similar(5)) + "SELECT * FROM merged",
     "k_templates_similar": _with(EVENT_LINES, TEMPLATES, _similar(50)) + "SELECT * FROM merged",
     "k_values": _with(EVENT_LINES)
     + ", " + ", ".join(
