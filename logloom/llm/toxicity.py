@@ -2,7 +2,7 @@
 
 Terms are all words of the examples and their first letters, weighted by their document frequencies over all documents and by whether
 they tell the labels of the examples apart: a term whose labels chance could explain counts with a small fixed share. The examples form an inverted index of sparse postings with the largest
-weight per term and block: a text visits the blocks in the order of their bounds and leaves out those that hold no nearer
+weight per term and block, and of whole rows for the terms that most examples share: a text visits the blocks in the order of their bounds and leaves out those that hold no nearer
 example, so its neighbours by cosine are exact. Examples that tie for the last place share its vote, and a text without known terms gets the base rate. The votes, weighted by
 nearness, are calibrated on folds of the examples, each scored by the others with weights that have not seen its labels.
 """
@@ -28,6 +28,9 @@ FOLDS = 5
 DEALS = 3
 LEAST_SLOPE = 0.1
 EQUAL = 1e-6  # cosines this near are a tie
+LONG_LIST = 16  # a term that stands in more than one of so many examples is frequent
+ROWS = 4096  # most frequent terms held as rows; the others keep lists, whatever their length
+TEXTS = 64  # scored together
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,6 +85,9 @@ class Examples:
     cell_block: np.ndarray
     cell_bound: np.ndarray
     term_first: np.ndarray  # first cell per term and one more
+    # postings of frequent terms are whole rows, place by place; these terms have no cells
+    row: np.ndarray  # per term, -1 for all others
+    rows: np.ndarray
     curve: tuple[float, float]
 
     @property
@@ -95,6 +101,9 @@ class Examples:
         cell = np.repeat(np.arange(len(self.cell_block)), np.diff(self.cell_first))
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.term_first))
         dense[self.post_place // BLOCK, term[cell], self.post_place % BLOCK] = self.post_weight
+        place = np.arange(len(self.ids))
+        frequent = np.flatnonzero(self.row >= 0)
+        dense[place[None, :] // BLOCK, frequent[:, None], place[None, :] % BLOCK] = self.rows[self.row[frequent]]
         return dense
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -104,6 +113,15 @@ class Examples:
         order = np.argsort(term, kind="stable").astype(np.int32)  # places ascend already
         place, term, weight = place[order], term[order], weight[order]
         del order
+        held = np.bincount(term, minlength=len(self.terms))
+        frequent = np.argsort(-held, kind="stable")[:ROWS]
+        frequent = frequent[held[frequent] * LONG_LIST >= max(1, len(vectors))]
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(vectors)), np.float32)
+        long = self.row[term] >= 0
+        self.rows[self.row[term[long]], place[long]] = weight[long]
+        place, term, weight = place[~long], term[~long], weight[~long]
         block = place // BLOCK
         new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.empty(0, bool)
         first = np.flatnonzero(new)
@@ -120,22 +138,37 @@ class Examples:
             doc, term = np.divmod(cell, max(1, len(self.terms)))
             yield lo, _unit_vectors(doc, term, count, self.weight, len(n_words))
 
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms of some texts add to the cosine with every example."""
+        row = [self.row[t] for t, _ in vectors]
+        own = np.repeat(np.arange(len(vectors)), [len(r) for r in row])
+        row, weight = np.concatenate(row), np.concatenate([w for _, w in vectors])
+        held = row >= 0
+        queries = np.zeros((len(vectors), len(self.rows)), np.float32)
+        queries[own[held], row[held]] = weight[held]
+        return queries @ self.rows
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first; ties are in the order of a hash."""
         places, cosines = self.with_ties(terms, weights, k)
         return places[:k], cosines[:k]
 
-    def with_ties(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and all others that tie with the k-th."""
+    def with_ties(self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and all others that tie with the k-th; ``known`` is the text's row of ``frequent``."""
+        cosine = (self.frequent([(terms, weights)])[0] if known is None else known).astype(np.float32)
+        if not len(cosine):
+            return np.empty(0, np.int64), cosine
         cells, own = _ranges(self.term_first[terms], self.term_first[terms + 1])
         block, weight = self.cell_block[cells], weights[own]
-        bound = np.bincount(block, weights=weight * self.cell_bound[cells], minlength=self.n_blocks)
+        # a block's best frequent part and the largest weights of its other terms bound its cosines
+        bound = np.maximum.reduceat(cosine, np.arange(0, len(cosine), BLOCK))
+        bound = bound + np.bincount(block, weights=weight * self.cell_bound[cells], minlength=self.n_blocks)
         first = np.zeros(self.n_blocks, bool)
         first[np.argsort(-bound, kind="stable")[: VISITED_FIRST + k // BLOCK]] = True
-        cosine = self._cosines(cells, weight, first[block])
+        cosine += self._cosines(cells, weight, first[block])
         held = np.flatnonzero(np.repeat(first, BLOCK)[: len(self.ids)])
         least = np.partition(cosine[held], len(held) - k)[len(held) - k] if len(held) >= k else -1.0
-        more = ~first & (bound + 1e-6 >= least)
+        more = ~first & (bound + EQUAL >= least)
         if more.any():
             cosine += self._cosines(cells, weight, more[block])
             held = np.flatnonzero(np.repeat(first | more, BLOCK)[: len(self.ids)])
@@ -146,6 +179,14 @@ class Examples:
         order = held[np.lexsort((words.mix(self.ids[held].astype(np.uint64)), -cosine[held]))]
         return order, cosine[order]
 
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[float, np.ndarray]]:
+        """(vote, places of the nearest and their ties) of each text."""
+        for lo in range(0, len(vectors), TEXTS):
+            some = vectors[lo : lo + TEXTS]
+            for (terms, weights), known in zip(some, self.frequent(some)):
+                places, cosines = self.with_ties(terms, weights, k, known)
+                yield self.vote(places, cosines, k), places
+
     def _cosines(self, cells: np.ndarray, weight: np.ndarray, visited: np.ndarray) -> np.ndarray:
         """Sums of products over the visited cells, per place."""
         cells, weight = cells[visited], weight[visited]
@@ -228,7 +269,7 @@ def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np
             np.flatnonzero(some).tolist(),
             key=lambda i: (label[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, len(vectors[i][0]), i),
         )
-        model = Examples(terms, weight, ids[order], label[order], class_weight, *[np.empty(0)] * 6, (1.0, 0.0))
+        model = Examples(terms, weight, ids[order], label[order], class_weight, *[np.empty(0)] * 8, (1.0, 0.0))
         model.index([vectors[i] for i in order])
         return model, vectors
 
@@ -239,9 +280,9 @@ def fit(rows: list, class_rows: dict[int, int], terms: np.ndarray, frequency: np
         for f in range(FOLDS):
             if (fold == f).any() and (fold != f).any():
                 part, vectors = indexed(fold != f)
-                for i in np.flatnonzero(fold == f):
-                    votes.append(part.vote(*part.with_ties(*vectors[i], NEIGHBOURS), NEIGHBOURS))
-                    owner.append(i)
+                inside = np.flatnonzero(fold == f)
+                votes += [vote for vote, _ in part.votes([vectors[i] for i in inside], NEIGHBOURS)]
+                owner += inside.tolist()
                 del part, vectors  # one index at a time
     votes, owner = np.array(votes), label[np.array(owner, np.int64)]
     model.curve = _calibrate(np.log((votes + 0.01) / (1.01 - votes)), owner, class_weight[owner])
@@ -319,9 +360,8 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix
         for batch in batches:
             score, evidence = [0.0] * batch.num_rows, [[]] * batch.num_rows
             for lo, vectors in index.vectors(batch.column(text_at)) if index else ():
-                for i, (terms, weights) in enumerate(vectors):
-                    places, cosines = index.with_ties(terms, weights, k)
-                    score[lo + i] = index.score(index.vote(places, cosines, k))
+                for i, (vote, places) in enumerate(index.votes(vectors, k)):
+                    score[lo + i] = index.score(vote)
                     evidence[lo + i] = index.ids[places[:k]]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()),
