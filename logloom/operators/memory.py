@@ -109,7 +109,7 @@ def assemble_context(runs: DataFrame, hits: DataFrame, tips: DataFrame, failures
     """
     shown = F.coalesce("resolution", "summary", F.lit("N/A"))
     hit_text = F.concat(
-        F.lit("Past Issue: "), F.col("document"), F.lit("\nResolution/Analysis: "), shown, F.lit("\n\n")
+        F.lit("Past Issue: "), F.coalesce("document", F.lit("")), F.lit("\nResolution/Analysis: "), shown, F.lit("\n\n")
     )
     semantic = hits.groupBy("run_id").agg(_in_order("rank", hit_text).alias("semantic"))
     tip_text = F.concat(F.lit("Tip for "), F.col("test_name"), F.lit(": "), F.col("analysis"), F.lit("\n"))
@@ -140,15 +140,17 @@ def outcome_records(
     """Index records of finished runs (run_id, log_content, test_status, failure_report, summary_report).
 
     Runs without a report are not committed. An ``embedding`` column that the runs already
-    carry, from looking up their history, is used again.
+    carry, from looking up their history, is used again. Logs too long for a row have no log_content, but a ``log_head`` and a
+    ``log_digest``; their records have no document.
     """
     report = tx.chosen_report(F.col("failure_report"), F.col("summary_report"))
     log = F.col("log_content")
+    head, content = (F.coalesce(log, F.col(c)) if c in runs.columns else log for c in ("log_head", "log_digest"))
     have = "embedding" in runs.columns
     records = runs.withColumn("report", report).where("report IS NOT NULL").select(
         "run_id",
-        tx.record_id(F.lit(collection), F.lit("outcome"), F.col("run_id"), log).alias("id"),
-        tx.prefix(log, tx.TEMPLATE_PREFIX).alias("template"),
+        tx.record_id(F.lit(collection), F.lit("outcome"), F.col("run_id"), content).alias("id"),
+        tx.prefix(head, tx.TEMPLATE_PREFIX).alias("template"),
         tx.severity_of_status(F.col("test_status")).alias("severity"),
         tx.prefix(F.col("report"), tx.SUMMARY_PREFIX).alias("summary"),
         tx.prefix(F.col("report"), tx.CAUSALITY_PREFIX).alias("causality"),

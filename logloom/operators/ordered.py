@@ -67,6 +67,23 @@ def latest_marker(
     )
 
 
+def running_total(
+    df: DataFrame, run: str, line_no: str, size: Column, out: str, slice_lines: int = SLICE_LINES
+) -> DataFrame:
+    """Add the sum of ``size`` over the earlier lines of the run."""
+    df = df.withColumn("_slice", F.floor(F.col(line_no) / slice_lines)).withColumn("_size", size)
+    inside = Window.partitionBy(run, "_slice").orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(run).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        df.groupBy(run, "_slice").agg(F.sum("_size").alias("_n"))
+        .select(run, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    )
+    here = F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    return df.withColumn("_here", here).join(starts, [run, "_slice"]).withColumn(out, F.col("_start") + F.col("_here")).drop(
+        "_slice", "_size", "_here", "_start"
+    )
+
+
 def neighbours(
     spots: DataFrame, lines: DataFrame, before: int, after: int, run: str = "run_id"
 ) -> DataFrame:

@@ -223,13 +223,14 @@ def verdict_records(facts: DataFrame, outcomes: DataFrame | None = None) -> Data
     return verdict(facts, outcomes).join(lists, "run_id", "left")
 
 
-def failed_with_fallback(records: DataFrame) -> DataFrame:
+def failed_with_fallback(records: DataFrame, found: Column | None = None) -> DataFrame:
     """Add ``failed_list``: the recorded list, else FAIL entries of the map, else the
-    names found by pattern in the whole log, else []."""
+    names found by pattern in the whole log (``found``, if that was done before), else []."""
     from_map = F.map_keys(
         F.map_filter("per_test", lambda _, status: F.upper(status).contains("FAIL"))
     )
-    found = tx.failed_testcases(F.col("log_content"))
+    if found is None:
+        found = tx.failed_testcases(F.col("log_content"))
     return records.withColumn(
         "failed_list",
         F.coalesce(

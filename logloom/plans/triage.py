@@ -5,9 +5,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.functions import text as tx
-from logloom.operators import memory as mem, reports as rp, verdict as vd
-from logloom.operators.embed import EmbedderFactory, embed_texts
+from logloom.operators import long_logs as ll, memory as mem, reports as rp, verdict as vd
+from logloom.operators.embed import EmbedderFactory, embed_chunks, embed_texts
 from logloom.operators.knn import knn_join, with_records
+from logloom.operators.ordered import SLICE_LINES
 from logloom.operators.skew import salted_lookup
 from logloom.session import cut_lineage
 
@@ -58,9 +59,47 @@ def triage_logs(
     appends ``tips`` and ``outcomes`` afterwards. Each log is embedded once, for both uses.
     """
     blank = tx.is_blank(F.col("log_content"))
-    rejected = logs.where(blank).select("run_id")
     kept = cut_lineage(embed_texts(logs.where(~blank), "log_content", make_embedder, dim, spread_by="run_id"))
-    lines = vd.explode_logs(kept)
+    return _triage(kept, vd.explode_logs(kept), logs.where(blank).select("run_id"), history, tips, collection, updated_at)
+
+
+def triage_lines(
+    lines: DataFrame,
+    history: DataFrame,
+    tips: DataFrame,
+    make_embedder: EmbedderFactory,
+    dim: int,
+    collection: str = "log_templates",
+    updated_at=None,
+    document_chars: int = ll.DOCUMENT_CHARS,
+    slice_lines: int = SLICE_LINES,
+) -> Triage:
+    """Triage logs that come as lines (run_id, line_no, line), whatever their length; line numbers are dense and start at 0.
+
+    The same rows as ``triage_logs`` gives for the lines joined by newlines. Only logs of more than ``document_chars`` characters differ: their
+    outcome has no document and an id from the lines' hashes.
+    """
+    lines = cut_lineage(lines.select("run_id", "line_no", "line"))
+    sizes = cut_lineage(ll.log_sizes(lines))
+    rejected = sizes.where("n_filled = 0").select("run_id")
+    filled = sizes.where("n_filled > 0")
+    taken = lines.join(rejected, "run_id", "left_anti")
+    chunks = cut_lineage(ll.log_chunks(taken, filled, slice_lines=slice_lines))
+    vectors = embed_chunks(chunks, "run_id", make_embedder, dim)
+    heads = chunks.where("chunk_no = 0").select("run_id", F.col("chunk").alias("log_head"))
+    kept = cut_lineage(
+        filled.select("run_id", F.col("digest").cast("string").alias("log_digest"))
+        .join(ll.documents(taken, filled, document_chars), "run_id", "left")
+        .join(heads, "run_id", "left").join(vectors, "run_id", "left")
+    )
+    return _triage(kept, taken, rejected, history, tips, collection, updated_at, slice_lines)
+
+
+def _triage(
+    kept: DataFrame, lines: DataFrame, rejected: DataFrame, history: DataFrame, tips: DataFrame, collection: str, updated_at,
+    slice_lines: int | None = None,
+) -> Triage:
+    """Triage embedded logs ``kept`` and their lines; with ``slice_lines`` names are looked for in the lines, not in the whole texts."""
     facts = cut_lineage(vd.scan_lines(lines))
     outcomes = vd.per_test(vd.tests_of(facts))
     verdicts = cut_lineage(vd.verdict(facts, outcomes))
@@ -82,7 +121,13 @@ def triage_logs(
         .join(failure, "run_id", "left")
         .withColumn("per_test", F.lit(None).cast("map<string,string>"))
     )
-    runs = cut_lineage(vd.failed_with_fallback(runs).drop("per_test"))
+    if slice_lines is None:
+        runs = vd.failed_with_fallback(runs)
+    else:  # only runs without a list need the pattern
+        open_runs = lines.join(failures.select("run_id"), "run_id", "left_anti")
+        runs = runs.join(ll.failed_names(open_runs, slice_lines), "run_id", "left")
+        runs = vd.failed_with_fallback(runs, F.col("found")).drop("found")
+    runs = cut_lineage(runs.drop("per_test"))
     stamp = updated_at if updated_at is not None else F.localtimestamp()
     reported = runs.select(
         "run_id", "test_status",

@@ -140,3 +140,33 @@ def test_wrong_vector_width_is_an_error_row(spark):
     df = spark.createDataFrame([("a",)], "text string")
     row = em.embed_texts(df, "text", lambda: lambda chunks: [[1.0] for _ in chunks], 3).first()
     assert row.embedding == [0.0] * 3 and "expected 3" in row.embed_error
+
+
+def test_embedding_calls_are_bounded_and_fail_alone(spark, tmp_path):
+    """Long texts take several calls, short ones share them; a call is repeated, and a text that always fails does not harm its neighbours."""
+    log = str(tmp_path / "calls")
+
+    def make():
+        tries = {}
+
+        def embed(chunks):
+            with open(log, "a") as f:
+                f.write(f"{len(chunks)}\n")
+            key = tuple(chunks)
+            tries[key] = tries.get(key, 0) + 1
+            if any("bad" in c for c in chunks) or ("once" in chunks[0] and tries[key] == 1):
+                raise RuntimeError("refused")
+            return [[float(len(c)), float(c.count("x"))] for c in chunks]
+
+        return embed
+
+    texts = ["x" * 9_500, "short", "bad " * 300, "", None, "once", "tail x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    found = em.embed_texts(df, "text", make, 2, normalize=False, calls=em.Calls(4, 2, 0.0)).orderBy("i").collect()
+    assert [r.n_chunks for r in found] == [14, 1, 2, 0, 0, 1, 1]
+    assert [bool(r.embed_error) for r in found] == [False, False, True, False, False, False, False]
+    for r, text in zip(found, texts):
+        chunks = [text[i : i + 800] for i in range(0, len(text), 700)] if text and "bad" not in text else []
+        mean = np.mean([[len(c), c.count("x")] for c in chunks], axis=0) if chunks else [0, 0]
+        assert r.embedding == pytest.approx(list(mean))
+    assert max(int(n) for n in open(log)) == 4
