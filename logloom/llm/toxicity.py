@@ -7,12 +7,14 @@ example, so its neighbours by cosine are exact. Examples that tie for the last p
 nearness, are calibrated on folds of the examples, each scored by the others with weights that have not seen its labels.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import words
 from logloom.llm.samples import narrow, remainder, text_sample
@@ -71,6 +73,12 @@ def _unit_vectors(doc: np.ndarray, term: np.ndarray, count: np.ndarray, term_wei
     return [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
+class Example(NamedTuple):
+    doc_id: int | None
+    text: str
+    label: int
+
+
 @dataclass
 class Examples:
     terms: np.ndarray  # sorted hashes of all terms of the examples
@@ -214,8 +222,10 @@ class Examples:
 
 def example_terms(rows: list) -> np.ndarray:
     """Sorted hashes of all terms of rows (doc_id, text, label)."""
-    found = [np.unique(h) for _, _, h, _ in _terms(pa.array([r.text for r in rows], pa.string()))]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    found = np.empty(0, np.uint64)
+    for _, _, hashes, _ in _terms(pa.array([r.text for r in rows], pa.string())):
+        found = np.union1d(found, hashes)
+    return found
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -340,7 +350,21 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     if not rows:
         return None
     terms = example_terms(rows)
-    return fit(rows, class_rows, terms, *document_frequencies(docs, terms))
+    return _fitted(docs.sparkSession, rows, class_rows, terms, *document_frequencies(docs, terms))
+
+
+def _fitted(spark: SparkSession, rows: list, *about) -> Examples | None:
+    """``fit`` in a task, so that the driver holds no more than the sample and the model."""
+    sample = spark.createDataFrame([(i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], "place int, doc_id bigint, text string, label int")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        columns = (table[c].to_pylist() for c in ("doc_id", "text", "label"))
+        model = fit([Example(*values) for values in zip(*columns)], *about)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # one group: at most PER_LABEL bounded texts of each label
+    return pickle.loads(sample.groupBy(F.lit(0)).applyInArrow(run, "model binary").first()[0])
 
 
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
