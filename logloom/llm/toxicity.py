@@ -355,7 +355,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
 
 def _fitted(spark: SparkSession, rows: list, *about) -> Examples | None:
     """``fit`` in a task, so that the driver holds no more than the sample and the model."""
-    sample = spark.createDataFrame([(i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], "place int, doc_id bigint, text string, label int")
+    columns = "part int, place int, doc_id bigint, text string, label int"
+    sample = spark.createDataFrame([(0, i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], columns)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
@@ -364,7 +365,7 @@ def _fitted(spark: SparkSession, rows: list, *about) -> Examples | None:
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # one group: at most PER_LABEL bounded texts of each label
-    return pickle.loads(sample.groupBy(F.lit(0)).applyInArrow(run, "model binary").first()[0])
+    return pickle.loads(sample.groupBy("part").applyInArrow(run, "model binary").first()[0])
 
 
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
