@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions import text as tx
 from logloom.operators.embed import EmbedderFactory, embed_texts
+from logloom.operators.latest import as_of, latest_per_key
 from logloom.operators.ordered import number_lines
 from logloom.operators.skew import salted_lookup
 
@@ -36,16 +37,6 @@ def new_tips(runs: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last written row of each key; partial maxima run before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
-    return (
-        rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
-        .select(*keys, "_row.*")
-    )
-
-
 def latest_tips(tips: DataFrame) -> DataFrame:
     return latest_per_key(tips, ["namespace", "key"], ["updated_at", "run_id"])
 
@@ -55,6 +46,11 @@ def latest_runs(history: DataFrame) -> DataFrame:
     return latest_per_key(history, ["thread_id"], ["ts", "run_id"])
 
 
+def runs_as_of(history: DataFrame, times: DataFrame) -> DataFrame:
+    """The state in which each thread stood at a time: ``times`` is (thread_id, at)."""
+    return as_of(history, ["thread_id"], ["ts", "run_id"], times)
+
+
 def tips_for_failures(failures: DataFrame, tips: DataFrame) -> DataFrame:
     """(run_id, test_name, first_line, analysis); tests without a tip are left out.
 
