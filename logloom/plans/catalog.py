@@ -17,7 +17,8 @@ from logloom.operators import (
     templates as tp,
     verdict as vd,
 )
-from logloom.plans.triage import HISTORY_HITS, history_hits, triage_logs
+from logloom.plans.knowledge import index_reviewed, pending_templates
+from logloom.plans.triage import HISTORY_HITS, history_hits, triage_lines, triage_logs
 from logloom.session import configure, cut_lineage
 from logloom.sources.run_logs import document_logs, event_lines, event_log_lines, table
 
@@ -593,6 +594,43 @@ def p_triage_errors(spark, d):
     return _triaged(spark, d).error_details.select("run_id", "test_name", "message", "n", "first_line", "example")
 
 
+def _shown_records(records: DataFrame) -> DataFrame:
+    """Index records with a digest of their vector: the sum of its places, each weighted by its number."""
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return records.select(
+        "id", "template", "severity", "summary", "causality", F.length("document").cast("long").alias("n_chars"), "collection", "record_kind",
+        (F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 3) + F.lit(0.0)).alias("places"),
+    )
+
+
+def p_triage_lines(spark, d):
+    """Outcomes of the triage of all document logs by lines, with the benchmark items as past issues and the event runs' tips."""
+    lines = vd.explode_logs(_logs(spark, d).drop("doc_id"))
+    tips, _ = _event_tips(spark, d)
+    done = triage_lines(lines, _past_issues(spark, d), cut_lineage(tips), em.hashing_embedder(DIM), DIM)
+    return _shown_records(done.outcomes)
+
+
+def p_knowledge(spark, d):
+    """Both knowledge jobs over the event lines: templates, expert rows, review, variants, vector records."""
+    pending = cut_lineage(pending_templates(_stored_lines(spark, d), _sme(spark, d)))
+    return _shown_records(index_reviewed(pending, _decisions(pending), em.hashing_embedder(DIM), DIM))
+
+
+def m_run_history(spark, d):
+    """The state in which every thread (a user's runs) stood at the end of each of its days, with or without a run."""
+    runs = event_lines(table(configure(spark), d, "events")).groupBy("run_id").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))
+    facts = _facts(_lines(spark, d))
+    history = runs.join(vd.verdict(facts), "run_id").select(
+        F.substring_index("run_id", "_", 2).alias("thread_id"), "run_id", "ts", "test_status"
+    )
+    history = cut_lineage(history)
+    spans = history.groupBy("thread_id").agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).alias("days"))
+    days = spans.select("thread_id", F.explode("days").alias("day"))
+    times = days.select("thread_id", (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("at"))
+    return mem.runs_as_of(history, times).select("thread_id", F.date_sub(F.to_date("at"), 1).alias("day"), "run_id", "test_status")
+
+
 def r_error_details(spark, d):
     facts = _facts(_lines(spark, d))
     outcomes = _outcomes(facts)
@@ -610,6 +648,6 @@ QUERIES = {
         k_templates, k_templates_pages, k_templates_documents, k_templates_similar, k_values, k_merge, k_context, k_enrich, k_review, k_augment,
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
         r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,
-        p_triage, p_triage_tips, p_triage_errors,
+        p_triage, p_triage_tips, p_triage_errors, p_triage_lines, p_knowledge, m_run_history,
     )
 }

@@ -583,3 +583,58 @@ ORACLE_SQL |= {
       UNION ALL SELECT 'global_tips', 'last_success', run_id, summary_report FROM runs WHERE test_status = 'passed'""",
     "p_triage_errors": _with(*_DOCUMENT_REPORTS) + _ERRORS,
 }
+
+
+_PLACES = "round(list_sum(list_transform(v, lambda x, i: x::DOUBLE * i)), 3) + 0.0::DOUBLE AS places"
+
+
+def _p_triage_lines() -> str:
+    return (
+        _with(
+            *_DOCUMENT_REPORTS, f"ctx AS ({_m_context()})", _embedding("emb", "SELECT run_id AS id, log_content AS text FROM logs"),
+            """finished AS (SELECT run_id, test_status, log_content, coalesce(failure_report
+              || CASE WHEN coalesce(historical_context, '') <> '' THEN chr(10) || 'History:' || chr(10) || historical_context ELSE '' END, summary_report) AS report
+            FROM runs JOIN logs USING (run_id) LEFT JOIN ctx USING (run_id))""",
+        )
+        + f"""SELECT sha256('log_templates' || chr(1) || 'outcome' || chr(1) || run_id || chr(1) || log_content) AS id,
+          substring(log_content, 1, 500) AS template, CASE WHEN test_status = 'failed' THEN 'high' ELSE 'low' END AS severity,
+          substring(report, 1, 200) AS summary, substring(report, 1, 500) AS causality, length(log_content) AS n_chars,
+          'log_templates' AS collection, 'outcome' AS record_kind, {_PLACES}
+        FROM finished JOIN emb ON emb.id = run_id"""
+    )
+
+
+def _p_knowledge() -> str:
+    """The names of the inner steps repeat outside with what review has left of them."""
+    merged = f"templates AS ({_with(TEMPLATES, _similar(50))} SELECT template, first_run, first_line FROM merged)"
+    reviewed = f"""labelled AS ({_with(LABELLED, ENRICHED)}, hashed AS (SELECT *, {HASH32.format("template")} % 5 AS h FROM pending)
+      SELECT template, CASE WHEN h = 2 THEN 'CRITICAL' ELSE severity END AS severity, CASE WHEN h = 2 THEN 'Auth' ELSE causality END AS causality,
+        summary, source FROM hashed WHERE h <> 1)"""
+    return (
+        _with(
+            EVENT_LINES, merged, reviewed, VARIANTS,
+            """records AS (
+              SELECT template, severity, causality, summary, source, 0 AS variant_no FROM labelled
+              UNION ALL SELECT template, severity, causality, summary, 'AI Augmented', variant_no FROM variants)""",
+            _embedding("emb", "SELECT DISTINCT template AS id, template AS text FROM records"),
+        )
+        + f"""SELECT sha256('log_templates' || chr(1) || 'template' || chr(1) || template || chr(1) || source || chr(1) || variant_no) AS id, template, severity,
+          summary, causality, length(template) AS n_chars, 'log_templates' AS collection, 'template' AS record_kind, {_PLACES}
+        FROM records JOIN emb ON emb.id = template"""
+    )
+
+
+ORACLE_SQL |= {
+    "p_triage_lines": _p_triage_lines(),
+    "p_knowledge": _p_knowledge(),
+    "m_run_history": _with(
+        EVENT_LINES, *VERDICT_PARTS,
+        """history AS (
+          SELECT 'run_' || user_id AS thread_id, v.run_id, max(ts) AS ts, any_value(test_status) AS test_status
+          FROM events e JOIN verdicts v ON v.run_id = 'run_' || e.user_id || '_' || strftime(e.ts, '%Y%m%d') GROUP BY ALL)""",
+        """days AS (
+          SELECT thread_id, unnest(range(min(ts)::DATE, max(ts)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM history GROUP BY thread_id)""",
+    )
+    + """SELECT d.thread_id, day, arg_max(run_id, {'ts': ts, 'run': run_id}) AS run_id, arg_max(test_status, {'ts': ts, 'run': run_id}) AS test_status
+      FROM days d JOIN history h ON h.thread_id = d.thread_id AND h.ts <= d.day + INTERVAL 1 DAY GROUP BY d.thread_id, day""",
+}
