@@ -110,6 +110,55 @@ def template_values(lines: DataFrame, masks: Masks = MASKS, guidance: Masks = ()
     )
 
 
+DISTINCT_BITS = 12  # of the distinct sketch: its relative standard error is about 1.04 / 2 ** (bits / 2)
+DISTINCT_BOUND = 0.07  # more than four standard errors
+TRACKED = 512  # items a heavy-hitter sketch tracks
+HITTERS = 10
+
+
+def value_sketches(lines: DataFrame, masks: Masks = MASKS, guidance: Masks = ()) -> DataFrame:
+    """(template, variable, n, distinct_sketch, top_sketch): what ``template_values`` counts, in sketches of fixed size.
+
+    Sketches combine before the shuffle and may be merged, also with those of other days' lines.
+    """
+    masked = with_variables(lines.where(~tx.is_blank(F.col("line"))).select("line"), masks=[*guidance, *masks])
+    return masked.select("template", F.inline("variables")).groupBy("template", "variable").agg(
+        F.count("*").alias("n"),
+        F.hll_sketch_agg("value", DISTINCT_BITS).alias("distinct_sketch"),
+        F.expr(f"approx_top_k_accumulate(value, {TRACKED})").alias("top_sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, members: DataFrame) -> DataFrame:
+    """Sketches of the wider templates: ``members`` is (template, merged)."""
+    return (
+        sketches.join(members.select("template", "merged"), "template")
+        .groupBy(F.col("merged").alias("template"), "variable")
+        .agg(
+            F.sum("n").alias("n"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+            F.expr(f"approx_top_k_combine(top_sketch, {TRACKED})").alias("top_sketch"),
+        )
+    )
+
+
+def value_sets(sketches: DataFrame, hitters: int = HITTERS) -> DataFrame:
+    """(template, variable, n, n_distinct, top): estimates from sketches.
+
+    ``n_distinct`` is within DISTINCT_BOUND of the truth, exact for a few values; ``top`` has the most frequent values with counts that are off by at most
+    3.5 * n / TRACKED.
+    """
+    return sketches.select(
+        "template", "variable", "n", F.hll_sketch_estimate("distinct_sketch").alias("n_distinct"),
+        F.expr(f"transform(approx_top_k_estimate(top_sketch, {hitters}), x -> struct(x.item AS value, x.count AS n))").alias("top"),
+    )
+
+
+def merge_values(values: DataFrame, members: DataFrame) -> DataFrame:
+    """Exact value rows (template, variable, value, n) of the wider templates."""
+    joined = values.join(members.select("template", "merged"), "template")
+    return joined.groupBy(F.col("merged").alias("template"), "variable", "value").agg(F.sum("n").alias("n"))
+
+
 def merge_wildcards(templates: DataFrame, max_distinct: int = 3) -> DataFrame:
     """Merge templates that share token count and first token, position by position.
 

@@ -6,6 +6,7 @@ from logloom import schemas
 from logloom.functions import json_text as js, text as tx, vectors as vec
 from logloom.operators import (
     augment as ag,
+    clusters as cl,
     embed as em,
     enrich as en,
     infer as inf,
@@ -15,6 +16,7 @@ from logloom.operators import (
     review as rv,
     stage_log as sl,
     templates as tp,
+    trends as tr,
     verdict as vd,
 )
 from logloom.plans.knowledge import index_reviewed, pending_templates
@@ -617,6 +619,60 @@ def p_knowledge(spark, d):
     return _shown_records(index_reviewed(pending, _decisions(pending), em.hashing_embedder(DIM), DIM))
 
 
+def k_value_sets(spark, d):
+    """Exact number of values and lines of every variable in the event lines, and whether the sketches agree within their bounds."""
+    lines = event_lines(table(configure(spark), d, "events"))
+    values = cut_lineage(tp.template_values(lines))
+    exact = values.groupBy("template", "variable").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_values"))
+    sets = cut_lineage(tp.value_sets(tp.value_sketches(lines)))
+    listed = sets.select("template", "variable", F.inline("top")).withColumnRenamed("n", "guess").join(values, ["template", "variable", "value"])
+    off = listed.groupBy("template", "variable").agg(F.max(F.abs(F.col("guess") - F.col("n"))).alias("off"))
+    close = F.abs(F.col("n_distinct") - F.col("n_values")) <= F.greatest(F.lit(1.0), tp.DISTINCT_BOUND * F.col("n_values"))
+    return exact.join(sets.drop("top"), ["template", "variable"]).join(off, ["template", "variable"]).select(
+        "template", "variable", F.col("n_all").alias("n"), "n_values", (F.col("n") == F.col("n_all")).alias("all_counted"),
+        close.alias("distinct_agrees"), (F.col("off") <= F.col("n_all") * 3.5 / tp.TRACKED).alias("top_agrees"),
+    )
+
+
+def k_codes(spark, d):
+    """Variants of the event templates that report codes from a table: one for each kind of event."""
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    codes = kinds.select(
+        F.explode(F.array(*[F.concat(F.lit(c), F.upper("event_type")) for c in ("E-", "W-")])).alias("code"),
+        F.concat(F.lit("Test "), "event_type").alias("phrase"),
+    )
+    templates = cut_lineage(tp.extract_templates(_lines(spark, d)))
+    severity, causality, summary = en.labels(F.col("template"))
+    labelled = templates.select("template", severity.alias("severity"), causality.alias("causality"), summary.alias("summary"))
+    known = labelled.join(ag.match_codes(labelled, codes), "template", "left")
+    return ag.variants(known).select("template", F.col("variant_no").cast("long").alias("variant_no"), F.array_join("context.after", "\n").alias("after"))
+
+
+def x_trends(spark, d):
+    """Events of each kind by the hour, with the hour after which their number changes most."""
+    series = tr.time_series(table(configure(spark), d, "events"), "event_type", "ts")
+    points = tr.change_points(series, "event_type")
+    return points.select("event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "place", "deviation", "is_change")
+
+
+def x_clusters(spark, d):
+    """Density clusters of the documents' vectors."""
+    docs = table(configure(spark), d, "documents").select("doc_id", "text")
+    embedded = em.embed_texts(docs, "text", em.hashing_embedder(DIM), DIM, spread_by="doc_id")
+    return cl.density_clusters(embedded.select(F.col("doc_id").alias("vec_id"), F.col("embedding").alias("vec")))
+
+
+def x_anomalies(spark, d):
+    """How much rarer the templates of each event run are than those of the same user's other runs."""
+    lines = event_lines(table(configure(spark), d, "events"))
+    counts = lines.groupBy("run_id", tp.mask(F.col("line")).alias("template")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts)
+    peers = counts.select("run_id").distinct().withColumn("group", F.substring_index("run_id", "_", 2))
+    return cl.run_anomalies(counts, peers).select(
+        "run_id", "group", "n_lines", F.round("rarity", 6).alias("rarity"), (F.round("score", 4) + F.lit(0.0)).alias("score")
+    )
+
+
 def m_run_history(spark, d):
     """The state in which every thread (a user's runs) stood at the end of each of its days, with or without a run."""
     runs = event_lines(table(configure(spark), d, "events")).groupBy("run_id").agg(F.max("ts").cast("timestamp_ntz").alias("ts"))
@@ -649,5 +705,6 @@ QUERIES = {
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
         r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,
         p_triage, p_triage_tips, p_triage_errors, p_triage_lines, p_knowledge, m_run_history,
+        k_value_sets, k_codes, x_trends, x_clusters, x_anomalies,
     )
 }

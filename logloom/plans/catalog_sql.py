@@ -638,3 +638,57 @@ ORACLE_SQL |= {
     + """SELECT d.thread_id, day, arg_max(run_id, {'ts': ts, 'run': run_id}) AS run_id, arg_max(test_status, {'ts': ts, 'run': run_id}) AS test_status
       FROM days d JOIN history h ON h.thread_id = d.thread_id AND h.ts <= d.day + INTERVAL 1 DAY GROUP BY d.thread_id, day""",
 }
+
+
+_CODES = r"""
+codes AS (
+  SELECT DISTINCT c || upper(event_type) AS code, ' ' || array_to_string(regexp_extract_all(lower('Test ' || event_type), '[\p{L}\p{N}]+'), ' ') || ' ' AS phrase
+  FROM events, unnest(['E-', 'W-']) u(c)),
+own AS (
+  SELECT template, list(code ORDER BY code) AS own FROM (SELECT DISTINCT template, code FROM templates, codes
+    WHERE contains(' ' || array_to_string(regexp_extract_all(lower(template), '[\p{L}\p{N}]+'), ' ') || ' ', phrase)) GROUP BY template)
+"""
+
+ORACLE_SQL |= {
+    "k_value_sets": f"""SELECT template, variable, sum(n)::BIGINT AS n, count(*) AS n_values, true AS all_counted, true AS distinct_agrees, true AS top_agrees
+      FROM ({ORACLE_SQL["k_values"]}) GROUP BY template, variable""",
+    "k_codes": _with(EVENT_LINES, TEMPLATES, LABELLED, VARIANTS, _CODES)
+    + f"""SELECT template, variant_no, 'reported code: ' || coalesce(own[({DRAW.format("'code'")}) % len(own) + 1], code) AS after
+      FROM variants LEFT JOIN own USING (template)""",
+    "x_trends": """WITH counts AS (
+        SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS n FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+      grid AS (
+        SELECT event_type, unnest(b) AS bucket FROM (SELECT DISTINCT event_type FROM counts),
+          (SELECT range(min(bucket), max(bucket) + INTERVAL 1 HOUR, INTERVAL 1 HOUR) AS b FROM counts)),
+      series AS (SELECT g.event_type, g.bucket, coalesce(n, 0) AS n FROM grid g LEFT JOIN counts c ON c.event_type = g.event_type AND c.bucket = g.bucket),
+      placed AS (
+        SELECT *, row_number() OVER w AS place, sum(n) OVER w AS so_far, sum(n) OVER (PARTITION BY event_type) AS total,
+          count(*) OVER (PARTITION BY event_type) AS buckets FROM series WINDOW w AS (PARTITION BY event_type ORDER BY bucket)),
+      moved AS (SELECT event_type, bucket, n, place, (buckets * so_far - place * total)::BIGINT AS deviation FROM placed)
+      SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(deviation) DESC, place) = 1 AND deviation <> 0 AS is_change FROM moved""",
+    "x_clusters": "WITH RECURSIVE "
+    + ",\n".join(
+        x.strip() for x in (
+            _embedding("emb", "SELECT doc_id AS id, text FROM documents"), _hits("emb", "emb", 4),
+            """near AS (SELECT * FROM hits WHERE distance <= 0.15),
+            cores AS (SELECT query_id AS core FROM near WHERE rank = 4),
+            to_core AS (SELECT query_id AS a, vec_id AS b, rank FROM near JOIN cores ON core = vec_id),
+            links AS (SELECT a, b FROM to_core JOIN cores ON core = a UNION SELECT b, a FROM to_core JOIN cores ON core = a),
+            reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+            roots AS (SELECT a AS core, min(b) AS cluster FROM reach GROUP BY a),
+            border AS (SELECT a AS id, arg_min(b, rank) AS core FROM to_core WHERE a NOT IN (SELECT core FROM cores) GROUP BY a),
+            named AS (SELECT core AS id, cluster, true AS is_core FROM roots UNION ALL SELECT id, cluster, false FROM border JOIN roots USING (core))""",
+        )
+    )
+    + " SELECT doc_id AS id, cluster, coalesce(is_core, false) AS is_core FROM documents LEFT JOIN named ON named.id = doc_id",
+    "x_anomalies": _with(
+        EVENT_LINES,
+        f"""counts AS (SELECT run_id, {_masked("line")} AS template, count(*) AS n FROM lines GROUP BY ALL),
+        spread AS (SELECT template, ln((SELECT count(DISTINCT run_id) FROM counts) / count(DISTINCT run_id)) AS rare FROM counts GROUP BY template),
+        runs AS (SELECT run_id, array_to_string(string_split(run_id, '_')[1:2], '_') AS grp, sum(n)::BIGINT AS n_lines, sum(n * rare) / sum(n) AS rarity
+          FROM counts JOIN spread USING (template) GROUP BY run_id)""",
+    )
+    + """SELECT run_id, grp AS "group", n_lines, round(rarity, 6) AS rarity, round(CASE WHEN stddev_pop(rarity) OVER g > 1e-9
+        THEN (rarity - avg(rarity) OVER g) / stddev_pop(rarity) OVER g ELSE 0 END, 4) + 0.0::DOUBLE AS score
+      FROM runs WINDOW g AS (PARTITION BY grp)""",
+}

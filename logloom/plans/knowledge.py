@@ -1,5 +1,7 @@
 """Knowledge building in two jobs with a review table between them."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.operators import augment as ag, enrich as en, review as rv, templates as tp
@@ -7,17 +9,39 @@ from logloom.operators.embed import EmbedderFactory, template_records
 from logloom.session import cut_lineage
 
 
-def pending_templates(
+@dataclass(frozen=True)
+class Extracted:
+    """What Job A gives: the templates to review, every value of their variables as rows, and value sets of bounded size."""
+
+    pending: DataFrame
+    values: DataFrame  # (template, variable, value, n)
+    value_sets: DataFrame  # (template, variable, n, n_distinct, top)
+    members: DataFrame  # (template, merged, kind): the masked lines behind each template
+
+
+def extract(
     lines: DataFrame, sme: DataFrame, guidance: tp.Masks = (), before: int = 2, after: int = 2, free_text: int = tp.FREE_TEXT
-) -> DataFrame:
+) -> Extracted:
     """Job A: extract templates from lines, merge those of like structure, add values and context, enrich."""
     masks = [*guidance, *tp.MASKS]
     extracted = cut_lineage(tp.extract_templates(lines, tp.MASKS, guidance))
-    members = tp.similar_templates(extracted, free_text=free_text)
-    extracted = cut_lineage(tp.merge_similar(extracted, members))
-    found = tp.with_context(extracted, lines, before, after, masks)
+    members = cut_lineage(tp.similar_templates(extracted, free_text=free_text))
+    merged = cut_lineage(tp.merge_similar(extracted, members))
+    found = tp.with_context(merged, lines, before, after, masks)
     enriched = en.enrich(found.select("template", "values", "context"), sme)
-    return enriched.withColumn("template_id", tp.template_id(F.col("template")))
+    return Extracted(
+        pending=enriched.withColumn("template_id", tp.template_id(F.col("template"))),
+        values=tp.merge_values(tp.template_values(lines, tp.MASKS, guidance), members),
+        value_sets=tp.value_sets(tp.merge_sketches(tp.value_sketches(lines, tp.MASKS, guidance), members)),
+        members=members,
+    )
+
+
+def pending_templates(
+    lines: DataFrame, sme: DataFrame, guidance: tp.Masks = (), before: int = 2, after: int = 2, free_text: int = tp.FREE_TEXT
+) -> DataFrame:
+    """The templates of Job A alone."""
+    return extract(lines, sme, guidance, before, after, free_text).pending
 
 
 def index_reviewed(
@@ -27,7 +51,11 @@ def index_reviewed(
     dim: int,
     collection: str = "log_templates",
     on_reject: str = "drop",
+    codes: DataFrame | None = None,
 ) -> DataFrame:
-    """Job B: apply the decisions, add variants, embed; the result is appended by the caller."""
+    """Job B: apply the decisions, add variants, embed; the result is appended by the caller.
+
+    ``codes`` is the caller's table of error codes (code, phrase), see ``augment``.
+    """
     reviewed = rv.apply_review(pending, decisions, on_reject)
-    return template_records(ag.augment(reviewed), collection, make_embedder, dim)
+    return template_records(ag.augment(reviewed, codes), collection, make_embedder, dim)
