@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm import words
+from logloom.llm import worker_memory, words
 from logloom.llm.samples import narrow, remainder, text_sample
 
 NGRAMS = (2, 3, 4, 5)
@@ -206,6 +206,7 @@ def predict(docs: DataFrame, model: Field | None, prefix: str = "") -> DataFrame
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         field = shipped.value
         for batch in batches:
             score = np.zeros(batch.num_rows)

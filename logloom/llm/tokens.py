@@ -12,6 +12,8 @@ import unicodedata
 
 import numpy as np
 
+from logloom.llm import worker_memory
+
 CACHE_WORDS = 550_000
 #: marks the piece at the start of a text, which has no blank before it; no other piece starts with it
 FIRST = "\0"
@@ -126,9 +128,11 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer per worker process."""
+    """One tokenizer per worker process, until the process works on something else."""
+    worker_memory.only("tokens")
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        worker_memory.keep("tokens", _tokenizers.clear)
     return _tokenizers[path]
 
 

@@ -8,7 +8,7 @@ nearness, are calibrated on folds of the examples, each scored by the others wit
 """
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import words
+from logloom.llm import worker_memory, words
 from logloom.llm.samples import narrow, remainder, text_sample
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -349,23 +349,26 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     rows = text_sample(usable, narrow(usable).join(known, "doc_id"), per_label)
     if not rows:
         return None
-    terms = example_terms(rows)
-    return _fitted(docs.sparkSession, rows, class_rows, terms, *document_frequencies(docs, terms))
+    sample = docs.sparkSession.createDataFrame([(0, i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], SAMPLE)
+    terms = np.frombuffer(_in_task(sample, lambda examples: example_terms(examples).tobytes()), np.uint64)
+    about = (class_rows, terms, *document_frequencies(docs, terms))
+    return pickle.loads(_in_task(sample, lambda examples: pickle.dumps(fit(examples, *about))))
 
 
-def _fitted(spark: SparkSession, rows: list, *about) -> Examples | None:
-    """``fit`` in a task, so that the driver holds no more than the sample and the model."""
-    columns = "part int, place int, doc_id bigint, text string, label int"
-    sample = spark.createDataFrame([(0, i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], columns)
+SAMPLE = "part int, place int, doc_id bigint, text string, label int"
+
+
+def _in_task(sample: DataFrame, work: Callable[[list], bytes]) -> bytes:
+    """What ``work`` makes of the sample, in a task: the driver holds no more than the result.
+
+    All of the sample is one group, at most PER_LABEL bounded texts of each label.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        columns = (table[c].to_pylist() for c in ("doc_id", "text", "label"))
-        model = fit([Example(*values) for values in zip(*columns)], *about)
-        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        columns = (table.sort_by("place")[c].to_pylist() for c in ("doc_id", "text", "label"))
+        return pa.table({"made": pa.array([work([Example(*values) for values in zip(*columns)])], pa.binary())})
 
-    # one group: at most PER_LABEL bounded texts of each label
-    return pickle.loads(sample.groupBy("part").applyInArrow(run, "model binary").first()[0])
+    return bytes(sample.groupBy("part").applyInArrow(run, "made binary").first()[0])
 
 
 def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
@@ -381,6 +384,7 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # postings of at most 2 * PER_LABEL bounded texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         index = shipped.value
         for batch in batches:
             score, evidence = [0.0] * batch.num_rows, [[]] * batch.num_rows
