@@ -43,7 +43,7 @@ def open_collection(spark: SparkSession, path: str, name: str = DEFAULT_COLLECTI
 def prefix_of(key: str) -> Column:
     """One of PREFIXES folders, by the hash of a key."""
     # the letter in front keeps folder names from being read as numbers
-    return F.concat(F.lit("h"), F.substring(F.md5(key), 1, 2))
+    return F.concat(F.lit("h"), F.substring(F.coalesce(F.md5(key), F.lit("00")), 1, 2))
 
 
 def _touched(batch: DataFrame, *columns: str) -> list[list[str]]:
