@@ -8,6 +8,7 @@ nearness, are calibrated on folds of the examples, each scored by the others wit
 """
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import worker_memory, words
+from logloom.llm.hash_arrays import map_array, write_array
 from logloom.llm.samples import narrow, remainder, text_sample
+from logloom.session import shared_folder
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 PER_LABEL = 1500
@@ -334,7 +337,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Examples | None:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> "Stored | None":
     """An index over at most ``per_label`` texts of each label, none of them held out (crc32 of doc_id mod 5 is 0).
 
     Null labels and null texts are left out; where labels of one document differ, toxic counts.
@@ -352,7 +355,34 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Exa
     sample = docs.sparkSession.createDataFrame([(0, i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], SAMPLE)
     terms = np.frombuffer(_in_task(sample, lambda examples: example_terms(examples).tobytes()), np.uint64)
     about = (class_rows, terms, *document_frequencies(docs, terms))
-    return pickle.loads(_in_task(sample, lambda examples: pickle.dumps(fit(examples, *about))))
+    folder = f"{shared_folder(docs.sparkSession)}/examples-{uuid.uuid4().hex}"
+    return Stored(folder, _in_task(sample, lambda examples: _store(folder, fit(examples, *about))).decode())
+
+
+def _store(folder: str, model: Examples) -> bytes:
+    return write_array(folder, "examples", np.frombuffer(pickle.dumps(model), np.uint8)).encode()
+
+
+_loaded: dict[str, Examples] = {}
+
+
+class Stored:
+    """Examples in a file of the shared folder; each process that looks into them loads them once."""
+
+    def __init__(self, folder: str, file: str):
+        self.folder, self.file = folder, file
+
+    def load(self) -> Examples:
+        if self.file not in _loaded:
+            _loaded.clear()
+            _loaded[self.file] = pickle.loads(map_array(self.folder, self.file, "u1").tobytes())
+            worker_memory.keep("examples", _loaded.clear)
+        return _loaded[self.file]
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.load(), name)
 
 
 SAMPLE = "part int, place int, doc_id bigint, text string, label int"
@@ -368,10 +398,10 @@ def _in_task(sample: DataFrame, work: Callable[[list], bytes]) -> bytes:
         columns = (table.sort_by("place")[c].to_pylist() for c in ("doc_id", "text", "label"))
         return pa.table({"made": pa.array([work([Example(*values) for values in zip(*columns)])], pa.binary())})
 
-    return bytes(sample.groupBy("part").applyInArrow(run, "made binary").first()[0])
+    return bytes(sample.groupBy("part").applyInArrow(run, "made binary").collect()[0][0])
 
 
-def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: Examples | Stored | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (names behind ``prefix``), the doc_ids of the nearest examples, nearest first.
 
     A null text is an empty one; it gets the base rate, as all texts without known terms. Ties for the last place share its vote. Without examples the score is 0. Columns of these names are replaced,
@@ -381,11 +411,9 @@ def predict(docs: DataFrame, model: Examples | None, k: int = NEIGHBOURS, prefix
     docs = docs.drop(*added)
     text_at, names_out = docs.columns.index("text"), [*docs.columns, *added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # postings of at most 2 * PER_LABEL bounded texts
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory.only()
-        index = shipped.value
+        worker_memory.only("examples")
+        index = model.load() if isinstance(model, Stored) else model
         for batch in batches:
             score, evidence = [0.0] * batch.num_rows, [[]] * batch.num_rows
             for lo, vectors in index.vectors(batch.column(text_at)) if index else ():
