@@ -102,6 +102,28 @@ class Field:
         return forward
 
 
+    def pairs(self, scores: np.ndarray, rows: int) -> np.ndarray:
+        """Expected number of each pair of neighbouring labels in ``rows`` sequences of equal length.
+
+        A pair's probability is what comes forward to its left word, times the transition, times the right word's own score and what comes back to it.
+        """
+        n = len(self.languages)
+        local = (np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-12).reshape(rows, -1, n)
+        switch = np.exp(self.transitions - self.transitions.max())
+        forward, total = [local[:, 0]], np.zeros((n, n))
+        for t in range(1, local.shape[1]):
+            state = (forward[-1] / forward[-1].sum(axis=1, keepdims=True)) @ switch * local[:, t]
+            forward.append(state)
+        backward = np.ones((rows, n))
+        for t in range(local.shape[1] - 1, 0, -1):
+            right = local[:, t] * backward
+            pair = forward[t - 1][:, :, None] * switch[None] * right[:, None, :]
+            total += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            backward = right @ switch.T
+            backward /= backward.sum(axis=1, keepdims=True)
+        return total
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Field | None:
     """A field over the labels of ``texts``; None without any words."""
     data, offsets = words.text_bytes(pa.array(texts, pa.string()))
@@ -163,7 +185,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Field | No
             seen = np.zeros((n, n), np.float32)
             chain = given.reshape(64, SEQUENCE)
             np.add.at(seen, (chain[:, :-1].ravel(), chain[:, 1:].ravel()), 1)
-            expected = model_pairs(model, scores[local], probability, 64)
+            expected = model.pairs(scores[local], 64)
             for value, slope, square in zip(
                 (weights, lexical, transitions), (table, belongs[types].T @ by_type, seen - expected), squares
             ):
@@ -172,15 +194,6 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Field | No
     return model
 
 
-def model_pairs(model: Field, scores: np.ndarray, marginals: np.ndarray, rows: int) -> np.ndarray:
-    """Expected number of each label pair of neighbours, from the marginals of both ends and the transition."""
-    n = len(model.languages)
-    left = marginals.reshape(rows, -1, n)[:, :-1].reshape(-1, n)
-    right = marginals.reshape(rows, -1, n)[:, 1:].reshape(-1, n)
-    pair = left[:, :, None] * right[:, None, :] * np.exp(model.transitions - model.transitions.max())[None]
-    return (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-
-
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
     """Fit on at most ``per_language`` texts of each non-null lang, none of them held out (crc32 of doc_id mod 4 is 2)."""
     usable = docs.where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))

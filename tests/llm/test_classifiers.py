@@ -1,5 +1,7 @@
 """Language ID and toxicity: held-out accuracy, exactness of the parts, unusual rows."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -172,3 +174,22 @@ def test_equal_evidence_gives_the_base_rate(share):
             places, cosines = model.with_ties(terms_of, weights, toxicity.NEIGHBOURS)
             scores.append(model.score(model.vote(places, cosines, toxicity.NEIGHBOURS)))
     assert scores == pytest.approx([share / 100] * 4, abs=0.08)
+
+
+def test_expected_pairs_are_those_of_all_labelings():
+    rng = np.random.default_rng(4)
+    rows, length, n = 3, 5, 3
+    scores = rng.normal(0, 2, (rows * length, n)).astype(np.float32)
+    transitions = rng.normal(0, 1.5, (n, n)).astype(np.float32)
+    empty = np.empty((0, n), np.float32)
+    field = language.Field(["a", "b", "c"], empty, np.empty(0, np.uint64), empty, empty, transitions)
+    expected = np.zeros((n, n))
+    for row in range(rows):
+        own, total, counts = scores[row * length : (row + 1) * length].astype(float), 0.0, np.zeros((n, n))
+        for labels in itertools.product(range(n), repeat=length):
+            weight = np.exp(sum(own[i, x] for i, x in enumerate(labels)) + sum(transitions[x, y] for x, y in zip(labels, labels[1:])))
+            total += weight
+            for x, y in zip(labels, labels[1:]):
+                counts[x, y] += weight
+        expected += counts / total
+    assert field.pairs(scores, rows) == pytest.approx(expected, rel=1e-4)
