@@ -6,10 +6,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from logloom.operators.skew import hot_keys
+from logloom.session import cut_lineage
+
 # Batch size, attempts and first wait of the augmentation step.
 BATCH_SIZE = 3
 MAX_ATTEMPTS = 3
 FIRST_WAIT = 1.0
+TASK_ROWS = 100_000  # rows of one key in a task
+PART = "_part"
 
 
 def batch_infer(
@@ -22,28 +27,30 @@ def batch_infer(
     sleep: Callable[[float], None] = time.sleep,
     batch_key: str | None = None,
     accept: Callable[[str], bool] | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Add ``response``, ``error`` and ``attempts`` to every row.
 
     A batch that still fails after ``max_attempts`` leaves its rows with an error; other
     batches go on. With ``batch_key`` a batch also ends where the key changes, which makes batches
-    independent of partitioning; rows without a key form batches of their own. A reply that ``accept`` refuses fails
+    independent of partitioning; rows without a key form batches of their own. The rows of a key (or without one) that are more than ``task_rows``
+    are dealt by their content to several tasks. A reply that ``accept`` refuses fails
     its attempt, like an error of the model. The model is made once per task, on the executor, and rows
     travel as Arrow batches, so ids and nulls stay as they are.
     """
+    given = rows
     if batch_key is not None:
-        others = [c for c in rows.columns if c != batch_key]
-        rows = rows.repartition(batch_key).sortWithinPartitions(batch_key, *others)
+        rows = _dealt(rows, batch_key, task_rows)
     schema = T.StructType(
         [
-            *rows.schema.fields,
+            *given.schema.fields,
             T.StructField("response", T.StringType()),
             T.StructField("error", T.StringType()),
             T.StructField("attempts", T.IntegerType()),
         ]
     )
 
-    names = [*rows.columns, "response", "error", "attempts"]
+    names = [*given.columns, "response", "error", "attempts"]
 
     def call(model, batch: pa.Table) -> Iterator[pa.RecordBatch]:
         prompts = batch[prompt].to_pylist()
@@ -68,7 +75,7 @@ def batch_infer(
             pa.array([attempt] * n, pa.int32()),
         ]
         whole = batch.combine_chunks()
-        columns = [c.chunk(0) for c in whole.columns]
+        columns = [whole.column(i).chunk(0) for i in range(len(given.columns))]
         yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +86,7 @@ def batch_infer(
                 continue
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            cuts = _cuts(rest, batch_size, batch_key)
+            cuts = _cuts(rest, batch_size, [] if batch_key is None else [batch_key, PART])
             # the last one may go on in the next batch
             for start, end in cuts[:-1]:
                 yield from call(model, rest.slice(start, end - start))
@@ -90,12 +97,24 @@ def batch_infer(
     return rows.mapInArrow(run, schema)
 
 
-def _cuts(table: pa.Table, size: int, key: str | None) -> list[tuple[int, int]]:
-    """(start, end) of batches: a new one where the key changes, a null being a key of its own, or one is full."""
-    keys = [None] * table.num_rows if key is None else table[key].to_pylist()
+def _dealt(rows: DataFrame, batch_key: str, task_rows: int) -> DataFrame:
+    """Rows of one key side by side and in order, with the part of a large key that each belongs to."""
+    rows = cut_lineage(rows)
+    others = [c for c in rows.columns if c != batch_key]
+    none = rows.withColumn(PART, F.lit(0))
+    if rows.count() > task_rows:  # else no key can be large
+        large = hot_keys(rows, [batch_key], task_rows).select(F.col(batch_key).alias("_large"), "_salts")
+        sized = rows.join(large, F.col(batch_key).eqNullSafe(F.col("_large")), "left")
+        none = sized.withColumn(PART, F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_large", "_salts")
+    return none.repartition(batch_key, PART).sortWithinPartitions(batch_key, PART, *others)
+
+
+def _cuts(table: pa.Table, size: int, keys: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of batches: a new one where a key changes, a null being a key of its own, or one is full."""
+    values = list(zip(*(table[k].to_pylist() for k in keys))) if keys else [None] * table.num_rows
     starts = [0]
     for i in range(1, table.num_rows):
-        if keys[i] != keys[i - 1] or i - starts[-1] == size:
+        if values[i] != values[i - 1] or i - starts[-1] == size:
             starts.append(i)
     return list(zip(starts, [*starts[1:], table.num_rows]))
 

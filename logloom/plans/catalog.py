@@ -1,5 +1,7 @@
 """The registered queries: every operator over whole tables of the test data."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom import schemas
@@ -19,7 +21,7 @@ from logloom.operators import (
     trends as tr,
     verdict as vd,
 )
-from logloom.plans.knowledge import index_reviewed, pending_templates
+from logloom.plans.knowledge import augment_by_model, index_reviewed, pending_templates
 from logloom.plans.triage import HISTORY_HITS, history_hits, triage_lines, triage_logs
 from logloom.session import configure, cut_lineage
 from logloom.sources.run_logs import document_logs, event_lines, event_log_lines, table
@@ -648,6 +650,28 @@ def k_codes(spark, d):
     return ag.variants(known).select("template", F.col("variant_no").cast("long").alias("variant_no"), F.array_join("context.after", "\n").alias("after"))
 
 
+def k_augment_model(spark, d):
+    """Variants by a stub model that answers some batches of three templates not at all, and the message of each of these."""
+
+    def make_stub():
+        def reply(prompts: list[str]) -> list[str]:
+            if sum(map(len, prompts)) % 4 == 0:
+                raise RuntimeError("model overloaded")
+            made = [[{"template": f"{p[-30:]} again", "severity": "WARN"}, {"template": f"{len(p)} characters"}] for p in prompts]
+            return [f"Here they are:\n```json\n{json.dumps(m)}\n```" for m in made]
+
+        return reply
+
+    templates = cut_lineage(tp.extract_templates(_document_lines(spark, d)))
+    severity, causality, summary = en.labels(F.col("template"))
+    labelled = templates.select("template_id", "template", severity.alias("severity"), causality.alias("causality"), summary.alias("summary"))
+    made, messages = augment_by_model(labelled, make_stub, "session_1", first_wait=0.0)
+    none = F.lit(None).cast("string")
+    return made.select("template", F.col("variant_no").cast("long").alias("variant_no"), "variant", "severity", "causality", none.alias("message")).unionByName(
+        messages.select(none.alias("template"), F.col("n_rows").alias("variant_no"), none.alias("variant"), none.alias("severity"), none.alias("causality"), "message")
+    )
+
+
 def x_trends(spark, d):
     """Events of each kind by the hour, with the hour after which their number changes most."""
     series = tr.time_series(table(configure(spark), d, "events"), "event_type", "ts")
@@ -705,6 +729,6 @@ QUERIES = {
         m_tips, m_tips_latest, m_thread_latest, m_messages, m_context, m_commit, m_stage_log, m_infer,
         r_pass, r_failure, r_tickets, r_ticket_rows, r_report, r_routes, r_error_details,
         p_triage, p_triage_tips, p_triage_errors, p_triage_lines, p_knowledge, m_run_history,
-        k_value_sets, k_codes, x_trends, x_clusters, x_anomalies,
+        k_value_sets, k_codes, k_augment_model, x_trends, x_clusters, x_anomalies,
     )
 }

@@ -692,3 +692,16 @@ ORACLE_SQL |= {
         THEN (rarity - avg(rarity) OVER g) / stddev_pop(rarity) OVER g ELSE 0 END, 4) + 0.0::DOUBLE AS score
       FROM runs WINDOW g AS (PARTITION BY grp)""",
 }
+
+ORACLE_SQL["k_augment_model"] = (
+    _with(
+        TEXT_LINES, TEMPLATES, LABELLED,
+        """numbered AS (
+          SELECT l.*, (row_number() OVER (ORDER BY md5(template)) - 1) // 3 AS batch,
+            'Write variants of this log template as a JSON list: ' || template AS prompt FROM labelled l)""",
+        "asked AS (SELECT *, sum(length(prompt)) OVER (PARTITION BY batch) % 4 = 0 AS bad FROM numbered)",
+    )
+    + """SELECT template, 1 AS variant_no, right(prompt, 30) || ' again' AS variant, 'WARN' AS severity, causality, NULL::VARCHAR AS message FROM asked WHERE NOT bad
+      UNION ALL SELECT template, 2, length(prompt) || ' characters', severity, causality, NULL FROM asked WHERE NOT bad
+      UNION ALL SELECT NULL, count(*), NULL, NULL, NULL, 'Augmentation Batch ' || batch || ' failed after 3 attempts.' FROM asked WHERE bad GROUP BY batch"""
+)

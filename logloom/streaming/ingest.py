@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom import schemas
+from logloom.functions import text as tx
 from logloom.operators.embed import EmbedderFactory
+from logloom.operators.memory import runs_as_of
 from logloom.plans.triage import triage_logs
 from logloom.session import cut_lineage
 from logloom.sources import tables
@@ -36,7 +38,7 @@ def log_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
 
 
 #: what a batch writes, each in folders by batch_id
-SINKS = ("runs", "tickets", "error_details", "rejected", "batch_tips", "outcomes")
+SINKS = ("runs", "tickets", "error_details", "rejected", "batch_tips", "outcomes", "run_history")
 
 
 def committed(spark: SparkSession, store: str, name: str) -> DataFrame:
@@ -44,6 +46,12 @@ def committed(spark: SparkSession, store: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{store}/{name}").join(spark.read.parquet(f"{store}/commits").select("batch_id"), "batch_id", "left_semi")
 
 
+def thread_states(spark: SparkSession, store: str, times: DataFrame) -> DataFrame:
+    """The last state of each thread at a time, from the committed batches: ``times`` is (thread_id, at)."""
+    history = committed(spark, store, "run_history").select(*[f.name for f in schemas.RUN_HISTORY])
+    return runs_as_of(history, times)
+
+
 def promote(spark: SparkSession, store: str) -> None:
     """Merge the tips of all committed batches into the tips that later runs look up. Doing it again changes nothing."""
     if not tables.exists(spark, f"{store}/commits"):
@@ -87,7 +95,12 @@ def triage_batch(
             "run_id", "overall_status", "test_status", "total", "passed", "failed", "pass_rate", "notes",
             "summary_report", "failure_report",
         )
-        sinks = (verdicts, done.tickets.drop("first_line"), done.error_details, done.rejected, done.tips, done.outcomes)
+        folder = F.nullif(F.regexp_extract("run_id", "^(.*)/", 1), F.lit(""))  # logs of one folder are one thread
+        states = done.runs.select(
+            F.coalesce(folder, F.col("run_id")).alias("thread_id"), "run_id", F.lit(as_of).cast("timestamp_ntz").alias("ts"), "test_status",
+            tx.chosen_report(F.col("failure_report"), F.col("summary_report")).alias("report"),
+        )
+        sinks = (verdicts, done.tickets.drop("first_line"), done.error_details, done.rejected, done.tips, done.outcomes, states)
         for name, rows in zip(SINKS, sinks):
             rows.write.mode("overwrite").parquet(f"{store}/{name}/batch_id={batch_id}")
         tables.append_vectors(spark.read.parquet(f"{store}/outcomes/batch_id={batch_id}"), f"{store}/vectors")

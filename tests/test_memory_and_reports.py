@@ -149,6 +149,20 @@ def test_batches_keep_null_keys_and_large_ids(spark):
     assert infer.batch_infer(spark.createDataFrame([], "p string"), "p", make).count() == 0
 
 
+def test_rows_of_a_large_key_or_without_one_are_dealt_to_tasks(spark):
+    make = lambda: lambda prompts: [str(len(prompts)) for _ in prompts]
+    rows = [(None if i % 2 else 5, i, "p") for i in range(400)] + [(9, 1, "p")] * 2
+    df = spark.createDataFrame(rows, "b int, i int, p string")
+    runs = []
+    for n in (1, 7):
+        found = infer.batch_infer(df.repartition(n), "p", make, batch_key="b", task_rows=30)
+        assert found.columns == ["b", "i", "p", "response", "error", "attempts"]
+        runs.append(sorted(((r.b or -1, r.i, r.response) for r in found.collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == 402 and {r[2] for r in runs[0]} <= {"1", "2", "3"}
+    dealt = infer._dealt(df, "b", 30).select("b", infer.PART).distinct()
+    assert {r.b: r["count"] for r in dealt.groupBy("b").count().collect()} == {None: 7, 5: 7, 9: 1}
+
+
 def test_refused_replies_are_asked_for_again(spark):
     def make():
         asked = []
