@@ -50,7 +50,7 @@ def batch_infer(
         ]
     )
 
-    names = [*given.columns, "response", "error", "attempts"]
+    names, n_given = [*given.columns, "response", "error", "attempts"], len(given.columns)
 
     def call(model, batch: pa.Table) -> Iterator[pa.RecordBatch]:
         prompts = batch[prompt].to_pylist()
@@ -75,7 +75,7 @@ def batch_infer(
             pa.array([attempt] * n, pa.int32()),
         ]
         whole = batch.combine_chunks()
-        columns = [whole.column(i).chunk(0) for i in range(len(given.columns))]
+        columns = [whole.column(i).chunk(0) for i in range(n_given)]
         yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
