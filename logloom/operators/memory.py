@@ -8,10 +8,11 @@ from logloom.operators.latest import as_of, latest_per_key
 from logloom.operators.ordered import number_lines
 from logloom.operators.skew import salted_lookup
 
-# Namespace and key of the tips store, and the context's texts.
+# Worded here: the header of past issues in the context.
+SEMANTIC_HEADER = "\n--- Semantic Memory ---\n"
+# Namespace and key of the tips store, and the header of the tips.
 TIPS_NAMESPACE = "global_tips"
 LAST_SUCCESS = "last_success"
-SEMANTIC_HEADER = "\n--- Semantic Memory ---\n"
 TIPS_HEADER = "\n--- Short-Term Memory (Global Tips) ---\n"
 WHITE_SPACE = " \t\n\u000b\u000c\r"
 

@@ -18,7 +18,7 @@ def stage_log(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-# Fixed values: (stage, message with a count, message for no rows).
+# (stage, message with a count, message for no rows), worded here.
 STAGES = [
     ("extract", "Extracted %d unique templates.", "No structured templates extracted."),
     ("enrich", "Enriched %d templates.", "Enrichment skipped: no extracted templates found."),
