@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm import hash_arrays, words
+from logloom.llm import hash_arrays, worker_memory, words
 from logloom.llm.hash_arrays import text_key
 from logloom.session import cut_lineage, shared_folder
 
@@ -81,6 +81,7 @@ def _grams(table: DataFrame, least: int) -> DataFrame:
     """(key, n_words, grams) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         for batch in batches:
             sizes, grams = [], []
             for _, hashes, first in words.hashed(batch.column(1), words.ALPHANUMERIC):
@@ -99,6 +100,7 @@ def _seeded(docs: DataFrame, seeds: hash_arrays.HashSetFiles, least: int) -> Dat
     """(key, text, grams) of the documents that hold seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         for batch in batches:
             row, grams = [], []
             for lo, hashes, first in words.hashed(batch.column(1), words.ALPHANUMERIC):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm import hash_arrays, words
+from logloom.llm import hash_arrays, worker_memory, words
 from logloom.llm.components import components
 from logloom.session import cut_lineage, shared_folder
 
@@ -121,6 +121,7 @@ def _prefixes(docs: DataFrame, k: int, rule: Rule, frequent: hash_arrays.HashSet
     shift = np.uint64(64 - COUNT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         given: set[int] = set()
         for batch in batches:
             at = 0
@@ -174,6 +175,7 @@ def _whole_sets(docs: DataFrame, k: int, needed: hash_arrays.HashSetFiles) -> ha
     """Files of the sets that take part in any pair: nodes, ends of their sets, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         given: set[int] = set()
         for batch in batches:
             for part in _bounded(shingle_sets(batch.column(0), k)):
@@ -208,6 +210,7 @@ def _verify(pairs: DataFrame, sets: hash_arrays.HashSetFiles, rule: Rule) -> Dat
     """The pairs (a, b) of nodes that link; their sets are read from the mapped files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         for batch in batches:
             a, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             nodes = np.unique(np.concatenate([a, b]))

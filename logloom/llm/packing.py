@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from logloom.llm.tokens import text_groups, tokenizer
+from logloom.llm.tokens import CACHE_WORDS, text_groups, tokenizer
 from logloom.session import cut_lineage
 
 CAPACITY = 1024
@@ -21,13 +21,13 @@ RANK_GROUP = 100_000
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids): every text's ids and the end id, cut into pieces of ``capacity``.
 
     A null text is an empty one and gives the end id alone. Only texts beyond ``capacity`` are cut; their
     first piece takes what does not fill a whole one. ``ids`` are little-endian unsigned 32-bit
-    integers. Repeated rows and null doc_ids are documents like any other.
+    integers. Repeated rows and null doc_ids are documents like any other. ``cache_words`` bounds a worker's memory, it does not touch the result.
     """
     source = docs.select("doc_id", "text")
     schema = T.StructType(
@@ -39,7 +39,7 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path, cache_words).encode
         for batch in batches:
             for first, texts in text_groups(batch.column(1).to_pylist()):
                 row, piece, start, ids = [], [], [], []

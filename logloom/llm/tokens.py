@@ -108,6 +108,9 @@ class WordTokenizer:
             if of != (piece,):
                 self._new[piece] = b"".join([self._new[x] for x in of])
 
+    def limit(self, cache_words: int) -> None:
+        self._limit = cache_words
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         missing = set().union(*cut)
@@ -127,12 +130,13 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer per worker process, until the process works on something else."""
+def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
+    """One tokenizer per worker process, until the process works on something else; a later call may ask for another size of its cache."""
     worker_memory.only("tokens")
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
         worker_memory.keep("tokens", _tokenizers.clear)
+    _tokenizers[path].limit(cache_words)
     return _tokenizers[path]
 
 

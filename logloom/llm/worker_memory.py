@@ -6,6 +6,7 @@ Spark uses a worker process again for later stages, so what one operator has cac
 import ctypes
 import ctypes.util
 from collections.abc import Callable
+from functools import cache
 
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -15,13 +16,17 @@ def keep(name: str, free: Callable[[], None]) -> None:
     _caches[name] = free
 
 
+@cache
+def _trimmer() -> Callable[[int], int] | None:
+    """glibc hands freed memory back only when asked; other systems have nothing to ask."""
+    library = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(library), "malloc_trim", None) if library else None
+
+
 def only(name: str = "") -> None:
-    """Free all caches but ``name``; called where a task begins."""
-    others = [n for n in _caches if n != name]
-    for other in others:
+    """Free all caches but ``name``, and what earlier tasks have left; called where a task begins."""
+    for other in [n for n in _caches if n != name]:
         _caches.pop(other)()
-    if others:
-        library = ctypes.util.find_library("c")
-        trim = getattr(ctypes.CDLL(library), "malloc_trim", None) if library else None
-        if trim:  # glibc hands freed memory back only when asked
-            trim(0)
+    trim = _trimmer()
+    if trim:
+        trim(0)
