@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from logloom.llm import worker_memory
 from logloom.llm.tokens import CACHE_WORDS, text_groups, tokenizer
 from logloom.session import cut_lineage
 
@@ -21,13 +22,15 @@ RANK_GROUP = 100_000
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids): every text's ids and the end id, cut into pieces of ``capacity``.
 
     A null text is an empty one and gives the end id alone. Only texts beyond ``capacity`` are cut; their
     first piece takes what does not fill a whole one. ``ids`` are little-endian unsigned 32-bit
-    integers. Repeated rows and null doc_ids are documents like any other. ``cache_words`` bounds a worker's memory, it does not touch the result.
+    integers. Repeated rows and null doc_ids are documents like any other. ``cache_words`` bounds a worker's memory; without
+    ``keep_cache`` a worker gives it back after every task. Neither touches the result.
     """
     source = docs.select("doc_id", "text")
     schema = T.StructType(
@@ -60,6 +63,8 @@ def token_pieces(
                     ],
                     names=schema.names,
                 )
+        if not keep_cache:
+            worker_memory.only()
 
     return source.mapInArrow(run, schema)
 
