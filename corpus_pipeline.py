@@ -48,7 +48,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its token ids and its place in a sequence."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, cache_words=CACHED_WORDS)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.token_pieces(docs, path, end_id=2, cache_words=CACHED_WORDS, keep_cache=False)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")))
 
 
