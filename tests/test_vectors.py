@@ -84,6 +84,25 @@ def test_work_of_a_query_does_not_grow_with_the_table(spark):
     assert looked[1] < 1.5 * looked[0] and looked[1] < 1000
 
 
+def test_queries_that_no_bound_helps_hold_no_lists_of_cells(spark):
+    """Vectors without structure: pairs of queries and cells stay few, and the result is exact."""
+    rng = np.random.default_rng(8)
+    n = 6_000
+    x = rng.standard_normal((n, 48)).astype(np.float32)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "vec": list(x)}))
+    tree = knn.pivot_tree(vectors, n // 4)
+    placed = knn.placed_vectors(vectors, tree, 500)
+    queries = vectors.selectExpr("vec_id AS query_id", "vec AS query_vec", "0.9D AS kth")
+    assert placed.count() == n
+    routed = knn._routed(queries, tree, 5)
+    assert routed.agg(F.sum(F.size("cells"))).first()[0] <= 2 * n
+    got = knn.knn_join(queries.drop("kth").where("query_id % 30 = 0"), vectors, 5, block_rows=500, cell_rows=4, query_rows=64).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = np.round(1 - unit[::30] @ unit.T, 9)
+    want = {(30 * i, int(v), r + 1) for i, row in enumerate(near) for r, v in enumerate(np.lexsort((np.arange(n), row))[:5])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
 def test_knn_with_fewer_vectors_than_k_and_with_none(spark):
     q, v = frames(spark, [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])])
     assert knn.knn_join(q, v, 5).count() == 2
