@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from logloom import schemas
+from logloom.session import cut_lineage
 from logloom.operators import augment as ag, enrich as en, review as rv, stage_log as sl, templates as tp
 from logloom.operators.embed import hashing_embedder
 from logloom.plans import knowledge, retrieval
@@ -218,3 +219,23 @@ def test_job_a_merges_templates_of_like_structure(spark):
     merged = pending["start <*> on host now"]
     assert merged.context.match == "start workera on host now" and merged.context.after == ["start workerb on host now", "start workerc on host now"]
     assert "user <STR> logged in from <IP> at <TS>" in pending and len(pending) == 4
+
+
+def test_partitioning_stores_the_templates_once(spark, monkeypatch):
+    """Rounds store decisions, not the templates or their tokens again; many decisions give the same parts as few."""
+    rows = [(f"a{i % 3} b{i % 7} c{i} d{i} e{i} f{i} g{i % 2}",) for i in range(300)] + [(f"x y {i} z w v",) for i in range(40)]
+    templates = spark.createDataFrame(rows, "template string")
+    stored = []
+
+    def recorded(df):
+        found = cut_lineage(df)
+        stored.append((found.columns, found.count()))
+        return found
+
+    monkeypatch.setattr(tp, "cut_lineage", recorded)
+    members = {r.template: r.part for r in tp.partition_members(templates).collect()}
+    assert len(members) == len(rows) and len(set(members.values())) > 10
+    assert [n for columns, n in stored if "template" in columns] == [len(rows)]
+    assert all("tokens" not in columns for columns, _ in stored) and max(n for _, n in stored) == len(rows)
+    monkeypatch.setattr(tp, "SPLITS", 0)
+    assert {r.template: r.part for r in tp.partition_members(templates).collect()} == members
