@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -155,6 +156,17 @@ def test_embedding_pools_chunks_and_zeroes_failures(spark):
     assert np.linalg.norm(unit) == pytest.approx(1.0)
 
 
+def test_hashing_embedder_counts_words_with_few_kept_places(monkeypatch):
+    monkeypatch.setattr(em, "CACHED_WORDS", 2)
+    text = "Alpha beta_GAMMA alpha 12 delta, beta"
+    want = np.zeros(8)
+    for token in ("alpha", "beta", "gamma", "alpha", "12", "delta", "beta"):
+        digest = hashlib.md5(token.encode()).hexdigest()
+        want[int(digest[:8], 16) % 8] += 1 if digest[8] < "8" else -1
+    found = em.hashing_embedder(8)()([text, "", "..."])
+    assert [list(x) for x in found] == [list(want), [0.0] * 8, [0.0] * 8]
+
+
 def test_wrong_vector_width_is_an_error_row(spark):
     df = spark.createDataFrame([("a",)], "text string")
     row = em.embed_texts(df, "text", lambda: lambda chunks: [[1.0] for _ in chunks], 3).first()
