@@ -29,6 +29,12 @@ THRESHOLD = 0.5
 WIDTHS = (0.35, 0.45, 0.55, 0.65, 0.8, 1.0, 1.4, 2.0)
 #: standard deviations by which a nearer vector must be expected beyond the threshold
 CERTAINTY = 1.6
+#: queries of a slice that try all widths; the others start at the least width at which one of these was done
+PILOTS = 16
+#: candidates that are more than one in so many of a block are verified by one product with the whole block
+MANY = 8
+#: share of the lengths by which such products may be off
+ROUNDING = 1e-12
 
 
 def usable(vector: str) -> Column:
@@ -96,63 +102,77 @@ class _Block:
         unique, self.ids, self.first, radius, projected, ranked = (map_array(folder, f, k) for f, k in zip(files, kinds))
         n = len(self.first) - 1
         self.unique, self.radius = unique.reshape(n, -1), float(radius[0])
-        self.projected, self.ranked = projected.reshape(PROJECTIONS, n), np.asarray(ranked.reshape(PROJECTIONS, n))
+        self.projected, self.ranked = projected.reshape(PROJECTIONS, n), ranked.reshape(PROJECTIONS, n).astype(np.intp)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per query the ids and inner products of its k nearest in this block, other than itself."""
         n = len(self.unique)
         raised = np.c_[queries, np.zeros(len(queries))]
         raised *= self.radius / np.sqrt((queries * queries).sum(axis=1))[:, None]
+        length = np.sqrt((queries * queries).sum(axis=1))
         centre = raised @ _projections(PROJECTIONS, raised.shape[1])
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
         widths = [w * self.radius for w in WIDTHS]
         low = np.zeros((len(widths) + 1, len(queries), PROJECTIONS), np.int64)
         high = np.full_like(low, n)
         for p in range(PROJECTIONS):
+            order = np.argsort(centre[:, p])  # neighbouring places are looked up one after the other
+            sorted_centre = centre[order, p]
             for j, w in enumerate(widths):
-                low[j, :, p] = np.searchsorted(self.projected[p], centre[:, p] - w, "left")
-                high[j, :, p] = np.searchsorted(self.projected[p], centre[:, p] + w, "right")
+                low[j, order, p] = np.searchsorted(self.projected[p], sorted_centre - w, "left")
+                high[j, order, p] = np.searchsorted(self.projected[p], sorted_centre + w, "right")
         # the distance up to which a vector would have collided often enough, for each width
         reach = [_reach(w, least) for w in widths]
-        found_ids, found_scores = [], []
-        for q in range(len(queries)):
+        found_ids, found_scores = [None] * len(queries), [None] * len(queries)
+        start, needed = 0, []
+        for n_done, q in enumerate(np.argsort(query_ids, kind="stable")):
+            if n_done == PILOTS:
+                start = min(needed)
             counts = np.zeros(n, np.int64)
             verified = np.zeros(n, bool)
             at, score = np.empty(0, np.int64), np.empty(0)
-            for j in range(len(widths) + 1):
+            products = None
+            for j in range(start, len(widths) + 1):
                 if j == len(widths):
                     new = np.flatnonzero(~verified)
                 else:
-                    a, b = low[j, q], high[j, q]
-                    if j:
-                        pieces = [x for p in range(PROJECTIONS) for x in (
-                            self.ranked[p, a[p] : low[j - 1, q, p]], self.ranked[p, high[j - 1, q, p] : b[p]])]
-                    else:
-                        pieces = [self.ranked[p, a[p] : b[p]] for p in range(PROJECTIONS)]
-                    counts += np.bincount(np.concatenate(pieces), minlength=n)
+                    if j > start:
+                        counts += self._collisions(low[j, q], low[j - 1, q]) + self._collisions(high[j - 1, q], high[j, q])
+                    elif (high[j, q] - low[j, q]).sum() * 2 <= n * PROJECTIONS:
+                        counts += self._collisions(low[j, q], high[j, q])
+                    else:  # less lies outside of the windows than inside
+                        counts += PROJECTIONS - self._collisions(np.zeros_like(low[j, q]), low[j, q]) - self._collisions(high[j, q], np.full_like(low[j, q], n))
                     new = np.flatnonzero((counts >= least) & ~verified)
                 verified[new] = True
+                if products is None and len(new) * MANY >= n:
+                    products = self.unique @ queries[q]
                 at = np.r_[at, new]
-                score = np.r_[score, (self.unique[new] * queries[q]).sum(axis=1)]
+                score = np.r_[score, self.unique[new] @ queries[q] if products is None else products[new]]
                 if len(at) > k + 1:
                     kth = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-                    at, score = at[score >= kth], score[score >= kth]
+                    kept = score >= kth - ROUNDING * self.radius * length[q]
+                    at, score = at[kept], score[kept]
                 if j < len(widths) and len(at) > k:
                     # from the inner product back to the distance in the raised space
-                    length = sqrt(float(queries[q] @ queries[q]))
-                    inner = score.min() * self.radius / length
+                    inner = score.min() * self.radius / length[q]
                     if sqrt(max(0.0, 2 * self.radius**2 - 2 * inner)) <= reach[j]:
                         break
+            needed.append(min(j, len(widths) - 1))
+            score = (self.unique[at] * queries[q]).sum(axis=1)  # of the few that are left, whatever the products' rounding
             ids = [self.ids[self.first[u] : min(self.first[u + 1], self.first[u] + k + 1)] for u in at]
             each = np.repeat(score, [len(x) for x in ids])
             every = np.concatenate(ids) if ids else np.empty(0, np.int64)
             other = every != query_ids[q]
             every, each = every[other], each[other]
             best = np.lexsort((every, -each))[:k]
-            found_ids.append(every[best])
-            found_scores.append(each[best])
+            found_ids[q], found_scores[q] = every[best], each[best]
         return found_ids, found_scores
 
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How often each vector stands between the two places of the sorted projections."""
+        pieces = [ranked[a:b] for ranked, a, b in zip(self.ranked, low.tolist(), high.tolist())]
+        return np.bincount(np.concatenate(pieces), minlength=len(self.unique))
+
 
 def _reach(width: float, least: int) -> float:
     """Largest distance at which collisions with windows of this half width exceed ``least`` with certainty."""

@@ -162,6 +162,31 @@ def test_recall_of_the_search(spark):
         assert [a for a, _ in by[q]] == [a for a, _ in expected[q]]
 
 
+def test_work_of_a_search_without_structure(monkeypatch):
+    """Vectors that no window tells apart: queries begin at the width that others have needed instead of widening six times."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    vectors = rng.normal(size=(n, 64))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    block = collision_search._Block.__new__(collision_search._Block)
+    norms = np.sqrt((vectors**2).sum(axis=1))
+    raised = np.c_[vectors, np.sqrt(np.maximum(0, norms.max() ** 2 - norms**2))]
+    projected = (raised @ collision_search._projections(collision_search.PROJECTIONS, 65)).T
+    block.unique, block.radius, block.ids, block.first = vectors, float(norms.max()), np.arange(n), np.arange(n + 1)
+    block.ranked = np.argsort(projected, axis=1, kind="stable")
+    block.projected = np.take_along_axis(projected, block.ranked, axis=1)
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: counted.append(len(x)) or bincount(x, *a, **b))
+    asked = np.arange(0, n, 10)
+    found, scores = block.search(asked, vectors[asked], 20)
+    assert len(counted) < 4 * len(asked)
+    assert sum(counted) < 0.7 * n * collision_search.PROJECTIONS * len(asked)
+    expected = exact_neighbours(np.arange(n), vectors, asked, 20)
+    hits = sum(len(set(a.tolist()) & {i for i, _ in expected[int(q)]}) for q, a in zip(asked, found))
+    assert hits >= 0.95 * 20 * len(asked)
+    assert all(s == (vectors[q] * vectors[i]).sum() for q, a, b in zip(asked, found, scores) for i, s in zip(a, b))
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
