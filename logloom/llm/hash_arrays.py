@@ -107,6 +107,41 @@ def map_array(folder: str, file: str, dtype: str) -> np.ndarray:
         return np.memmap(local, dtype, "r") if local.tell() else np.empty(0, dtype)
 
 
+#: byte that stands for a larger value
+ESCAPED = 255
+
+
+def write_narrow(folder: str, name: str, values: np.ndarray) -> str:
+    """Write unsigned integers that are mostly small: a byte each, and a list of the positions and values of the others behind them."""
+    wide = np.flatnonzero(values >= ESCAPED)
+    small = values.astype(np.uint8)
+    small[wide] = ESCAPED
+    tail = (np.zeros(-len(small) % 8, np.uint8), *(x.astype("<u8").view(np.uint8) for x in (wide, values[wide], np.array([len(small), len(wide)]))))
+    return write_array(folder, name, np.concatenate([small, *tail]))
+
+
+class NarrowArray:
+    """An array that ``write_narrow`` has written, as a memory map."""
+
+    def __init__(self, folder: str, file: str):
+        data = map_array(folder, file, "u1")
+        n, n_wide = np.asarray(data[-16:]).view("<u8").tolist()
+        at = len(data) - 16 - 16 * n_wide
+        self._small = data[:n]
+        self._wide, self._values = (np.asarray(data[x : x + 8 * n_wide]).view("<u8") for x in (at, at + 8 * n_wide))
+
+    def __len__(self) -> int:
+        return len(self._small)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The values at an array of positions."""
+        found = self._small[at].astype(np.int64)
+        wide = np.nonzero(found == ESCAPED)
+        if len(wide[0]):
+            found[wide] = self._values[np.searchsorted(self._wide, at[wide].astype(np.uint64))]
+        return found
+
+
 def merge_buckets(
     blocks: DataFrame, merge: Callable[[int, list[bytes]], dict[str, list]], schema: str
 ) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import hash_arrays, words
-from logloom.llm.hash_arrays import HashSetFiles, map_array, pack_planes, pack_sorted, unpack_planes, unpack_sorted, write_array
+from logloom.llm.hash_arrays import HashSetFiles, NarrowArray, map_array, pack_planes, pack_sorted, unpack_planes, unpack_sorted, write_array, write_narrow
 from logloom.session import cut_lineage, shared_folder
 
 #: key of the token that ends every text
@@ -59,7 +59,7 @@ class Model:
     n_words: int
     n_tokens: int
     side: int  # the pairs lie in side x side buckets
-    pair_files: dict[int, tuple[str, str, str]] = field(default_factory=dict)
+    pair_files: dict[int, tuple[str, str]] = field(default_factory=dict)  # keys and counts
     context_files: dict[int, str] = field(default_factory=dict)
     left_files: dict[int, str] = field(default_factory=dict)
     n_pairs: int = 0
@@ -86,6 +86,11 @@ class Model:
             self._open[file] = map_array(self.folder, file, dtype)
         return self._open[file]
 
+    def _narrow(self, file: str) -> NarrowArray:
+        if file not in self._open:
+            self._open[file] = NarrowArray(self.folder, file)
+        return self._open[file]
+
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of every token; -1 and 0 for unknown ones."""
         distinct, inverse = np.unique(hashes, return_inverse=True)
@@ -127,7 +132,7 @@ class Model:
             stored = self._map(files[0], "<u8")
             at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
             there = stored[at] == keys[own]
-            count[own] = np.where(there, self._map(files[1], files[2])[at], 0)
+            count[own] = np.where(there, self._narrow(files[1])[at], 0)
             place[own] = np.where(there, self.pair_starts.get(int(bucket[order[a]]), 0) + at, -1)
         out, number = np.zeros(len(first), np.int64), np.full(len(first), -1)
         out[known], number[known] = count[inverse], place[inverse]
@@ -151,8 +156,8 @@ class Model:
         for p in np.unique(part[part >= 0]):
             if int(p) in files:
                 own = np.flatnonzero(part == p)
-                stored = self._map(files[int(p)], "<u4").reshape(-1, width)
-                rows[own] = stored[distinct[own] - self.part_start(int(p))]
+                at = (distinct[own] - self.part_start(int(p))) * width
+                rows[own] = self._narrow(files[int(p)])[at[:, None] + np.arange(width)]
         out[:] = rows[inverse]
         return out
 
@@ -275,7 +280,6 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
 
     def merge(bucket: int, blocks: list[bytes]) -> dict[str, list]:
         keys, counts = hash_arrays.sum_by_key(*(np.concatenate(x) for x in zip(*map(hash_arrays.read_counts, blocks))))
-        dtype = "<u2" if counts.max() < 1 << 16 else "<u8"
         first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
         context = [np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
@@ -285,8 +289,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
             "kind": ["pair", "context", "left"],
             "part": pa.array([bucket, bucket // model.side, bucket % model.side], pa.int32()),
             "keys": [write_array(model.folder, "pairs", keys), None, None],
-            "counts": [write_array(model.folder, "pair-counts", counts.astype(dtype)), None, None],
-            "dtype": [dtype, None, None],
+            "counts": [write_narrow(model.folder, "pair-counts", counts), None, None],
             "block": pa.array([None, context_block, pack_sorted(follower) + pack_planes(lefts)], pa.binary()),
             "sizes": [[int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)], [], []],
         }
@@ -294,7 +297,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
     blocks = docs.select("text").mapInArrow(count, hash_arrays.BLOCK_SCHEMA)
     return cut_lineage(
         hash_arrays.merge_buckets(
-            blocks, merge, "kind string, part int, keys string, counts string, dtype string, block binary, sizes array<bigint>"
+            blocks, merge, "kind string, part int, keys string, counts string, block binary, sizes array<bigint>"
         )
     )
 
@@ -304,15 +307,15 @@ def _dense(counted: DataFrame, model: Model, kind: str, width: int) -> list:
 
     def merge(part: int, blocks: list[bytes]) -> dict[str, list]:
         start, end = model.part_start(part), model.part_start(part + 1)
-        dense = np.zeros((end - start, width), np.uint32)
+        dense = np.zeros((end - start, width), np.uint64)
         for block in blocks:
             keys, at = unpack_sorted(block)
             for k in range(width):
                 values, at = unpack_planes(block, at)
-                dense[(keys - np.uint64(start)).astype(np.int64), k] += values.astype(np.uint32)
+                dense[(keys - np.uint64(start)).astype(np.int64), k] += values
         one = dense[:, 0]
         return {
-            "part": pa.array([part], pa.int32()), "file": [write_array(model.folder, kind, dense)],
+            "part": pa.array([part], pa.int32()), "file": [write_narrow(model.folder, kind, dense.ravel())],
             "sizes": [[int((one == k).sum()) for k in (1, 2, 3, 4)] + [int((one >= 3).sum())]],
         }
 
@@ -324,9 +327,9 @@ def _with_pairs(docs: DataFrame, model: Model, contexts: bool = True) -> None:
     """Count and set the pairs of ``model``, and its contexts if asked for."""
     counted = _count_pairs(docs, model)
     # one row per bucket
-    buckets = counted.where("kind = 'pair'").select("part", "keys", "counts", "dtype", "sizes").collect()
+    buckets = counted.where("kind = 'pair'").select("part", "keys", "counts", "sizes").collect()
     buckets.sort(key=lambda r: r.part)
-    model.pair_files = {r.part: (r.keys, r.counts, r.dtype) for r in buckets}
+    model.pair_files = {r.part: (r.keys, r.counts) for r in buckets}
     for r in buckets:
         model.pair_starts[r.part] = model.n_pairs
         model.n_pairs += r.sizes[4]
@@ -346,9 +349,8 @@ def _follow(spark: SparkSession, model: Model) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, file in zip(*(c.to_pylist() for c in batch.columns)):
-                left = np.asarray(map_array(model.folder, file, "<u4")).astype(np.uint64)
-                lo = model.part_start(part)
-                left = left[: max(0, low.n_pairs - lo)]  # the start of a text has a number too
+                lo, stored = model.part_start(part), NarrowArray(model.folder, file)
+                left = stored[np.arange(min(len(stored), max(0, low.n_pairs - lo)))].astype(np.uint64)  # the start of a text has a number too
                 first = low.first_words(lo, lo + len(left))
                 order = np.argsort(first, kind="stable")
                 first, left = first[order], left[order]

@@ -136,6 +136,19 @@ def exact_neighbours(ids, vectors, queries, k):
     return found
 
 
+def test_counts_take_a_byte(tmp_path):
+    """Arrays of mostly small numbers, whatever the others' size, in one byte each."""
+    values = np.random.default_rng(1).integers(0, 9, 10_003).astype(np.uint64)
+    values[[0, 77, 4_000, 10_002]] = [255, (1 << 40) + 3, 256, 254]
+    stored = hash_arrays.NarrowArray(str(tmp_path), hash_arrays.write_narrow(str(tmp_path), "counts", values))
+    at = np.random.default_rng(2).permutation(np.arange(len(values)))
+    assert len(stored) == len(values) and (stored[at] == values[at]).all()
+    assert (stored[np.array([[0, 1], [77, 4_000]])] == values[[[0, 1], [77, 4_000]]]).all()
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 1.05 * len(values)
+    empty = hash_arrays.NarrowArray(str(tmp_path), hash_arrays.write_narrow(str(tmp_path), "none", values[:0]))
+    assert len(empty) == 0 and len(empty[np.empty(0, np.int64)]) == 0
+
+
 def test_recall_of_the_search(spark):
     rng = np.random.default_rng(8)
     n = 3000
