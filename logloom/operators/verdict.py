@@ -47,18 +47,19 @@ def scan_lines(
     line = F.col("line")
     # every status word ends in "ED": a cheap look before the patterns run
     maybe_test = F.upper(F.substring(F.rtrim(line, F.lit(SPACES)), -2, 2)) == "ED"
-    header, field, error = line.rlike(SUMMARY_HEADER), line.rlike(SUMMARY_FIELD), line.rlike(ERROR_LINE)
+    header = F.lower(line).contains("summary") & line.rlike(SUMMARY_HEADER)
+    field, error = line.rlike(SUMMARY_FIELD), line.rlike(ERROR_LINE)
     kept = lines.where((F.col("line_no") == 0) | maybe_test | header | field | error)
     names = [F.regexp_extract(line, "(?i)" + GRAMMARS[g], 1) for g in grammars]
     name = F.when(maybe_test, F.coalesce(*[F.nullif(n, F.lit("")) for n in names]))
-    words = F.regexp_replace(F.regexp_extract(line, SUMMARY_FIELD, 1), r"\s+", " ")
+    words = F.when(field, F.regexp_replace(F.regexp_extract(line, SUMMARY_FIELD, 1), r"\s+", " "))
     return kept.select(
         "run_id",
         "line_no",
         name.alias("test_name"),
-        F.upper(F.regexp_extract(line, r"(?i)(passed|failed|skipped)\s*$", 1)).alias("status"),
+        F.when(maybe_test, F.upper(F.regexp_extract(line, r"(?i)(passed|failed|skipped)\s*$", 1))).alias("status"),
         F.when(header, F.lit(HEADER)).otherwise(F.nullif(F.lower(words), F.lit(""))).alias("field"),
-        F.regexp_extract(line, SUMMARY_FIELD, 2).try_cast("double").alias("value"),
+        F.when(field, F.regexp_extract(line, SUMMARY_FIELD, 2).try_cast("double")).alias("value"),
         F.when(error, line).alias("error"),
     )
 
@@ -141,7 +142,7 @@ def stamp_seconds(line: Column) -> Column:
 
 def run_times(lines: DataFrame) -> DataFrame:
     """Seconds between the first and the last time stamp of each run."""
-    seconds = stamp_seconds(F.col("line"))
+    seconds = F.when(F.col("line").contains("["), stamp_seconds(F.col("line")))
     return lines.groupBy("run_id").agg((F.max(seconds) - F.min(seconds)).alias("elapsed_seconds"))
 
 

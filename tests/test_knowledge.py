@@ -239,3 +239,16 @@ def test_partitioning_stores_the_templates_once(spark, monkeypatch):
     assert all("tokens" not in columns for columns, _ in stored) and max(n for _, n in stored) == len(rows)
     monkeypatch.setattr(tp, "SPLITS", 0)
     assert {r.template: r.part for r in tp.partition_members(templates).collect()} == members
+
+
+def test_lines_without_anything_to_mask_are_looked_at_once(spark):
+    lines = ["plain words", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "at 10.0.0.1:80", 'say "x y"', "in /var/log/x", "0xFF", "2024-01-02 03:04:05", "", None, "1_2"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    unguarded = F.col("line")
+    for kind, pattern in tp.MASKS:
+        unguarded = F.regexp_replace(unguarded, pattern, f"<{kind}>")
+    own = [("WORD", "plain")]
+    found = rows.select(tp.mask(F.col("line")), unguarded, tp.mask(F.col("line"), [*own, *tp.MASKS]), tp.mask(F.col("line"), own)).collect()
+    assert all(r[0] == r[1] for r in found)
+    assert [found[0][2], found[0][3], found[2][3]] == ["<WORD> words", "<WORD> words", "at 10.0.0.1:80"]
+    assert "CASE WHEN" in str(tp.mask(F.col("line")))

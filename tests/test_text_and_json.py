@@ -115,3 +115,10 @@ def test_list_check_raw_and_reply(spark):
     ]
     assert column(spark, replies, js.reply_status) == ["passed", "failed", "failed", "failed", "failed"]
     assert column(spark, replies, js.reply_failed_tests) == [None, ["t"], None, None, None]
+
+
+def test_lines_end_in_one_kind_before_the_split(spark):
+    texts = ["a\r\r\nb\n\rc\r\n", "", "\r", "one", None, "x\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.lines_of(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["a", "", "b", "", "c", ""], [""], ["", ""], ["one"], None, ["x", "", ""]]
+    assert "|" not in str(tx.lines_of(F.col("t")))  # alternatives are tried at every character

@@ -201,3 +201,14 @@ def test_embedding_calls_are_bounded_and_fail_alone(spark, tmp_path):
         mean = np.mean([[len(c), c.count("x")] for c in chunks], axis=0) if chunks else [0, 0]
         assert r.embedding == pytest.approx(list(mean))
     assert max(int(n) for n in open(log)) == 4
+
+
+def test_common_words_are_hashed_once(monkeypatch):
+    hashed, md5 = [], em.hashlib.md5
+    monkeypatch.setattr(em, "CACHED_WORDS", 8)
+    monkeypatch.setattr(em.hashlib, "md5", lambda x: hashed.append(x) or md5(x))
+    embed = em.hashing_embedder(16)()
+    for i in range(60):
+        embed([f"Common_a{i} b{i}", f"common c{i} É² \U00010400x 日本", ""])
+    assert hashed.count(b"common") == 1
+    assert {"é²".encode(), "\U00010428x".encode(), "日本".encode(), b"a7", b"c59"} <= set(hashed)
