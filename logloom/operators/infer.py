@@ -52,9 +52,8 @@ def batch_infer(
 
     names, n_given = [*given.columns, "response", "error", "attempts"], len(given.columns)
 
-    def call(model, batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        prompts = batch[prompt].to_pylist()
-        replies, message = None, None
+    def call(model, prompts: list[str]) -> tuple[list, str | None, int]:
+        message = None
         for attempt in range(1, max_attempts + 1):
             try:
                 found = list(model(prompts))
@@ -62,21 +61,26 @@ def batch_infer(
                     raise ValueError(f"{len(found)} replies for {len(prompts)} prompts")
                 if accept is not None and not all(map(accept, found)):
                     raise ValueError("a reply is not as asked for")
-                replies = pa.array(found, pa.string())
-                break
+                return pa.array(found, pa.string()).to_pylist(), None, attempt
             except Exception as error:
                 message = str(error)
                 if attempt < max_attempts:
                     sleep(first_wait * 2 ** (attempt - 1))
-        n = len(prompts)
-        added = [
-            pa.nulls(n, pa.string()) if replies is None else replies,
-            pa.array([message if replies is None else None] * n, pa.string()),
-            pa.array([attempt] * n, pa.int32()),
-        ]
-        whole = batch.combine_chunks()
+        return [None] * len(prompts), message, attempt
+
+    def answered(model, table: pa.Table, cuts: list[tuple[int, int]]) -> pa.RecordBatch:
+        """The rows of whole batches of the model as one Arrow batch."""
+        whole = table.slice(0, cuts[-1][1]).combine_chunks()
+        prompts = whole[prompt].to_pylist()
+        replies, messages, attempts = [], [], []
+        for start, end in cuts:
+            found, message, attempt = call(model, prompts[start:end])
+            replies += found
+            messages += [message] * (end - start)
+            attempts += [attempt] * (end - start)
         columns = [whole.column(i).chunk(0) for i in range(n_given)]
-        yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
+        added = [pa.array(replies, pa.string()), pa.array(messages, pa.string()), pa.array(attempts, pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
@@ -88,11 +92,11 @@ def batch_infer(
             rest = table if rest is None else pa.concat_tables([rest, table])
             cuts = _cuts(rest, batch_size, [] if batch_key is None else [batch_key, PART])
             # the last one may go on in the next batch
-            for start, end in cuts[:-1]:
-                yield from call(model, rest.slice(start, end - start))
+            if len(cuts) > 1:
+                yield answered(model, rest, cuts[:-1])
             rest = rest.slice(cuts[-1][0])
         if rest is not None:
-            yield from call(model, rest)
+            yield answered(model, rest, [(0, rest.num_rows)])
 
     return rows.mapInArrow(run, schema)
 

@@ -299,3 +299,15 @@ def test_reports_of_the_same_log_do_not_grow(spark, tmp_path):
         tables.append_vectors(done.outcomes, store + "/v")
         sizes.append((len(report), sum(len(t.analysis) for t in tips)))
     assert sizes[2][1] == sizes[3][1] == sizes[0][1] and sizes[3][0] == sizes[2][0]
+
+
+def test_replies_leave_a_task_in_large_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    kept = []
+    rows = spark.range(10).selectExpr("id", "CAST(id AS STRING) AS prompt")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: kept.append(run))
+    infer.batch_infer(rows, "prompt", lambda: lambda prompts: [p * 2 for p in prompts], first_wait=0.0)
+    batch = pa.table({"id": list(range(100)), "prompt": [str(i) for i in range(100)]}).to_batches()[0]
+    made = list(kept[0](iter([batch, batch])))
+    assert len(made) <= 3 and [x for b in made for x in b.column(2).to_pylist()] == [str(i) * 2 for i in range(100)] * 2
