@@ -27,7 +27,7 @@ EPOCHS = 6
 STEP = 0.15
 UNDETERMINED = "und"
 #: words whose probabilities are computed together
-WORDS_AT_ONCE = 1_500_000
+WORDS_AT_ONCE = 250_000
 
 
 def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
