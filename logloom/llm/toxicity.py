@@ -60,6 +60,32 @@ def _places(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return kept, at[kept]
 
 
+def _known_terms(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Per slice: (first text, text of every term that is among ``terms``, its place there, number of texts).
+
+    What ``_terms`` and ``_places`` give in another order; a word that stands in a slice many times is cut and looked up once.
+    """
+    for lo, data, start, end, first in words.parts(column, words.ALPHANUMERIC):
+        total = words.running_hash(data)
+        distinct, index, inverse = np.unique(words.span_hashes(total, start, end), return_index=True, return_inverse=True)
+        start, end = start[index], end[index]
+        place = np.full((1 + len(PREFIXES), len(distinct)), -1, np.int64)
+        kept, at = _places(terms, distinct)
+        place[0, kept] = at
+        for i, n in enumerate(PREFIXES, 1):
+            long = np.flatnonzero(end - start > n)
+            kept, at = _places(terms, words.mix(words.span_hashes(total, start[long], start[long] + n) + np.uint64(n)))
+            place[i, long[kept]] = at
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        owners, found = [], []
+        for row in place:
+            at = row[inverse]
+            kept = at >= 0
+            owners.append(doc[kept])
+            found.append(at[kept])
+        yield lo, np.concatenate(owners), np.concatenate(found), len(first) - 1
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all numbers of the ranges one after the other, the range of each)."""
     size = end - start
@@ -143,11 +169,10 @@ class Examples:
 
     def vectors(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
         """Per slice the unit vectors of its texts as (terms, weights)."""
-        for lo, owner, hashes, n_words in _terms(column):
-            kept, at = _places(self.terms, hashes)
-            cell, count = np.unique(owner[kept] * len(self.terms) + at, return_counts=True)
+        for lo, owner, at, n_texts in _known_terms(column, self.terms):
+            cell, count = np.unique(owner * len(self.terms) + at, return_counts=True)
             doc, term = np.divmod(cell, max(1, len(self.terms)))
-            yield lo, _unit_vectors(doc, term, count, self.weight, len(n_words))
+            yield lo, _unit_vectors(doc, term, count, self.weight, n_texts)
 
     def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the frequent terms of some texts add to the cosine with every example."""
@@ -240,9 +265,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         total, rows = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, owner, hashes, _ in _terms(batch.column(0)):
-                kept, at = _places(wanted, hashes)
-                total += np.bincount(np.unique(owner[kept] * len(wanted) + at) % max(1, len(wanted)), minlength=len(wanted))
+            for _, owner, at, _ in _known_terms(batch.column(0), wanted):
+                total += np.bincount(np.unique(owner * len(wanted) + at) % max(1, len(wanted)), minlength=len(wanted))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], rows))], names=["term", "n"]

@@ -193,3 +193,20 @@ def test_expected_pairs_are_those_of_all_labelings():
                 counts[x, y] += weight
         expected += counts / total
     assert field.pairs(scores, rows) == pytest.approx(expected, rel=1e-4)
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """Known terms by distinct words: the same as by all of them, with one look-up for each distinct word and prefix."""
+    rng = np.random.default_rng(4)
+    some = ["alpha", "Bravissimo", "congratulations", "d2", "\u00e9t\u00e9s", "intermittently", "zz"]
+    column = pa.array([" ".join(rng.choice(some, 200)) for _ in range(30)] + [None, "", "!?"], pa.string())
+    terms = np.unique(np.concatenate([h for _, _, h, _ in toxicity._terms(column)]))[::2]
+    (_, owner, hashes, _), = toxicity._terms(column)
+    kept, at = toxicity._places(terms, hashes)
+    asked, places = [], toxicity._places
+    monkeypatch.setattr(toxicity, "_places", lambda t, h: asked.append(len(h)) or places(t, h))
+    (lo, owners, found, n), = toxicity._known_terms(column, terms)
+    assert (lo, n) == (0, 33)
+    assert (np.sort(owners * len(terms) + found) == np.sort(owner[kept] * len(terms) + at)).all()
+    assert sum(asked) <= 6 * len(some)
+    assert not len(next(toxicity._known_terms(column, terms[:0]))[1])
