@@ -11,6 +11,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from logloom.llm import worker_memory
 
@@ -19,8 +21,10 @@ CACHE_WORDS = 550_000
 FIRST = "\0"
 #: marks that never join with a letter before them (an apostrophe may)
 PUNCTUATION = ".,;:!?#$%&*|)]}>\"/+=@^~-_"
-_SPACE = re.compile(r"\s")
 _IRREGULAR = re.compile(r"^\s|\s\s|\s$")
+#: the same for Arrow, whose own \s is ASCII only
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ARROW_IRREGULAR = f"^{_BLANK}|{_BLANK}{{2}}|{_BLANK}$|^$|\\x00"
 
 
 class WordTokenizer:
@@ -70,9 +74,13 @@ class WordTokenizer:
 
     def _normal(self, piece: str) -> str | None:
         """The normalized piece for a tokenizer that lower-cases; None if it must be encoded as it stands."""
+        if piece.isascii():
+            low = piece.lower()
+            low = low[1:] if low[:1] in (FIRST, "\n") else low
+            return None if FIRST in low or low.split() != [low] else low
         found = unicodedata.normalize("NFC", piece[1:] if piece[:1] in (FIRST, "\n") else piece)
         low = found.lower()
-        odd = not low or FIRST in low or "\u03a3" in found or _SPACE.search(low) or not unicodedata.is_normalized("NFC", low)
+        odd = FIRST in low or "\u03a3" in found or low.split() != [low] or not unicodedata.is_normalized("NFC", low)
         return None if odd else low
 
     def _encode_joined(self, pieces: list[str]) -> None:
@@ -86,45 +94,79 @@ class WordTokenizer:
         self._new.update(zip(pieces, found))
 
     def _encode_new(self, pieces: list[str]) -> None:
-        parts: dict[str, tuple[str, ...]] = {}
-        for piece in pieces:
-            key = self._normal(piece) if self._lower else piece
-            if key is None or any(m in piece for m in self._marks):
+        mark = any(m in "\n".join(pieces) for m in self._marks)
+        keys = [self._normal(p) for p in pieces] if self._lower else pieces
+        whole, composed = {}, []
+        for piece, key in zip(pieces, keys):
+            if key is None or (mark and any(m in piece for m in self._marks)):
                 ids = self._plain.encode(self._whole(piece), add_special_tokens=False).ids
                 self._new[piece] = np.array(ids, "<u4").tobytes()
                 continue
-            stem = key.rstrip(PUNCTUATION)
-            if stem and stem is not key and stem[-1].isalpha() and len(stem) < len(key):
-                tail = key[len(stem) :]
-                parts[piece] = (stem, tail if self._lower else FIRST + tail)
-            else:
-                parts[piece] = (key,)
-        wanted = {x for p in parts.values() for x in p}
-        wanted -= self._new.keys()
-        kept = wanted & self._old.keys()
-        self._new.update({p: self._old[p] for p in kept})
-        self._encode_joined(list(wanted - kept))
-        for piece, of in parts.items():
-            if of != (piece,):
-                self._new[piece] = b"".join([self._new[x] for x in of])
+            if key[-1:] in PUNCTUATION:
+                stem = key.rstrip(PUNCTUATION)
+                if stem and stem[-1].isalpha() and len(stem) < len(key):
+                    tail = key[len(stem) :]
+                    composed.append((piece, stem, tail if self._lower else FIRST + tail))
+                    continue
+            whole[piece] = key
+        wanted = set(whole.values()).union(*[x[1:] for x in composed])
+        self._encode_joined(self._unknown(wanted))
+        if self._lower:
+            self._new.update({p: self._new[key] for p, key in whole.items()})
+        self._new.update({piece: self._new[stem] + self._new[tail] for piece, stem, tail in composed})
 
     def limit(self, cache_words: int) -> None:
         self._limit = cache_words
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        missing = set().union(*cut)
-        missing -= self._new.keys()
-        if len(self._new) + len(missing) > self._limit:
+    def _unknown(self, wanted: set[str]) -> list[str]:
+        """Those that no generation of the cache holds; those in the old one move to the new one."""
+        missing = wanted.difference(self._new)  # walks through ``wanted``; a view of the keys would be walked through instead
+        get = self._old.get
+        unknown = []
+        for piece in missing:
+            ids = get(piece)
+            if ids is None:
+                unknown.append(piece)
+            else:
+                self._new[piece] = ids
+        return unknown
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Have the ids of all these pieces at hand."""
+        if len(self._new) + len(wanted.difference(self._new)) > self._limit:
             self._old, self._new = self._new, {}
-            missing = set().union(*cut)
-        kept = missing & self._old.keys()
-        self._new.update({p: self._old[p] for p in kept})
-        new = list(missing - kept)
+        new = self._unknown(wanted)
         for i in range(0, len(new), 20_000):
             self._encode_new(new[i : i + 20_000])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        irregular = pc.match_substring_regex(column, _ARROW_IRREGULAR)
+        cut = {i: self.pieces(texts[i]) for i in np.flatnonzero(irregular.to_numpy(zero_copy_only=False)).tolist()}
+        regular = [i for i in range(len(texts)) if i not in cut]
+        # what ``pieces`` gives for regular texts, cut and numbered by Arrow: Python sees each distinct piece of the group once
+        marked = pa.array([FIRST + texts[i] for i in regular], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        self._learn(set(distinct).union(*cut.values()))
         get = self._new.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = [b""] * len(texts)
+        for i, pieces in cut.items():
+            out[i] = b"".join(map(get, pieces))
+        if regular:
+            found = list(map(get, distinct))
+            ids = np.frombuffer(b"".join(found), "<u4")
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            piece = numbered.indices.to_numpy()
+            n = size[piece]
+            end = np.cumsum(n)
+            first = (np.cumsum(size) - size)[piece]
+            data = ids[np.arange(end[-1]) + np.repeat(first - (end - n), n)].tobytes()
+            at = (4 * np.append(0, end)[split.offsets.to_numpy()]).tolist()
+            for i, a, b in zip(regular, at[:-1], at[1:]):
+                out[i] = data[a:b]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

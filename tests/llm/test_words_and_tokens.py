@@ -61,6 +61,20 @@ def test_cached_pieces_give_the_tokenizers_ids(path):
             assert np.frombuffer(data, "<u4").tolist() == e.ids
 
 
+def test_python_sees_each_distinct_piece_of_a_group_once(monkeypatch):
+    plain = Tokenizer.from_file(BYTE_BPE)
+    plain.encode_special_tokens = True
+    texts = ["the cat, the\u00a0dog.\nThe end " + "the cat " * 500 + "ends", "the cat", "caf\u00e9\x1cbar the.\nx"]
+    cached = WordTokenizer(BYTE_BPE)
+
+    def whole_text(text):
+        raise AssertionError("a text without unusual white space was cut piece by piece")
+
+    monkeypatch.setattr(WordTokenizer, "pieces", staticmethod(whole_text))
+    for data, e in zip(cached.encode(texts), plain.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(data, "<u4").tolist() == e.ids
+
+
 def test_fullest_is_the_fullest():
     rng = random.Random(3)
     for _ in range(200):
