@@ -36,6 +36,9 @@ EQUAL = 1e-6  # cosines this near are a tie
 LONG_LIST = 16  # a term that stands in more than one of so many examples is frequent
 ROWS = 4096  # most frequent terms held as rows; the others keep lists, whatever their length
 TEXTS = 64  # scored together
+PILOTS = 16  # texts of a slice that look at the bounds of blocks in any case
+MOST_CELLS = 0.5  # visited by these: the others go through whole lists, without bounds
+TERM_BYTES = 500_000  # of text whose terms are looked up together
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,7 +68,7 @@ def _known_terms(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.
 
     What ``_terms`` and ``_places`` give in another order; a word that stands in a slice many times is cut and looked up once.
     """
-    for lo, data, start, end, first in words.parts(column, words.ALPHANUMERIC):
+    for lo, data, start, end, first in words.parts(column, words.ALPHANUMERIC, TERM_BYTES):
         total = words.running_hash(data)
         distinct, index, inverse = np.unique(words.span_hashes(total, start, end), return_index=True, return_inverse=True)
         start, end = start[index], end[index]
@@ -86,6 +89,20 @@ def _known_terms(column: pa.Array, terms: np.ndarray) -> Iterator[tuple[int, np.
         yield lo, np.concatenate(owners), np.concatenate(found), len(first) - 1
 
 
+def _cells(owner: np.ndarray, at: np.ndarray, n_terms: int, n_texts: int) -> np.ndarray:
+    """One number for each text and term, sorted; narrow ones sort faster."""
+    cell = owner * n_terms + at
+    if n_texts * n_terms < 1 << 31:
+        cell = cell.astype(np.int32)
+    cell.sort()
+    return cell
+
+
+def _firsts(cell: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all numbers of the ranges one after the other, the range of each)."""
     size = end - start
@@ -170,8 +187,10 @@ class Examples:
     def vectors(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
         """Per slice the unit vectors of its texts as (terms, weights)."""
         for lo, owner, at, n_texts in _known_terms(column, self.terms):
-            cell, count = np.unique(owner * len(self.terms) + at, return_counts=True)
-            doc, term = np.divmod(cell, max(1, len(self.terms)))
+            cell = _cells(owner, at, len(self.terms), n_texts)
+            first = _firsts(cell)
+            doc, term = np.divmod(cell[first], max(1, len(self.terms)))
+            count = np.diff(first, append=len(cell))
             yield lo, _unit_vectors(doc, term, count, self.weight, n_texts)
 
     def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -189,11 +208,20 @@ class Examples:
         places, cosines = self.with_ties(terms, weights, k)
         return places[:k], cosines[:k]
 
-    def with_ties(self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and all others that tie with the k-th; ``known`` is the text's row of ``frequent``."""
+    def with_ties(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray | None = None, shares: list[float] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and all others that tie with the k-th; ``known`` is the text's row of ``frequent``.
+
+        ``shares`` collects the shares of cells that the first texts visit. Where bounds leave few out, later texts
+        go through whole lists instead; the sums are the same.
+        """
         cosine = (self.frequent([(terms, weights)])[0] if known is None else known).astype(np.float32)
         if not len(cosine):
             return np.empty(0, np.int64), cosine
+        if shares is not None and len(shares) >= PILOTS and sum(shares) > MOST_CELLS * len(shares):
+            cosine += self._whole_lists(terms, weights)
+            return self._best(np.arange(len(cosine)), cosine, k)
         cells, own = _ranges(self.term_first[terms], self.term_first[terms + 1])
         block, weight = self.cell_block[cells], weights[own]
         # a block's best frequent part and the largest weights of its other terms bound its cosines
@@ -208,6 +236,12 @@ class Examples:
         if more.any():
             cosine += self._cosines(cells, weight, more[block])
             held = np.flatnonzero(np.repeat(first | more, BLOCK)[: len(self.ids)])
+        if shares is not None and len(shares) < PILOTS:
+            shares.append(float((first | more)[block].mean()) if len(block) else 0.0)
+        return self._best(held, cosine, k)
+
+    def _best(self, held: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of some places and their ties, nearest first."""
         if len(held) > k:
             kth = np.partition(cosine[held], len(held) - k)[len(held) - k]
             held = held[cosine[held] >= kth - EQUAL]
@@ -217,10 +251,11 @@ class Examples:
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[float, np.ndarray]]:
         """(vote, places of the nearest and their ties) of each text."""
+        shares: list[float] = []
         for lo in range(0, len(vectors), TEXTS):
             some = vectors[lo : lo + TEXTS]
             for (terms, weights), known in zip(some, self.frequent(some)):
-                places, cosines = self.with_ties(terms, weights, k, known)
+                places, cosines = self.with_ties(terms, weights, k, known, shares)
                 yield self.vote(places, cosines, k), places
 
     def _cosines(self, cells: np.ndarray, weight: np.ndarray, visited: np.ndarray) -> np.ndarray:
@@ -229,6 +264,16 @@ class Examples:
         posts, own = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
         return np.bincount(self.post_place[posts], weights=weight[own] * self.post_weight[posts], minlength=len(self.ids)).astype(np.float32)
 
+    def _whole_lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of products over all postings of the terms, per place."""
+        start, end = self.cell_first[self.term_first[terms]], self.cell_first[self.term_first[terms + 1]]
+        held = np.flatnonzero(end > start)
+        size, end = (end - start)[held], np.cumsum((end - start)[held])
+        posts = np.arange(end[-1] if len(end) else 0) + np.repeat(start[held] - (end - size), size)
+        weight = np.repeat(weights[held], size)
+        weight *= self.post_weight[posts]
+        return np.bincount(self.post_place[posts], weights=weight, minlength=len(self.ids)).astype(np.float32)
+
     def vote(self, places: np.ndarray, cosines: np.ndarray, k: int) -> float:
         """Share of the toxic label among the k nearest, weighted by nearness and by what each example stands for.
 
@@ -261,12 +306,14 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     shipped = docs.sparkSession.sparkContext.broadcast(terms)  # terms of a bounded number of examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.only()
         wanted = shipped.value
         total, rows = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, owner, at, _ in _known_terms(batch.column(0), wanted):
-                total += np.bincount(np.unique(owner * len(wanted) + at) % max(1, len(wanted)), minlength=len(wanted))
+            for _, owner, at, n_texts in _known_terms(batch.column(0), wanted):
+                cell = _cells(owner, at, len(wanted), n_texts)
+                total += np.bincount(cell[_firsts(cell)] % max(1, len(wanted)), minlength=len(wanted))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], rows))], names=["term", "n"]

@@ -115,10 +115,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return span_hashes(running_hash(data), start, end)
 
 
-def parts(column: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def parts(column: pa.Array, kind: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of whole texts: (index of the first text, bytes, word starts, word ends, first word per text and one more)."""
     data, offsets = text_bytes(column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, limit):
         part = data[offsets[lo] : offsets[hi]]
         yield lo, part, *spans(part, offsets[lo : hi + 1] - offsets[lo], kind)
 

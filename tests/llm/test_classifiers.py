@@ -210,3 +210,21 @@ def test_words_are_looked_up_once(monkeypatch):
     assert (np.sort(owners * len(terms) + found) == np.sort(owner[kept] * len(terms) + at)).all()
     assert sum(asked) <= 6 * len(some)
     assert not len(next(toxicity._known_terms(column, terms[:0]))[1])
+
+
+def test_texts_that_bounds_do_not_help_go_through_whole_lists(monkeypatch):
+    """The votes are those of the visits by bounds, bit for bit; only the first texts look at bounds."""
+    rng = np.random.default_rng(8)
+    known = [f"word{i}" for i in range(900)]
+    rows = [Row(doc_id=i, text=" ".join(rng.choice(known, 40)), label=int(i % 3 == 0)) for i in range(700)]
+    terms = toxicity.example_terms(rows)
+    model = toxicity.fit(rows, {0: 2000, 1: 1000}, terms, np.full(len(terms), 5), 3000)
+    asked = pa.array([" ".join(rng.choice(known, 30)) for _ in range(120)] + ["", "never heard"])
+    (_, vectors), = model.vectors(asked)
+    expected = [model.with_ties(t, w, 15) for t, w in vectors]
+    visits, cosines = [], toxicity.Examples._cosines
+    monkeypatch.setattr(toxicity.Examples, "_cosines", lambda *x: visits.append(1) or cosines(*x))
+    found = list(model.votes(vectors, 15))
+    assert [v for v, _ in found] == [model.vote(p, c, 15) for p, c in expected]
+    assert all((a == b).all() for (_, a), (b, _) in zip(found, expected))
+    assert len(visits) <= 2 * toxicity.PILOTS
