@@ -301,23 +301,28 @@ def example_terms(rows: list) -> np.ndarray:
     return found
 
 
+def _counted(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> pa.RecordBatch:
+    """(term, rows that hold it) and (-1, rows) of one task, which first gives back what earlier stages have cached."""
+    worker_memory.only()
+    total, rows = np.zeros(len(wanted), np.int64), 0
+    for batch in batches:
+        rows += batch.num_rows
+        for _, owner, at, n_texts in _known_terms(batch.column(0), wanted):
+            cell = _cells(owner, at, len(wanted), n_texts)
+            total += np.bincount(cell[_firsts(cell)] % max(1, len(wanted)), minlength=len(wanted))
+    worker_memory.only()
+    found = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], rows))], names=["term", "n"]
+    )
+
+
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """(rows of ``docs`` that hold each of the sorted terms, number of rows)."""
     shipped = docs.sparkSession.sparkContext.broadcast(terms)  # terms of a bounded number of examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory.only()
-        wanted = shipped.value
-        total, rows = np.zeros(len(wanted), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, owner, at, n_texts in _known_terms(batch.column(0), wanted):
-                cell = _cells(owner, at, len(wanted), n_texts)
-                total += np.bincount(cell[_firsts(cell)] % max(1, len(wanted)), minlength=len(wanted))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], rows))], names=["term", "n"]
-        )
+        yield _counted(batches, shipped.value)
 
     counts = docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     own = counts[counts.term >= 0]

@@ -8,6 +8,8 @@ import ctypes.util
 from collections.abc import Callable
 from functools import cache
 
+import pyarrow as pa
+
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -27,6 +29,7 @@ def only(name: str = "") -> None:
     """Free all caches but ``name``, and what earlier tasks have left; called where a task begins."""
     for other in [n for n in _caches if n != name]:
         _caches.pop(other)()
+    pa.default_memory_pool().release_unused()
     trim = _trimmer()
     if trim:
         trim(0)
