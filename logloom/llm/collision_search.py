@@ -10,6 +10,7 @@ the same length.
 """
 
 import uuid
+from functools import cached_property
 from math import erf, sqrt
 
 import numpy as np
@@ -102,7 +103,16 @@ class _Block:
         unique, self.ids, self.first, radius, projected, ranked = (map_array(folder, f, k) for f, k in zip(files, kinds))
         n = len(self.first) - 1
         self.unique, self.radius = unique.reshape(n, -1), float(radius[0])
-        self.projected, self.ranked = projected.reshape(PROJECTIONS, n), ranked.reshape(PROJECTIONS, n).astype(np.intp)
+        self.projected, self.ranked = projected.reshape(PROJECTIONS, n), ranked.reshape(PROJECTIONS, n)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Per projection the place of every vector among the sorted values, in unsigned integers as short as the block allows."""
+        n = self.ranked.shape[1]
+        place = np.empty(self.ranked.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        for row, ranked in zip(place, self.ranked):
+            row[ranked] = np.arange(n, dtype=place.dtype)
+        return place
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per query the ids and inner products of its k nearest in this block, other than itself."""
@@ -128,7 +138,6 @@ class _Block:
         for n_done, q in enumerate(np.argsort(query_ids, kind="stable")):
             if n_done == PILOTS:
                 start = min(needed)
-            counts = np.zeros(n, np.int64)
             verified = np.zeros(n, bool)
             at, score = np.empty(0, np.int64), np.empty(0)
             products = None
@@ -136,12 +145,7 @@ class _Block:
                 if j == len(widths):
                     new = np.flatnonzero(~verified)
                 else:
-                    if j > start:
-                        counts += self._collisions(low[j, q], low[j - 1, q]) + self._collisions(high[j - 1, q], high[j, q])
-                    elif (high[j, q] - low[j, q]).sum() * 2 <= n * PROJECTIONS:
-                        counts += self._collisions(low[j, q], high[j, q])
-                    else:  # less lies outside of the windows than inside
-                        counts += PROJECTIONS - self._collisions(np.zeros_like(low[j, q]), low[j, q]) - self._collisions(high[j, q], np.full_like(low[j, q], n))
+                    counts = self._collisions(low[j, q], high[j, q])
                     new = np.flatnonzero((counts >= least) & ~verified)
                 verified[new] = True
                 if products is None and len(new) * MANY >= n:
@@ -169,9 +173,13 @@ class _Block:
         return found_ids, found_scores
 
     def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How often each vector stands between the two places of the sorted projections."""
-        pieces = [ranked[a:b] for ranked, a, b in zip(self.ranked, low.tolist(), high.tolist())]
-        return np.bincount(np.concatenate(pieces), minlength=len(self.unique))
+        """How often each vector's place lies in the window of a sorted projection, from ``low`` to before ``high``.
+
+        Places are compared side by side in short integers: those below a window wrap around to large ones.
+        """
+        kind = self.place.dtype
+        inside = self.place - low[:, None].astype(kind) < (high - low)[:, None].astype(kind)
+        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8)  # at most PROJECTIONS
 
 
 def _reach(width: float, least: int) -> float:
