@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import hash_arrays, words
-from logloom.llm.hash_arrays import HashSetFiles, NarrowArray, map_array, pack_planes, pack_sorted, unpack_planes, unpack_sorted, write_array, write_narrow
+from logloom.llm.hash_arrays import HashSetFiles, NarrowArray, map_array, pack_planes, pack_sorted, squeeze, unpack_planes, unpack_sorted, unsqueeze, write_array, write_narrow
 from logloom.session import cut_lineage, shared_folder
 
 #: key of the token that ends every text
@@ -283,14 +283,14 @@ def _count_pairs(docs: DataFrame, model: Model) -> DataFrame:
         first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
         context = [np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-        context_block = pack_sorted(first[at]) + b"".join(map(pack_planes, context))
+        context_block = squeeze(pack_sorted(first[at]) + b"".join(map(pack_planes, context)))
         follower, lefts = np.unique(second, return_counts=True)
         return {
             "kind": ["pair", "context", "left"],
             "part": pa.array([bucket, bucket // model.side, bucket % model.side], pa.int32()),
             "keys": [write_array(model.folder, "pairs", keys), None, None],
             "counts": [write_narrow(model.folder, "pair-counts", counts), None, None],
-            "block": pa.array([None, context_block, pack_sorted(follower) + pack_planes(lefts)], pa.binary()),
+            "block": pa.array([None, context_block, squeeze(pack_sorted(follower) + pack_planes(lefts))], pa.binary()),
             "sizes": [[int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)], [], []],
         }
 
@@ -309,6 +309,7 @@ def _dense(counted: DataFrame, model: Model, kind: str, width: int) -> list:
         start, end = model.part_start(part), model.part_start(part + 1)
         dense = np.zeros((end - start, width), np.uint64)
         for block in blocks:
+            block = unsqueeze(block)
             keys, at = unpack_sorted(block)
             for k in range(width):
                 values, at = unpack_planes(block, at)
@@ -358,7 +359,7 @@ def _follow(spark: SparkSession, model: Model) -> None:
                 for own in np.unique(low.part(first[at])) if len(at) else ():
                     here = low.part(first[at]) == own
                     sums = [np.add.reduceat(x.astype(np.uint64), at)[here] for x in (left, left == 1, left == 2, left >= 3)]
-                    block = pack_sorted(first[at][here]) + b"".join(map(pack_planes, sums))
+                    block = squeeze(pack_sorted(first[at][here]) + b"".join(map(pack_planes, sums)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(["follow"]), pa.array([int(own)], pa.int32()), pa.array([block], pa.binary())],
                         names=["kind", "part", "block"],

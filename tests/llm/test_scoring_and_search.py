@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,33 @@ def test_page_of_many_open_tags_is_read_in_time(spark):
 
 def test_hosts():
     assert [site_tree.host_of(u) for u in ("HTTP://u@A.b:1/x?y", "a.b/c", None, "")] == ["a.b:1", "", "", ""]
+
+
+def test_count_blocks_are_tighter_than_what_the_shuffle_makes_of_them():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 20_000).astype(np.uint64))
+    counts = np.minimum(rng.zipf(2.0, len(keys)), 1 << 40).astype(np.int64)
+    batch = hash_arrays.count_blocks(keys, counts, np.zeros(len(keys), np.int64))
+    (block,) = batch.column(1).to_pylist()
+    plain = hash_arrays.pack_sorted(keys) + hash_arrays.pack_planes(counts)
+    assert len(block) < len(pa.compress(plain, codec="lz4", asbytes=True))
+    found = hash_arrays.read_counts(block)
+    assert (found[0] == keys).all() and (found[1].astype(np.int64) == counts).all()
+    assert hash_arrays.unsqueeze(hash_arrays.squeeze(b"")) == b""
+
+
+def test_collisions_are_counted_without_lists_of_places(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, p = 700, collision_search.PROJECTIONS
+    block = collision_search._Block.__new__(collision_search._Block)
+    block.unique = np.zeros((n, 2))
+    block.ranked = np.argsort(rng.normal(size=(p, n)), axis=1)
+    low, high = np.sort(rng.integers(0, n + 1, (2, p)), axis=0)
+    low[:3], high[:3] = (0, n, 5), (n, n, 5)  # a whole window and two empty ones
+    expected = np.bincount(np.concatenate([r[a:b] for r, a, b in zip(block.ranked, low, high)]), minlength=n)
+
+    def listed(*args, **kwargs):
+        raise AssertionError("places were listed")
+
+    monkeypatch.setattr(np, "bincount", listed)
+    assert block._collisions(low, high).tolist() == expected.tolist()
