@@ -6,6 +6,7 @@ word's probabilities, so that a text may switch languages; a text's language is
 The field is fitted on a bounded sample: runs of words of different texts are put together, which teaches it to switch.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm import worker_memory, words
-from logloom.llm.samples import narrow, remainder, text_sample
+from logloom.llm.samples import in_task, narrow, remainder, stored_sample
 
 NGRAMS = (2, 3, 4, 5)
 TABLE_BITS = 17
@@ -198,8 +199,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
     """Fit on at most ``per_language`` texts of each non-null lang, none of them held out (crc32 of doc_id mod 4 is 2)."""
     usable = docs.where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     labelled = narrow(usable.select("doc_id", "text", F.col("lang").alias("label")))
-    rows = text_sample(usable, labelled, per_language)
-    return fit([r.text for r in rows], [r.label for r in rows]) if rows else None
+    sample = stored_sample(usable, labelled, per_language)
+    return pickle.loads(in_task(sample, lambda _, texts, labels: pickle.dumps(fit(texts, labels)))) if sample is not None else None
 
 
 def predict(docs: DataFrame, model: Field | None, prefix: str = "") -> DataFrame:

@@ -1,7 +1,13 @@
-"""Bounded samples of labelled rows for models that are fitted on the driver."""
+"""Bounded samples of labelled rows, and models that one task fits on them."""
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logloom.llm import worker_memory
+from logloom.session import cut_lineage
+
 #: longer texts are not sampled (they are predicted like all others)
 SAMPLED_BYTES = 65_536
 #: log2 of the slices of the key range
@@ -28,11 +34,11 @@ def smallest_keys(rows: DataFrame, per_class: int) -> DataFrame:
     return rows.join(F.broadcast(last), "label").where(part <= F.col("_last")).drop("_last")  # one row per label
 
 
-def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
-    """Up to ``per_class`` rows (doc_id, text, label) of each label, with distinct texts, picked by the texts' hash.
+def sampled(docs: DataFrame, labelled: DataFrame, per_class: int) -> DataFrame:
+    """Up to ``per_class`` rows (key, doc_id, text, label) of each label, with distinct texts, picked by the texts' hash.
 
     ``labelled`` is (doc_id, key, label) of rows of ``docs``, none of them null. Texts join only once the rows are picked: at most
-    ``per_class`` rows for each label, which also is what reaches the driver.
+    ``per_class`` rows for each label.
     """
     first = labelled.groupBy("label", "key").agg(F.min("doc_id").alias("doc_id"))
     picked = (
@@ -41,4 +47,31 @@ def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
     )
     # as many rows as the sample has
     found = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "key"])
-    return found.dropDuplicates(["key", "label"]).select("doc_id", "text", "label").orderBy("key", "label").collect()
+    return found.dropDuplicates(["key", "label"]).select("key", "doc_id", "text", "label")
+
+
+def text_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> list:
+    """The rows (doc_id, text, label) of ``sampled`` on the driver."""
+    return sampled(docs, labelled, per_class).orderBy("key", "label").select("doc_id", "text", "label").collect()
+
+
+def stored_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> DataFrame | None:
+    """The rows of ``sampled`` as a table, so that their texts never reach the driver; None if there are none."""
+    sample = cut_lineage(sampled(docs, labelled, per_class))
+    return None if sample.isEmpty() else sample
+
+
+def in_task(sample: DataFrame, work: Callable[[list, list, list], bytes]) -> bytes:
+    """What ``work`` makes of the doc_ids, texts and labels of a stored sample, in a task: the driver holds no more than the result.
+
+    All of the sample is one group, a bounded number of bounded texts of each label.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        worker_memory.only()
+        table = table.sort_by([("key", "ascending"), ("label", "ascending")])
+        made = work(*(table[c].to_pylist() for c in ("doc_id", "text", "label")))
+        worker_memory.only()
+        return pa.table({"made": pa.array([made], pa.binary())})
+
+    return bytes(sample.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(run, "made binary").collect()[0][0])

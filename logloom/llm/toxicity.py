@@ -9,7 +9,7 @@ nearness, are calibrated on folds of the examples, each scored by the others wit
 
 import pickle
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import worker_memory, words
 from logloom.llm.hash_arrays import map_array, write_array
-from logloom.llm.samples import narrow, remainder, text_sample
+from logloom.llm.samples import in_task, narrow, remainder, stored_sample
 from logloom.session import shared_folder
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -425,14 +425,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> "St
     class_rows = {
         r.label: r.n for r in usable.select("doc_id").join(known, "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()
     }  # two rows
-    rows = text_sample(usable, narrow(usable).join(known, "doc_id"), per_label)
-    if not rows:
+    sample = stored_sample(usable, narrow(usable).join(known, "doc_id"), per_label)
+    if sample is None:
         return None
-    sample = docs.sparkSession.createDataFrame([(0, i, r.doc_id, r.text, r.label) for i, r in enumerate(rows)], SAMPLE)
-    terms = np.frombuffer(_in_task(sample, lambda examples: example_terms(examples).tobytes()), np.uint64)
+    terms = np.frombuffer(in_task(sample, lambda *columns: example_terms(_examples(*columns)).tobytes()), np.uint64)
     about = (class_rows, terms, *document_frequencies(docs, terms))
     folder = f"{shared_folder(docs.sparkSession)}/examples-{uuid.uuid4().hex}"
-    return Stored(folder, _in_task(sample, lambda examples: _store(folder, fit(examples, *about))).decode())
+    return Stored(folder, in_task(sample, lambda *columns: _store(folder, fit(_examples(*columns), *about))).decode())
+
+
+def _examples(*columns: list) -> list[Example]:
+    return [Example(*values) for values in zip(*columns)]
 
 
 def _store(folder: str, model: Examples) -> bytes:
@@ -461,22 +464,6 @@ class Stored:
         return getattr(self.load(), name)
 
 
-SAMPLE = "part int, place int, doc_id bigint, text string, label int"
-
-
-def _in_task(sample: DataFrame, work: Callable[[list], bytes]) -> bytes:
-    """What ``work`` makes of the sample, in a task: the driver holds no more than the result.
-
-    All of the sample is one group, at most PER_LABEL bounded texts of each label.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        columns = (table.sort_by("place")[c].to_pylist() for c in ("doc_id", "text", "label"))
-        return pa.table({"made": pa.array([work([Example(*values) for values in zip(*columns)])], pa.binary())})
-
-    return bytes(sample.groupBy("part").applyInArrow(run, "made binary").collect()[0][0])
-
-
 def predict(docs: DataFrame, model: Examples | Stored | None, k: int = NEIGHBOURS, prefix: str = "") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (names behind ``prefix``), the doc_ids of the nearest examples, nearest first.
 

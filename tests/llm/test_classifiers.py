@@ -238,3 +238,13 @@ def test_counting_frequencies_gives_back_other_caches():
     counted = toxicity._counted(iter([batch]), terms).to_pydict()
     assert freed == [1]
     assert sorted(counted["n"]) == [1, 2, 3] and counted["n"][counted["term"].index(-1)] == 3
+
+
+def test_sampled_texts_do_not_reach_the_driver(spark, docs, monkeypatch):
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda frame: collected.append(frame.columns) or collect(frame))
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *x, **y: made.append(x) or create(*x, **y))
+    assert language.train(docs, per_language=5) is not None
+    assert toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"), per_label=5) is not None
+    assert collected and all("text" not in columns for columns in collected) and not made
