@@ -85,6 +85,46 @@ def test_work_of_a_query_does_not_grow_with_the_table(spark):
     assert looked[1] < 1.5 * looked[0] and looked[1] < 1000
 
 
+def test_pivots_are_compared_with_those_near_queries_only(monkeypatch):
+    """Products made to route a few queries, in a tree of 4,096 cells; and every vector is in the cell of its nearest pivots."""
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((20_000, 4))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    tree = knn.PivotTree.of(unit[:4096])
+    cell, reach, top_reach = tree.place(unit)
+    home = (unit @ tree.top.T).argmax(axis=1)
+    for i in range(0, 20_000, 997):
+        near = np.sqrt(np.maximum(0, 2 - 2 * tree.cells[tree.children(home[i])] @ unit[i]))
+        assert reach[i] == pytest.approx(near.min(), abs=1e-7) and near[cell[i] - tree.first[home[i]]] == pytest.approx(near.min(), abs=1e-7)
+    found = np.unique(cell)
+    tree.measured(pa.table({"cell": found, "n": np.bincount(cell)[found], "radius": [reach[cell == c].max() for c in found], "least": [reach[cell == c].min() for c in found], "top_radius": [top_reach[cell == c].max() for c in found]}), 1000)
+    made, distances = [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda x, y: made.append(len(x) * len(y)) or distances(x, y))
+    q = unit[5000:5010]
+    kth = np.sort(1 - q @ unit.T, axis=1)[:, 4]
+    opened = [set() for _ in q]
+    for row, cells in tree.open_cells(q, kth):
+        for r, c in zip(row, cells):
+            opened[r].add(c)
+    assert sum(made) < 4096 * 10
+    for i, x in enumerate(q):
+        assert set(cell[np.argsort(1 - unit @ x)[:5]]) <= opened[i]
+    for x, cells in zip(q, tree.home_cells(q, 5)):
+        n = tree.count[cells]
+        assert n.sum() >= 20 > n.sum() - n.max() and (np.diff(cells) > 0).all() and cell[np.argmax(unit @ x)] in cells
+
+
+def test_means_of_narrow_vectors_need_no_object_aggregate(spark):
+    rows = [(i % 7 if i % 11 else None, [float(i), float(i * i % 13), -1.5]) for i in range(500)]
+    vectors = spark.createDataFrame(rows, "k long, v array<double>")
+    apart = em.mean_pool(vectors, "k", "v", width=3)
+    assert "ObjectHashAggregate" not in apart._jdf.queryExecution().toString()
+    means, whole = ({r.k: (r.mean_vector, r.n_vectors) for r in x.collect()} for x in (apart, em.mean_pool(vectors, "k", "v")))
+    assert means.keys() == whole.keys()
+    for k, (mean, n) in whole.items():
+        assert means[k] == (pytest.approx(mean), n)
+
+
 def test_queries_that_no_bound_helps_hold_no_lists_of_cells(spark):
     """Vectors without structure: pairs of queries and cells stay few, and the result is exact."""
     rng = np.random.default_rng(8)
