@@ -3,7 +3,6 @@
 import io
 import random
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -75,6 +74,15 @@ def test_python_sees_each_distinct_piece_of_a_group_once(monkeypatch):
         assert np.frombuffer(data, "<u4").tolist() == e.ids
 
 
+def test_known_pieces_are_not_looked_for_again(monkeypatch):
+    cached = WordTokenizer(BYTE_BPE)
+    texts = ["one two three", "two three four five"]
+    first = cached.encode(texts)
+    asked, unknown = [], WordTokenizer._unknown
+    monkeypatch.setattr(WordTokenizer, "_unknown", lambda self, wanted: asked.extend(wanted) or unknown(self, wanted))
+    assert cached.encode(texts) == first and not asked
+
+
 def test_fullest_is_the_fullest():
     rng = random.Random(3)
     for _ in range(200):
