@@ -43,14 +43,20 @@ def encode_block(ids: np.ndarray) -> bytes:
     escapes = values[escaped]
     values[escaped] = 0
     n = len(values)
-    # the selector that holds the most ids from each position on
+    # bits of each id from the exponent of its float; rounding only touches ids of more than 53 bits, which all selectors but the last refuse
+    width = np.maximum((values.astype(np.float64).view(np.int64) >> 52) - 1022, 0).astype(np.uint8)
+    # the selector that holds the most ids from each position on: the largest width of so many ids must fit
     best = np.full(n, 15, np.uint8)
+    widest = {1: width}
     for selector, count, bits in reversed(SELECTORS[:-1]):
         if count > n:
-            continue
-        wide = np.zeros(n + 1, np.int64)
-        np.cumsum((values >> np.uint64(bits)) != 0, out=wide[1:])
-        best[: n - count + 1][wide[count:] == wide[: n - count + 1]] = selector
+            break
+        part = max(c for c in widest if 2 * c <= count)
+        while count not in widest:  # two windows side by side
+            more = max(c for c in widest if c <= count - part)
+            widest[part + more] = np.maximum(widest[part][: n - part - more + 1], widest[more][part : n - more + 1])
+            part += more
+        best[: n - count + 1][widest[count] <= bits] = selector
     step = _COUNT[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -62,9 +68,11 @@ def encode_block(ids: np.ndarray) -> bytes:
     for selector, count, bits in SELECTORS[2:]:
         rows = np.flatnonzero(chosen == selector)
         if len(rows):
-            shift = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            parts = values[start[rows][:, None] + np.arange(count)] << shift
-            words[rows] = np.bitwise_or.reduce(parts, axis=1)
+            at = start[rows]
+            word = values[at]
+            for i in range(1, count):
+                word |= values[at + i] << np.uint64(i * bits)
+            words[rows] = word
     words |= chosen.astype(np.uint64) << np.uint64(60)
     head = struct.pack("<4I", n, len(words), len(escaped), 0)
     return head + b"".join(x.astype("<u8").tobytes() for x in (words, escaped, escapes))

@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -83,6 +84,30 @@ def test_known_pieces_are_not_looked_for_again(monkeypatch):
     assert cached.encode(texts) == first and not asked
 
 
+def test_selectors_of_a_block_need_no_sums(monkeypatch):
+    def summed(*x, **y):
+        raise AssertionError("a sum over the ids for every selector")
+
+    monkeypatch.setattr(np, "cumsum", summed)
+    rng = np.random.default_rng(2)
+    blocks = []
+    for n in (0, 1, 7, 59, 240, 241, 3000):
+        bits = rng.integers(0, rng.choice([2, 5, 17, 31, 64]), n).astype(np.uint64)
+        ids = (np.uint64(1) << bits) - rng.integers(0, 2, n).astype(np.uint64)
+        ids[rng.random(n) < 0.4] = 0
+        blocks.append((ids, token_files.encode_block(ids)))
+    monkeypatch.undo()
+    for ids, block in blocks:
+        assert (token_files.decode_block(block) == ids).all()
+        words = np.frombuffer(block, "<u8", struct.unpack_from("<4I", block)[1], 16)
+        at = 0
+        for selector in (words >> np.uint64(60)).tolist():  # each word holds as many ids as any could from there
+            fits = [s for s, count, width in token_files.SELECTORS if at + count <= len(ids) and all(int(x) >> width == 0 or int(x) >> 60 for x in ids[at : at + count])]
+            assert selector == min(fits)
+            at += token_files.SELECTORS[selector][1]
+        assert at == len(ids)
+
+
 def test_fullest_is_the_fullest():
     rng = random.Random(3)
     for _ in range(200):
