@@ -149,6 +149,43 @@ def test_links_equal_those_of_all_pairs(spark, width, block_bytes, similarity):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (n[i], root[i]) for i in range(len(vectors))}
 
 
+def test_trees_are_stored_once_and_not_copied_for_their_pairs(spark, monkeypatch):
+    """Plans of all steps over vectors of which no block rules out another; rounds of a tree or two give the same."""
+    x = np.random.default_rng(11).standard_normal((600, 12)).astype(np.float32)
+    x[300:400] = x[:100] + 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "node long, vec array<float>").select(
+        "node", F.lit(1).cast("long").alias("n"), "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")
+    )
+    plans, trees, cut = [], [], cover_tree.cut_lineage
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = cut(df)
+        trees.extend([out.count()] * ("tree" in out.columns))
+        return out
+
+    monkeypatch.setattr(cover_tree, "cut_lineage", recorded)
+    classes = cut(vectors)
+    found = cover_tree.linked(classes, 0.95, block_bytes=6000)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert trees[0] > 8
+    assert not [p for p in plans if "Exchange" in p and any("FileScan" in line and "tree" in line for line in p.splitlines())]
+    n_plans = len(plans)
+    again = cover_tree.linked(classes, 0.95, block_bytes=6000, round_bytes=1)
+    assert len(plans) - n_plans > trees[0]
+    expected = {i: n for i, n in enumerate(brute(x, 0.95)[0]) if n}
+    for df in (found, again):
+        assert {r.node: r.n for r in df.groupBy("node").agg(F.sum("links").alias("n")).collect()} == expected
+
+
+def test_every_pair_of_places_is_searched_once():
+    for n in (1, 2, 3, 8, 9):
+        own = [[cover_tree._own_pair(p, q, n) for p in range(n)] for q in range(n)]
+        assert all(own[q][p] + own[p][q] == (2 if p == q else 1) for p in range(n) for q in range(n))
+        assert max(map(sum, own)) - min(map(sum, own)) <= 1
+
+
 def test_nodes_hold_their_invariants():
     vectors = vectors_of(7, 8).astype(np.float64)
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
