@@ -144,6 +144,41 @@ def test_queries_that_no_bound_helps_hold_no_lists_of_cells(spark):
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
 
 
+def test_vectors_are_not_copied_for_queries_that_meet_all_of_them(spark, monkeypatch):
+    """Rows of vectors that searches are given, if no bound helps and memory holds few of the queries at once; hits as in brute force."""
+    rng = np.random.default_rng(12)
+    n, copies, search = 3_000, [], knn._search
+    x = rng.standard_normal((n, 48)).astype(np.float32)
+    x[2_000:2_400] = x[:400] + 0.2 * rng.standard_normal((400, 48)).astype(np.float32)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "vec": list(x)}))
+
+    def counted(routed, placed, k):
+        copies.append(placed.agg(F.sum("n_slices")).first()[0] or 0)
+        return search(routed, placed, k)
+
+    monkeypatch.setattr(knn, "_search", counted)
+    monkeypatch.setattr(knn, "SIDE_BYTES", 200 * 8 * 48, raising=False)
+    monkeypatch.setattr(knn.knn_join, "__defaults__", tuple(200 * 8 * 48 if d == getattr(knn, "ROUND_BYTES", None) else d for d in knn.knn_join.__defaults__))
+    queries = vectors.selectExpr("vec_id AS query_id", "vec AS query_vec")
+    got = knn.knn_join(queries, vectors, 4, block_rows=500, cell_rows=4).collect()
+    assert sum(copies) <= 2 * n
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = np.round(np.maximum(0, 1 - unit @ unit.T), 9)
+    want = {(i, int(v), r + 1) for i, row in enumerate(near) for r, v in enumerate(np.lexsort((np.arange(n), row))[:4])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 50, "cell_rows": 3}, {"block_rows": 50, "cell_rows": 3, "round_bytes": 1000}])
+def test_knn_within_a_distance(spark, sizes):
+    rng = random.Random(6)
+    queries, vectors = clustered(rng, 60, 1000), clustered(rng, 240)
+    q, v = frames(spark, queries, vectors)
+    all_hits = knn.knn_join(q, v, 4).collect()
+    for within in (0.0, 0.002, 0.5):
+        got = {(r.query_id, r.vec_id, r["rank"]) for r in knn.knn_join(q, v, 4, within=within, **sizes).collect()}
+        assert got == {(r.query_id, r.vec_id, r["rank"]) for r in all_hits if r.distance <= within}
+
+
 def test_knn_with_fewer_vectors_than_k_and_with_none(spark):
     q, v = frames(spark, [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])])
     assert knn.knn_join(q, v, 5).count() == 2
