@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.functions import text as tx
 from logloom.operators.ordered import SLICE_LINES, latest_marker, number_lines, running_total
+from logloom.session import cut_lineage
 
 DOCUMENT_CHARS = 64_000_000  # longer logs have no document column; their lines stay where they are
 MARK = "TESTCASE:"
@@ -52,19 +53,27 @@ def log_chunks(
 
 
 def documents(lines: DataFrame, sizes: DataFrame, most_chars: int = DOCUMENT_CHARS) -> DataFrame:
-    """(run_id, log_content) of the logs of at most ``most_chars`` characters."""
-    short = sizes.where(F.col("n_chars") <= most_chars).select("run_id")
+    """(run_id, log_content) of the logs of at most ``most_chars`` characters; all logs of ``lines`` have a row in ``sizes``."""
+    if sizes.where(F.col("n_chars") > most_chars).isEmpty():  # else a join copies all lines for nothing
+        short = lines.where("run_id IS NOT NULL")
+    else:
+        short = lines.join(sizes.where(F.col("n_chars") <= most_chars).select("run_id"), "run_id", "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    joined = lines.join(short, "run_id", "left_semi").groupBy("run_id").agg(ordered.alias("lines"))
+    joined = short.groupBy("run_id").agg(ordered.alias("lines"))
     return joined.select("run_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("log_content"))
 
 
-def failed_names(lines: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
+def failed_names(lines: DataFrame, slice_lines: int = SLICE_LINES, known: DataFrame | None = None) -> DataFrame:
     """(run_id, found): what ``failed_testcases`` finds in the whole text, in order; runs without a match are left out.
 
     A name stands on one line, but white space around it may hold line breaks. So a match can only go on to the next filled line if the mark ends its
-    line, or if that line starts with FAILED; lines tied like this form islands, and each island is searched on its own.
+    line, or if that line starts with FAILED; lines tied like this form islands, and each island is searched on its own. Only logs that hold both words
+    somewhere are looked at, and none of ``known`` (run_id).
     """
+    words = lines.groupBy("run_id").agg(F.max(F.col("line").contains(MARK)).alias("mark"), F.max(F.col("line").contains("FAILED")).alias("failed"))
+    wanted = words.where("mark AND failed").select("run_id")
+    wanted = cut_lineage(wanted if known is None else wanted.join(known, "run_id", "left_anti"))  # lines move for these logs only, if they are few
+    lines = lines.join(wanted, "run_id", "left_semi")
     filled = lines.where(~tx.is_blank(F.col("line"))).select("run_id", "line_no", "line")
     filled = filled.withColumn("_slice", F.floor(F.col("line_no") / slice_lines))
     numbered = number_lines(filled, "run_id", "_slice", ["line_no"], "k").drop("_slice", "line_no")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions import text as tx
 from logloom.operators import verdict as vd
 from logloom.operators.enrich import CAUSALITY_RULES, first_match
-from logloom.operators.ordered import latest_marker
+from logloom.operators.ordered import SLICE_LINES, latest_marker
 from logloom.operators.skew import salted_lookup
 from logloom.operators.templates import mask
 
@@ -40,15 +40,19 @@ def error_details(facts: DataFrame, failures: DataFrame) -> DataFrame:
 
     An error line belongs to the last test line before it. Counts are combined per test
     line first, so the join to test names sees few rows even if one test writes most lines.
+    Lines below tests that did not fail are left out before anything is stored.
     Returns (run_id, test_name, message, n, first_line, example).
     """
+    # twice the line number, and one more for failed tests: the marker tells which test line it is and whether that failed
+    failed = F.when(F.col("test_name").isNotNull() & (F.col("status") == "FAILED"), 1).otherwise(0)
     marked = latest_marker(
         facts.where("test_name IS NOT NULL OR error IS NOT NULL").select(
-            "run_id", "line_no", "test_name", "error"
+            "run_id", "line_no", (F.col("line_no") * 2 + failed).alias("_place"), "test_name", "error"
         ),
-        F.col("test_name").isNotNull(),
+        F.col("test_name").isNotNull(), line_no="_place", slice_lines=2 * SLICE_LINES,
     )
-    placed = marked.where("error IS NOT NULL").withColumnRenamed("error", "line")
+    placed = marked.where("error IS NOT NULL AND marker_no % 2 = 1").withColumnRenamed("error", "line")
+    placed = placed.withColumn("marker_no", F.floor(F.col("marker_no") / 2))
     counted = placed.groupBy("run_id", "marker_no", mask(F.col("line")).alias("message")).agg(
         F.count("*").alias("n"),
         F.min("line_no").alias("at"),

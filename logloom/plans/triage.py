@@ -10,7 +10,7 @@ from logloom.operators.embed import EmbedderFactory, embed_chunks, embed_texts
 from logloom.operators.knn import knn_join, with_records
 from logloom.operators.ordered import SLICE_LINES
 from logloom.operators.skew import salted_lookup
-from logloom.session import cut_lineage
+from logloom.session import cut_lineage, drop_stored
 
 HISTORY_HITS = 2  # fixed value: hits looked up per failed run
 
@@ -79,27 +79,35 @@ def triage_lines(
     The same rows as ``triage_logs`` gives for the lines joined by newlines. Only logs of more than ``document_chars`` characters differ: their
     outcome has no document and an id from the lines' hashes.
     """
-    lines = cut_lineage(lines.select("run_id", "line_no", "line"))
+    stored = lines = cut_lineage(lines.select("run_id", "line_no", "line"))
     sizes = cut_lineage(ll.log_sizes(lines))
     rejected = sizes.where("n_filled = 0").select("run_id")
     filled = sizes.where("n_filled > 0")
-    taken = lines.join(rejected, "run_id", "left_anti")
-    chunks = cut_lineage(ll.log_chunks(taken, filled, slice_lines=slice_lines))
-    vectors = embed_chunks(chunks, "run_id", make_embedder, dim)
-    heads = chunks.where("chunk_no = 0").select("run_id", F.col("chunk").alias("log_head"))
-    kept = cut_lineage(
-        filled.select("run_id", F.col("digest").cast("string").alias("log_digest"))
-        .join(ll.documents(taken, filled, document_chars), "run_id", "left")
-        .join(heads, "run_id", "left").join(vectors, "run_id", "left")
-    )
-    return _triage(kept, taken, rejected, history, tips, collection, updated_at, slice_lines)
+    # joins with nothing would copy all lines
+    taken = lines if rejected.isEmpty() else lines.join(rejected, "run_id", "left_anti")
+    digests = filled.select("run_id", F.col("digest").cast("string").alias("log_digest"))
+    documents = ll.documents(taken, filled, document_chars).join(digests, "run_id")  # before embedding, as texts lie by run there
+    vectors = embed_texts(documents, "log_content", make_embedder, dim).withColumn("log_head", tx.prefix(F.col("log_content"), tx.CHUNK_SIZE))
+    chunks, long = [], filled.where(F.col("n_chars") > document_chars)
+    if not long.isEmpty():
+        parts = ll.log_chunks(taken.join(long.select("run_id"), "run_id", "left_semi"), long, slice_lines=slice_lines)
+        chunks = [cut_lineage(parts)]
+        heads = chunks[0].where("chunk_no = 0").select("run_id", F.col("chunk").alias("log_head"))
+        pooled = embed_chunks(chunks[0], "run_id", make_embedder, dim).join(heads, "run_id", "left").join(digests, "run_id")
+        vectors = vectors.unionByName(pooled, allowMissingColumns=True)
+    kept = cut_lineage(vectors)
+    drop_stored(*chunks)
+    return _triage(kept, taken, rejected, history, tips, collection, updated_at, stored, slice_lines)
 
 
 def _triage(
     kept: DataFrame, lines: DataFrame, rejected: DataFrame, history: DataFrame, tips: DataFrame, collection: str, updated_at,
-    slice_lines: int | None = None,
+    stored: DataFrame | None = None, slice_lines: int | None = None,
 ) -> Triage:
-    """Triage embedded logs ``kept`` and their lines; with ``slice_lines`` names are looked for in the lines, not in the whole texts."""
+    """Triage embedded logs ``kept``, a stored table, and their lines; no table of the result reads either again.
+
+    With ``slice_lines`` names are looked for in the lines, not in the whole texts; ``stored`` is the table that these lines are read from.
+    """
     facts = cut_lineage(vd.scan_lines(lines))
     outcomes = vd.per_test(vd.tests_of(facts))
     verdicts = cut_lineage(vd.verdict(facts, outcomes))
@@ -113,21 +121,25 @@ def _triage(
     details = cut_lineage(rp.error_details(facts, failed_failures))
     explained = cut_lineage(rp.test_explanations(failed_failures, details))
     failure = rp.failure_reports(verdicts, explained, context)
+    times, found = vd.run_times(lines), None
+    if slice_lines is not None:  # only runs without a list need the pattern
+        times = cut_lineage(times)
+        found = cut_lineage(ll.failed_names(lines, slice_lines, failures.select("run_id")))
+        drop_stored(stored)
     runs = (
         verdicts.join(kept.drop("n_chunks", "embed_error"), "run_id")
         .join(vd.failed_lists(failures), "run_id", "left")
         .join(context, "run_id", "left")
-        .join(rp.pass_reports(verdicts, vd.run_times(lines)), "run_id", "left")
+        .join(rp.pass_reports(verdicts, times), "run_id", "left")
         .join(failure, "run_id", "left")
         .withColumn("per_test", F.lit(None).cast("map<string,string>"))
     )
-    if slice_lines is None:
+    if found is None:
         runs = vd.failed_with_fallback(runs)
-    else:  # only runs without a list need the pattern
-        open_runs = lines.join(failures.select("run_id"), "run_id", "left_anti")
-        runs = runs.join(ll.failed_names(open_runs, slice_lines), "run_id", "left")
-        runs = vd.failed_with_fallback(runs, F.col("found")).drop("found")
+    else:
+        runs = vd.failed_with_fallback(runs.join(found, "run_id", "left"), F.col("found")).drop("found")
     runs = cut_lineage(runs.drop("per_test"))
+    drop_stored(kept)
     stamp = updated_at if updated_at is not None else F.localtimestamp()
     reported = runs.select(
         "run_id", "test_status",

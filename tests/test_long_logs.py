@@ -2,13 +2,15 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from logloom import schemas
+from logloom import schemas, session
 from logloom.functions import text as tx
-from logloom.operators import embed as em, long_logs as ll
+from logloom.operators import embed as em, long_logs as ll, skew
+from logloom.plans import triage
 from logloom.plans.triage import triage_lines, triage_logs
 from logloom.sources.run_logs import document_logs
 
@@ -77,3 +79,35 @@ def test_lines_give_the_same_rows_as_whole_logs(spark):
     assert short.where("document IS NULL").count() > 100
     same = [c for c in short.columns if c not in ("id", "document")]
     assert rows_of(short.select(same)) == rows_of(whole.outcomes.select(same))
+
+
+def test_lines_leave_no_copies_of_the_texts_behind(spark, monkeypatch):
+    """Tables that triage stores and does not delete hold each text once, and no error lines of tests that did not fail."""
+    logs = spark.range(400).select(
+        F.concat(F.lit("r"), "id").alias("run_id"),
+        F.concat(
+            F.lit("TESTCASE: a PASSED\nError: "), F.sha2(F.col("id").cast("string"), 256), F.lit("\nTESTCASE: b "),
+            F.when(F.col("id") % 2 == 0, "FAILED").otherwise("PASSED"), F.lit("\nError: disk "), F.sha2(F.concat(F.lit("x"), "id"), 256),
+        ).alias("log_content"),
+    )
+    past = em.embed_texts(
+        spark.createDataFrame([("1", "old issue", "s", None)], "id string, document string, summary string, resolution string"), "document", em.hashing_embedder(16), 16
+    )
+    tips = spark.createDataFrame([], schemas.TIPS)
+    stored = []
+
+    def recorded(df, cut=session.cut_lineage):
+        stored.append(cut(df))
+        return stored[-1]
+
+    for module in (triage, skew, ll):
+        monkeypatch.setattr(module, "cut_lineage", recorded, raising=False)
+    done = triage_lines(as_lines(logs), past, tips, em.hashing_embedder(16), 16, updated_at=F.lit("2024-01-01").cast("timestamp_ntz"))
+    there = [df for df in stored if Path(df.inputFiles()[0].removeprefix("file://")).exists()]
+    assert len(there) < len(stored)
+    texts = [c for df in there for c in df.columns if c in ("line", "chunk", "log_content")]
+    assert texts == ["log_content"]
+    assert sum(df.count() for df in there if "marker_no" in df.columns) == 200
+    assert done.outcomes.count() == 400
+    details = {(r.run_id, r.test_name, r.n) for r in done.error_details.collect()}
+    assert details == {(f"r{i}", "b", 1) for i in range(0, 400, 2)}
