@@ -15,9 +15,10 @@ MARK = "TESTCASE:"
 
 
 def log_sizes(lines: DataFrame) -> DataFrame:
-    """(run_id, last_line, n_chars, n_filled, digest) of each log; ``digest`` depends on all lines and their places."""
+    """(run_id, last_line, n_lines, n_chars, n_filled, digest) of each log; ``digest`` depends on all lines and their places."""
     return lines.groupBy("run_id").agg(
         F.max("line_no").alias("last_line"),
+        F.count("line").alias("n_lines"),
         (F.sum(F.length("line") + 1) - 1).alias("n_chars"),
         F.count_if(~tx.is_blank(F.col("line"))).alias("n_filled"),
         F.expr("bit_xor(xxhash64(line_no, line))").alias("digest"),

@@ -85,16 +85,18 @@ def triage_lines(
     filled = sizes.where("n_filled > 0")
     # joins with nothing would copy all lines
     taken = lines if rejected.isEmpty() else lines.join(rejected, "run_id", "left_anti")
-    digests = filled.select("run_id", F.col("digest").cast("string").alias("log_digest"))
+    # logs that fit a row are embedded as whole texts, all others, and those with repeated or missing lines, by chunks
+    whole = (F.col("n_chars") <= document_chars) & (F.col("n_lines") == F.col("last_line") + 1)
+    digests = filled.select("run_id", F.col("digest").cast("string").alias("log_digest"), whole.alias("whole"))
     documents = ll.documents(taken, filled, document_chars).join(digests, "run_id")  # before embedding, as texts lie by run there
-    vectors = embed_texts(documents, "log_content", make_embedder, dim).withColumn("log_head", tx.prefix(F.col("log_content"), tx.CHUNK_SIZE))
-    chunks, long = [], filled.where(F.col("n_chars") > document_chars)
-    if not long.isEmpty():
-        parts = ll.log_chunks(taken.join(long.select("run_id"), "run_id", "left_semi"), long, slice_lines=slice_lines)
-        chunks = [cut_lineage(parts)]
+    vectors = embed_texts(documents.where("whole").drop("whole"), "log_content", make_embedder, dim)
+    vectors = vectors.withColumn("log_head", tx.prefix(F.col("log_content"), tx.CHUNK_SIZE))
+    chunks, rest = [], filled.where(~whole)
+    if not rest.isEmpty():
+        chunks = [cut_lineage(ll.log_chunks(taken.join(rest.select("run_id"), "run_id", "left_semi"), rest, slice_lines=slice_lines))]
         heads = chunks[0].where("chunk_no = 0").select("run_id", F.col("chunk").alias("log_head"))
-        pooled = embed_chunks(chunks[0], "run_id", make_embedder, dim).join(heads, "run_id", "left").join(digests, "run_id")
-        vectors = vectors.unionByName(pooled, allowMissingColumns=True)
+        pooled = embed_chunks(chunks[0], "run_id", make_embedder, dim).join(heads, "run_id", "left").join(digests.drop("whole"), "run_id")
+        vectors = vectors.unionByName(pooled.join(documents.where("NOT whole").select("run_id", "log_content"), "run_id", "left"))
     kept = cut_lineage(vectors)
     drop_stored(*chunks)
     return _triage(kept, taken, rejected, history, tips, collection, updated_at, stored, slice_lines)
